@@ -31,7 +31,7 @@ from graphloom.llm.keys import KEY, components, keyed, stored
 
 U = np.uint64
 #: Coordinates of a point.
-DIMS = 32
+DIMS = 128
 #: Members of a block that one task searches by tree; larger blocks are dealt out in pairs of parts.
 PART = 1024
 
@@ -214,6 +214,12 @@ def _bounded(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(a, "da").join(b, "db").mapInPandas(each, "da long, db long").distinct()
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """Blocks with the very same members are searched once: they agree in number and in the sum of hashes."""
+    sign = members.groupBy("bk").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("d1")).alias("x"), F.bit_xor(F.xxhash64("d1", F.lit(1))).alias("y"))
+    return members.join(sign.groupBy("m", "x", "y").agg(F.min("bk").alias("bk")).select("bk"), "bk", "left_semi")
+
+
 def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a block's members in different components that its R-tree cannot rule out."""
     sized = members.groupBy("bk").agg(F.count("*").alias("m"))
@@ -270,9 +276,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comp = stored(components(links), "comp")
     # Members of a block that its first member has not joined.
     named = sets.select("d1", "node", "n", "vec").join(comp, "node", "left").select("d1", "n", "vec", F.coalesce("comp", "node").alias("comp"))
-    members = rows.select("bk", "d1").distinct().join(named, "d1")
-    split = members.groupBy("bk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bk")
-    more = _tree_pairs(members.join(split, "bk", "left_semi"), num, den).join(star, ["da", "db"], "left_anti")
+    rest = rows.where("d1 > lo").select("bk", "d1").distinct().join(named.select("d1", "comp"), "d1")
+    split = rest.groupBy("bk").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.max("d1").alias("da"), F.min("d1").alias("db")).where("x < y")
+    split = stored(split, "split")
+    two = split.where("m = 2").select("da", "db").distinct()
+    large = rest.join(split.where("m > 2").select("bk"), "bk", "left_semi")
+    large = _once(large).join(named.select("d1", "n", "vec"), "d1")
+    more = _bounded(two, classes, num, den).union(_tree_pairs(large, num, den)).distinct().join(star, ["da", "db"], "left_anti")
     more = stored(_verified(more, sets, num, den), "links")
     if not more.isEmpty():
         comp = stored(components(links.union(more)), "comp")
