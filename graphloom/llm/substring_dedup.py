@@ -27,46 +27,51 @@ WINDOW = 35
 GRAM = 5
 
 
-def winnow(word: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and fingerprints: in each window, the first smallest hash of gram words."""
+def winnow(word: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints by the windows that they stand for: first window, number of windows, hash, hash of the whole stretch.
+
+    A window's fingerprint is the first smallest hash of gram words in it. Windows with the same one
+    follow each other, and the stretch is all the words that they cover.
+    """
     if len(word) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     h = wordhash.runs(word, gram)
     view = np.lib.stride_tricks.sliding_window_view(h, window - gram + 1)
     at = view.argmin(axis=1) + np.arange(len(view))
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-    return at, h[at]
+    low = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    count = np.diff(np.append(low, len(at)))
+    return low, count, h[at[low]], wordhash.stretches(word, low, low + count - 1 + window, seed=5)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+PRINTS = "rk long, rk2 int, h long, c long, low int, windows short"
+
+
 def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Rows (rk, rk2, h, pos) of keyed documents."""
+    """Rows (rk, rk2, h, c, low, windows) of keyed documents."""
+
+    def frame(rows: list) -> pd.DataFrame:
+        cols = [np.concatenate(x) for x in zip(*rows, strict=True)]
+        return pd.DataFrame(dict(zip(("rk", "rk2", "h", "c", "low", "windows"), cols, strict=True)))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys, keys2, hs, ps, size = [], [], [], [], 0
+            rows, size = [], 0
             for rk, rk2, text in zip(b.rk.to_numpy(), b.rk2.to_numpy(), b.text, strict=True):
-                at, h = winnow(wordhash.words((text or "").encode()), window, gram)
-                if len(at):
-                    keys.append(np.full(len(at), rk))
-                    keys2.append(np.full(len(at), rk2))
-                    hs.append(h)
-                    ps.append(at)
-                    size += len(at)
-                if size > 500_000:
-                    yield _frame(keys, keys2, hs, ps)
-                    keys, keys2, hs, ps, size = [], [], [], [], 0
+                low, count, h, c = winnow(wordhash.words((text or "").encode()), window, gram)
+                if len(low):
+                    rows.append((np.full(len(low), rk), np.full(len(low), rk2), _signed(h), _signed(c), low.astype(np.int32), count.astype(np.int16)))
+                    size += len(low)
+                if size > 300_000:
+                    yield frame(rows)
+                    rows, size = [], 0
             if size:
-                yield _frame(keys, keys2, hs, ps)
-
-    return docs.select("rk", "rk2", "text").mapInPandas(each, "rk long, rk2 int, h long, pos int")
+                yield frame(rows)
 
-
-def _frame(keys, keys2, hs, ps) -> pd.DataFrame:
-    return pd.DataFrame({"rk": np.concatenate(keys), "rk2": np.concatenate(keys2), "h": _signed(np.concatenate(hs)), "pos": np.concatenate(ps).astype(np.int32)})
+    return docs.select("rk", "rk2", "text").mapInPandas(each, PRINTS)
 
 
 class FingerprintIndex:
@@ -107,39 +112,31 @@ class FingerprintIndex:
         return self.counts().where("n > 1").select("h")
 
 
-def repeated_starts(src: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Rows (rk, rk2, whole, starts): where windows that occur twice begin.
+def repeated_windows(src: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Rows (rk, rk2, ranges): ranges (low, windows) of consecutive windows that occur twice.
 
-    whole: another row has the same text, so that every window is repeated. Of such texts one row
-    stands for all in the verification, with its number of copies as weight.
+    Where a fingerprint repeats, whole stretches are compared first: occurrences with equal stretches
+    repeat each other's windows. Only fingerprints with a stretch that stands alone are looked at by
+    single windows, in all their occurrences.
     """
-    spark = src.sparkSession
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(src.sparkSession)
     for i in range(batches):
         index.append(fingerprints(src.where(F.pmod("rk", F.lit(batches)) == i), window, gram))
-    light = src.select("rk", "rk2", F.xxhash64("text").alias("k"), F.hash("text").alias("k2")).where(F.length("text") >= 2 * window - 1)
-    same = light.groupBy("k", "k2").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "rk2")).alias("first")).where("copies > 1")
-    same = light.join(same, ["k", "k2"]).select("rk", "rk2", "copies", (F.struct("rk", "rk2") == F.col("first")).alias("chosen")).distinct()
-
-    hits = fingerprints(src, window, gram).join(index.repeated(), "h", "left_semi")
-    hits = hits.groupBy(*KEY).agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    hits = hits.join(same, KEY, "left").where("copies is null or chosen")
-    reach = window - gram
+    hits = stored(fingerprints(src, window, gram).join(index.repeated(), "h", "left_semi"), "hits")
+    stretch = hits.groupBy("h", "c").agg(F.count("*").alias("n"))
+    alone = stretch.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h")
+    sure = hits.join(stretch.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*KEY, "low", "windows")
+    open_ = hits.join(alone, "h", "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("low", "windows")).alias("at"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows, size = [], 0
-            for rk, rk2, text, at, copies in zip(b.rk.to_numpy(), b.rk2.to_numpy(), b.text, b["at"], b.copies, strict=True):
+            for rk, rk2, text, at in zip(b.rk.to_numpy(), b.rk2.to_numpy(), b.text, b["at"], strict=True):
                 word = wordhash.words((text or "").encode())
-                n = len(word) - window + 1
-                mark = np.zeros(n + 1, np.int32)
-                at = np.asarray(at)
-                np.add.at(mark, np.maximum(at - reach, 0), 1)
-                np.add.at(mark, np.minimum(at + 1, n), -1)
-                start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                start = np.sort(np.concatenate([np.arange(x["low"], x["low"] + x["windows"]) for x in at]))
                 h = _signed(wordhash.runs(word, window)[start])
                 h2 = _signed(wordhash.runs(word, window, seed=77)[start]) >> 32
-                rows.append((np.full(len(start), rk), np.full(len(start), rk2), start.astype(np.int32), h, h2.astype(np.int32), np.full(len(start), 1 if pd.isna(copies) else int(copies), np.int64)))
+                rows.append((np.full(len(start), rk), np.full(len(start), rk2), start.astype(np.int32), h, h2.astype(np.int32)))
                 size += len(start)
                 if size > 300_000:
                     yield _windows(rows)
@@ -147,17 +144,16 @@ def repeated_starts(src: DataFrame, batches: int = 2, window: int = WINDOW, gram
             if size:
                 yield _windows(rows)
 
-    seen = src.join(hits, KEY).select("rk", "rk2", "text", "at", "copies").mapInPandas(each, "rk long, rk2 int, start int, h long, h2 int, weight long")
-    seen = stored(seen, "windows")
-    twice = seen.groupBy("h", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "h2")
-    starts = seen.join(twice, ["h", "h2"], "left_semi").groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
-    whole = same.select("rk", "rk2", F.lit(True).alias("whole"))
-    return starts.join(whole, KEY, "full_outer")
+    # The same columns of src as in the last join, so that texts are shuffled once for both.
+    seen = src.join(open_, KEY).select("doc_id", "text", "rk", "rk2", "at").mapInPandas(each, "rk long, rk2 int, low int, h long, h2 int")
+    twice = seen.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h", "h2")
+    single = seen.join(twice, ["h", "h2"], "left_semi").select(*KEY, "low", F.lit(1).cast("short").alias("windows"))
+    return sure.union(single).groupBy(*KEY).agg(F.collect_set(F.struct("low", "windows")).alias("ranges"))
 
 
 def _windows(rows) -> pd.DataFrame:
     cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
-    return pd.DataFrame(dict(zip(("rk", "rk2", "start", "h", "h2", "weight"), cols, strict=True)))
+    return pd.DataFrame(dict(zip(("rk", "rk2", "low", "h", "h2"), cols, strict=True)))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
@@ -166,27 +162,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A word goes if a window of consecutive words that covers it also starts anywhere else.
     """
     src = keyed(docs, id_col, text_col)
-    marks = repeated_starts(src, batches, window, gram)
+    marks = repeated_windows(src, batches, window, gram)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc_id, text, starts, whole in zip(b.doc_id, b.text, b.starts, b.whole, strict=True):
+            for doc_id, text, ranges in zip(b.doc_id, b.text, b.ranges, strict=True):
                 word = (text or "").encode().split()
                 n = len(word)
                 gone = np.zeros(n + 1, np.int32)
-                if whole is True and n >= window:
-                    gone[0], gone[n] = 1, -1
-                elif starts is not None and len(starts):
-                    at = np.asarray(starts)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
+                if ranges is not None and len(ranges):
+                    low = np.array([x["low"] for x in ranges])
+                    np.add.at(gone, low, 1)
+                    np.add.at(gone, low + np.array([x["windows"] for x in ranges]) - 1 + window, -1)
                 keep = np.cumsum(gone[:n]) == 0
                 kept = b" ".join([w for w, k in zip(word, keep, strict=True) if k]) if not keep.all() else b" ".join(word)
                 out.append((doc_id, n, int(n - keep.sum()), kept.decode()))
             yield pd.DataFrame({"doc_id": pd.array([x[0] for x in out], dtype="Int64"), "n_words": np.array([x[1] for x in out], np.int64), "n_removed": np.array([x[2] for x in out], np.int64), "kept": [x[3] for x in out]})
 
-    joined = src.join(marks, KEY, "left").select("doc_id", "text", "starts", "whole")
+    joined = src.join(marks, KEY, "left").select("doc_id", "text", "rk", "rk2", "ranges")
     return joined.mapInPandas(each, "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -195,4 +189,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-__all__ = ["FingerprintIndex", "dedup_substrings", "fingerprints", "op7", "repeated_starts", "winnow"]
+__all__ = ["FingerprintIndex", "dedup_substrings", "fingerprints", "op7", "repeated_windows", "winnow"]

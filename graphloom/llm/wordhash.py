@@ -88,3 +88,11 @@ def runs(word: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     salted = word if not seed else mix(word + U(seed))
     np.cumsum(salted * up[: len(word)], out=total[1:])
     return mix((total[n:] - total[:-n]) * down[: len(word) - n + 1])
+
+
+def stretches(word: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each stretch of words, of any length."""
+    up, down = _WORD.upto(len(word) + 1)
+    total = np.zeros(len(word) + 1, np.uint64)
+    np.cumsum(mix(word + U(seed)) * up[: len(word)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
