@@ -64,6 +64,11 @@ def kept_grams(w: Column, window: int, gram: int) -> Column:
     return F.when(F.size(w) >= window, hashed).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
 
+def every_gram(n: int) -> Column:
+    """Structs (pos, h) of all runs of n words of the column w."""
+    return F.transform(upto(0, F.size("w") - n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("w", i + 1, n)).alias("h")))
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, share: int = 20) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document.
 
@@ -85,8 +90,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     kept = text.select(*KEY, F.explode(kept_grams(F.col("w"), window, gram)).alias("x")).select(*KEY, F.lit(window).alias("size"), "x.pos", "x.h")
     sizes = sorted(r["size"] for r in items.where(F.col("n") < window).select(F.col("n").alias("size")).distinct().collect())  # at most window - 1 numbers
     for n in sizes:
-        grams = F.transform(upto(0, F.size("w") - n), lambda i, n=n: F.struct(i.alias("pos"), F.xxhash64(F.slice("w", i + 1, n)).alias("h")))
-        kept = kept.union(text.select(*KEY, F.explode(grams).alias("x")).select(*KEY, F.lit(n).alias("size"), "x.pos", "x.h"))
+        kept = kept.union(text.select(*KEY, F.explode(every_gram(n)).alias("x")).select(*KEY, F.lit(n).alias("size"), "x.pos", "x.h"))
     hits = kept.join(prints, ["size", "h"]).groupBy(*KEY).agg(F.collect_set(F.struct("pos", "size", "left", "around", "items")).alias("hits"))
 
     def starts(w: Column, x: Column) -> Column:

@@ -3,8 +3,8 @@
 A linear model over the words of a text and their beginnings is fitted with the class-prior-corrected risk
 pi * R+(positive) + max(0, R-(unlabelled) - pi * R-(positive)); where the bracket falls below zero,
 the step goes the other way, as the non-negative estimator has it. Confirmed toxic rows are the
-positives, all other rows of the training part, labelled or not, the unlabelled. The prior is the
-share of toxic rows among the labelled. Training takes a bounded sample: at most max_positive
+positives; all rows of the training part, taken without their labels, are the unlabelled. The prior is
+the share of toxic rows among the labelled. Training takes a bounded sample: at most max_positive
 positives and max_unlabelled others, those with the smallest hash of their id, so that it is the
 same at every run; the words' sets of these alone reach the driver. Scoring goes over all rows.
 
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     toxic = known.where("y = 1").select(id_col)
     p = sample(docs.join(toxic, id_col, "left_semi"), max_positive)
-    u = sample(docs.join(toxic, id_col, "left_anti"), max_unlabelled)
+    u = sample(docs, max_unlabelled)
     return fit_nnpu(p + u, np.arange(len(p) + len(u)) < len(p), prior, bits)
 
 
