@@ -41,26 +41,46 @@ class WordIds:
 
     odd = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str, size: int = 400_000):
+    def __init__(self, path: str, size: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tool, self.size, self.known = Tokenizer.from_file(path), size, {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return self._whole([text])[0]
-        word = text.split()
-        known = self.known
-        fresh = [w for w in set(word) if w not in known]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode many words in one call and keep each one's ids."""
+        found = self.tool.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, "<u4").tobytes()
+        edge = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(fresh) + 1))
+        self.known.update((w, raw[i:j]) for w, i, j in zip(fresh, edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        words = [None if self.odd.search(t) else t.split() for t in texts]
+        seen: set[str] = set()
+        seen.update(*(w for w in words if w is not None))
+        fresh = [w for w in seen if w not in self.known]
+        if len(self.known) + len(fresh) > self.size:
+            self.known.clear()
+            fresh = list(seen)
+        # Strings of added tokens are left to the library, whole, with the word they stand in.
+        added = [w for w in fresh if "<|" in w]
         if fresh:
-            if len(known) + len(fresh) > self.size:
-                known.clear()
-                fresh = list(set(word))
-            known.update(zip(fresh, self._whole(fresh), strict=True))
-        return b"".join([known[w] for w in word])
+            self._learn([w for w in fresh if "<|" not in w])
+            self.known.update((w, self._whole(w)) for w in added)
+        get = self.known.__getitem__
+        return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+
+
+_TOOLS: dict[str, WordIds] = {}
+
+
+def word_ids(name: str) -> WordIds:
+    """One for each worker process, kept from task to task."""
+    if name not in _TOOLS:
+        _TOOLS[name] = WordIds(tokenizer_path(name))
+    return _TOOLS[name]
 
 
 class Packer:
@@ -141,14 +161,16 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each piece: where it comes from, its sequence and place, step group, and its ids."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = WordIds(tokenizer_path(tokenizer))
+        ids_of = word_ids(tokenizer)
         packer = Packer(TaskContext.get().partitionId(), longest, keep_ids=keep_ids)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for doc, text in zip(b[id_col].astype("Int64"), b[text_col], strict=True):
-                packer.add(None if doc is pd.NA else int(doc), ids_of(text or "") + end)
-                if packer.tokens >= round_tokens:
-                    yield _frame(packer.pack(False))
+            ids, texts = b[id_col].astype("Int64").tolist(), [t or "" for t in b[text_col]]
+            for at in range(0, len(texts), 256):
+                for doc, coded in zip(ids[at : at + 256], ids_of(texts[at : at + 256]), strict=True):
+                    packer.add(None if doc is pd.NA else int(doc), coded + end)
+                    if packer.tokens >= round_tokens:
+                        yield _frame(packer.pack(False))
         yield _frame(packer.pack(True))
 
     return docs.select(id_col, text_col).mapInPandas(each, SCHEMA)
