@@ -169,9 +169,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for at in range(0, len(texts), 256):
                 for doc, coded in zip(ids[at : at + 256], ids_of(texts[at : at + 256]), strict=True):
                     packer.add(None if doc is pd.NA else int(doc), coded + end)
-                    if packer.tokens >= round_tokens:
-                        yield _frame(packer.pack(False))
-        yield _frame(packer.pack(True))
+                    if packer.tokens >= round_tokens and (rows := packer.pack(False)):
+                        yield _frame(rows)
+        if rows := packer.pack(True):
+            yield _frame(rows)
 
     return docs.select(id_col, text_col).mapInPandas(each, SCHEMA)
 
