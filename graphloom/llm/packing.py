@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,26 +36,42 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes, remembered by word.
 
-    White space separates words for this vocabulary, so a text's ids are its words' ids. Texts with
-    control characters that Python takes for white space and the library does not go to it whole.
+    White space separates words for this vocabulary, so a text's ids are its words' ids. New plain
+    words are cut into pieces, which are far fewer; only pieces not met before are encoded. Other
+    new words are encoded one by one. Texts with control characters that Python takes for white
+    space and the library does not go to it whole.
     """
 
     odd = re.compile("[\x1c-\x1f]")
+    #: Signs with one undoubted lower case, that no normal form changes or joins to a neighbour.
+    plain = re.compile("[!-~\xa1-\xac\xae-įĲ-ňŊ-ž]+")
+    #: Fixed value: the cut that the vocabulary's file names, on lower-case text.
+    cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str, size: int = 1_200_000):
         from tokenizers import Tokenizer
 
-        self.tool, self.size, self.known = Tokenizer.from_file(path), size, {}
+        self.tool, self.size, self.known, self.pieces = Tokenizer.from_file(path), size, {}, {}
+        vocab = self.tool.get_vocab()
+        #: Whether an id ends a piece.
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, fresh: list[str]) -> None:
-        """Encode many words in one call and keep each one's ids."""
-        found = self.tool.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(found.ids, "<u4").tobytes()
-        edge = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(fresh) + 1))
-        self.known.update((w, raw[i:j]) for w, i, j in zip(fresh, edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        """Keep the ids of new plain words; all their new pieces are encoded in one call."""
+        parts = [self.cut.findall(w.lower()) for w in fresh]
+        found: set[str] = set()
+        found.update(*parts)
+        new = [x for x in found if x not in self.pieces]
+        ids = np.array(self.tool.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int64)
+        edge = 4 * np.concatenate(([0], np.flatnonzero(self.last[ids]) + 1))
+        raw = ids.astype("<u4").tobytes()
+        self.pieces.update((x, raw[i:j]) for x, i, j in zip(new, edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        get = self.pieces.__getitem__
+        self.known.update((w, b"".join(map(get, p))) for w, p in zip(fresh, parts, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [None if self.odd.search(t) else t.split() for t in texts]
@@ -63,12 +80,13 @@ class WordIds:
         fresh = [w for w in seen if w not in self.known]
         if len(self.known) + len(fresh) > self.size:
             self.known.clear()
+            self.pieces.clear()
             fresh = list(seen)
-        # Strings of added tokens are left to the library, whole, with the word they stand in.
-        added = [w for w in fresh if "<|" in w]
         if fresh:
-            self._learn([w for w in fresh if "<|" not in w])
-            self.known.update((w, self._whole(w)) for w in added)
+            # Strings of added tokens are left to the library, with the word they stand in.
+            easy = [w for w in fresh if "<|" not in w and self.plain.fullmatch(w)]
+            self._learn(easy)
+            self.known.update((w, self._whole(w)) for w in fresh if w not in self.known)
         get = self.known.__getitem__
         return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
