@@ -34,6 +34,8 @@ U = np.uint64
 DIMS = 128
 #: Members of a block that one task searches by tree; larger blocks are dealt out in pairs of parts.
 PART = 1024
+#: Members of a leaf that are compared at once.
+LEAF = 32
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -229,20 +231,45 @@ def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("bk", "d1", "comp", "n", "vec", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
 
-    def each(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def block(g: pd.DataFrame) -> pd.DataFrame:
         vec = np.frombuffer(b"".join(g.vec), np.int32).reshape(-1, DIMS)
         n, d, comp, part = g.n.to_numpy(), g.d1.to_numpy(), g.comp.to_numpy(), g.part.to_numpy()
+        p, q = g.p.iat[0], g.q.iat[0]
+        if p == q and len(g) <= LEAF:
+            # A tree of one leaf: its points are compared at once.
+            bound = np.minimum(vec[:, None], vec[None]).sum(axis=2)
+            fits = ((num + den) * bound >= num * (n[:, None] + n[None])) & (den * np.minimum(n[:, None], n[None]) >= num * np.maximum(n[:, None], n[None]))
+            i, j = np.nonzero(fits & (comp[:, None] != comp[None]) & (d[:, None] > d[None]))
+            return pd.DataFrame({"da": d[i], "db": d[j]})
         tree, a, b = PointTree(vec, n), [], []
         for i in range(len(g)):
-            if key[1] != key[2] and part[i] != key[1]:
+            if p != q and part[i] != p:
                 continue
             for j in tree.search(vec[i], int(n[i]), num, den):
-                if comp[i] != comp[j] and d[i] != d[j] and (key[1] == key[2] or part[j] == key[2]):
+                if comp[i] != comp[j] and d[i] != d[j] and (p == q or part[j] == q):
                     a.append(max(d[i], d[j]))
                     b.append(min(d[i], d[j]))
         return pd.DataFrame({"da": np.array(a, np.int64), "db": np.array(b, np.int64)})
 
-    return m.groupBy("bk", "p", "q").applyInPandas(each, "da long, db long").distinct()
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by block; the last block of a batch, of 2 * PART rows at most, waits for the next batch.
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(b):
+                continue
+            new = np.zeros(len(b), bool)
+            for c in ("bk", "p", "q"):
+                x = b[c].to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            edge = [0, *np.flatnonzero(new).tolist()]
+            held = b.iloc[edge[-1] :]
+            if len(edge) > 1:
+                yield pd.concat([block(b.iloc[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)])
+        if held is not None:
+            yield block(held)
+
+    return m.repartition("bk", "p", "q").sortWithinPartitions("bk", "p", "q").mapInPandas(each, "da long, db long").distinct()
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
