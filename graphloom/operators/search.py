@@ -66,6 +66,12 @@ def seeds(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order) - 1).select("id", "rank", rank_score(F.col("rank")).alias("seed_score"))
 
 
+def longest_by_category(rows: DataFrame, most: int) -> DataFrame:
+    """The longest rows (id, category, n) of each category, some few of each; ties to the smaller id."""
+    order = Window.partitionBy("category").orderBy(F.col("n").desc(), "id")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
 def scaled(value: Column, per: list[str]) -> Column:
     """Min-max in each query; constant signals are 1."""
     w = Window.partitionBy(*per)

@@ -102,3 +102,15 @@ def count_nodes(nodes: DataFrame, kind: str | None = None, category: str | None
 def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in order: the upsert's merge of old and new rows."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def validate(df: DataFrame, id_col: str, rules: list[tuple[str, str, bool]]) -> DataFrame:
+    """Rows (id, errors) of rows that break a rule (property, type, required); errors are joined by "; "."""
+    found = []
+    for name, kind, required in rules:
+        value = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+        if required:
+            found.append(F.when(value.isNull() | (value == ""), F.lit(f"missing {name}")))
+        if kind != "str":
+            found.append(F.when(value.isNotNull() & (value != "") & value.try_cast({"int": "bigint", "float": "double", "bool": "boolean"}[kind]).isNull(), F.lit(f"{name} is not {kind}")))
+    return df.select(F.col(id_col).alias("id"), F.concat_ws("; ", *found).alias("errors")).where("errors <> ''")

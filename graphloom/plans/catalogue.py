@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import expressions as X
-from graphloom.operators import changes, documents, graph, lifecycle, search, structured
+from graphloom.operators import changes, documents, evidence, graph, lifecycle, search, structured
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -413,3 +413,76 @@ def ir_metrics(t):
     run = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), "id")))
     m = search.metrics(run.select("query_id", "id", "rank"), d.where("quality = 1").select("query_id", "id"))
     return m.select("query_id", *[rounded(c) for c in ("precision", "recall", "rr", "ndcg")])
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey % 5 = 1 and o_orderkey < 200 order by o_totalprice desc, o_orderkey limit 7")
+def top_from_ids(t):
+    some = structured.filter_nodes(t("orders"), "o_orderkey", "<", 200, from_ids=list(range(1, 200, 5)), id_col="o_orderkey")
+    return structured.top_nodes(some, "o_totalprice", "desc", 7, tie="o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query(f"with {EDGES} select kind, count(*) as n, round(avg(weight), 6) as weight from e group by kind")
+def edge_stats(t):
+    return key_graph(t).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 6).alias("weight"))
+
+
+@query("""with e as (select l_partkey as source_id, l_suppkey as target_id, round(sum(l_discount), 6) as weight from lineitem group by all),
+p as (select distinct l_partkey as source_id, l_suppkey + 1 as target_id, l_partkey % 10 as maturity from lineitem where l_partkey % 3 = 0)
+select source_id, target_id, round(coalesce(greatest(-2, least(5, weight + coalesce(0.1 / (1 + 0.02 * maturity), 0))), 0.1)::double, 6) as weight from e full join p using (source_id, target_id)""")
+def hebbian_update(t):
+    li = t("lineitem")
+    e = li.groupBy(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id")).agg(F.round(F.sum("l_discount"), 6).alias("weight")).withColumn("kind", F.lit("related"))
+    pairs = li.where("l_partkey % 3 = 0").select(F.col("l_partkey").alias("source_id"), (F.col("l_suppkey") + 1).alias("target_id"), (F.col("l_partkey") % 10).alias("maturity")).distinct()
+    return lifecycle.reinforce(e, pairs).select("source_id", "target_id", rounded("weight"))
+
+
+COSINE = "list_sum(list_transform(generate_series(1, len(e)), lambda i: e[i] * q[i])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x))))"
+
+
+@query(f"""with v as (select vec_id as id, embedding::double[] as e from embeddings), f as (select list(e order by id) as m from v where id in (5, 6, 7)),
+w as (select list_transform(generate_series(1, len(e)), lambda i: 0.7 * e[i] + 0.3 * (m[1][i] + m[2][i] + m[3][i]) / 3) as q from v, f where id = 0)
+select id, round(score, 6) as score from (select id, {COSINE} as score from v, w) where score > 0 order by score desc, id limit 10""")
+def vector_prf(t):
+    v = t("embeddings")
+    some = {r[0]: r[1] for r in v.where("vec_id in (0, 5, 6, 7)").select("vec_id", "embedding").collect()}
+    return search.vector_top(v, evidence.feedback_query(some[0], [some[i] for i in (5, 6, 7)]), 10).select("id", rounded("score"))
+
+
+@query(f"""with v as (select label as id, embedding::double[] as e from embeddings), w as (select vec_id, embedding::double[] as q from embeddings where vec_id < 4),
+b as (select id, vec_id, max({COSINE}) as best from v, w group by all) select id, round(avg(best), 6) as score from b group by id""")
+def maxsim(t):
+    asked = [r[0] for r in t("embeddings").where("vec_id < 4").select("embedding").collect()]
+    return evidence.max_similarity(t("embeddings"), asked, "label", "embedding").select("id", rounded("score"))
+
+
+@query("""select o_orderkey as id, concat_ws('; ', case when try_cast(o_orderpriority as bigint) is null then 'o_orderpriority is not int' end, case when o_totalprice is null then 'missing o_totalprice' end) as errors
+from orders where try_cast(o_orderpriority as bigint) is null or o_totalprice is null""")
+def ontology_validate(t):
+    return structured.validate(t("orders"), "o_orderkey", [("o_orderpriority", "int", False), ("o_totalprice", "float", True)])
+
+
+@query("""select conv_id, turn, role, count(*) over (partition by conv_id order by turn, role, text rows between unbounded preceding and current row) as position, count(*) over (partition by conv_id) as turns from conversations""")
+def session_timeline(t):
+    by = Window.partitionBy("conv_id")
+    return t("conversations").select("conv_id", "turn", "role", F.row_number().over(by.orderBy("turn", "role", "text")).cast("long").alias("position"), F.count("*").over(by).alias("turns"))
+
+
+@query()
+def ppr_v2_topk(t):
+    d = t("documents")
+    docs = d.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.lit("chunk").alias("kind"))
+    e = d.select(F.concat(F.lit("doc:"), "doc_id").alias("source_id"), F.concat(F.lit("source:"), "source").alias("target_id"), F.lit("part_of").alias("kind"), F.lit(1.0).alias("weight"))
+    seeds = docs.where("id in ('doc:0', 'doc:1')").select("id", F.lit(1.0).alias("weight"))
+    ranked = graph.chunk_rank(e.where("target_id is not null"), seeds, docs, rounds=5)
+    return ranked.orderBy(F.round("score", 9).desc(), "id").limit(20).select("id", rounded("score", places=9))
+
+
+@query()
+def fuzzy_topk(t):
+    return evidence.fuzzy(_texts(t), "licence thereon").select("id", rounded("score"))
+
+
+@query()
+def evidence_search(t):
+    d = t("documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), F.col("source").alias("category"))
+    return evidence.evidence(d, "license thereon")
