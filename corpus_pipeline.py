@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, jaccard_join, packing, secrets, toxicity
-from graphloom.llm.keys import stored
+from graphloom.llm.keys import KEY, stored, with_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,17 +17,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 on five words, the document with the smallest id."""
-    kept = jaccard_join.link_documents(docs, shingle=5, num=80, den=100)
-    kept = kept.where("component_id = doc_id or component_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of each group linked at 0.8 on five words, one row: that of the smallest id, null ids last.
+
+    Texts without words link with nothing, so all their rows stay.
+    """
+    rows = jaccard_join.link_documents(docs, shingle=5, num=80, den=100, keep_keys=True)
+    alone = F.when(F.col("comp").isNull(), F.struct(*KEY))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)).alias("first")
+    kept = rows.groupBy("comp", alone.alias("alone")).agg(first).select("first.rk", "first.rk2", F.col("alone").isNotNull().alias("every"))
+    # Rows that repeat id and text share a key: the first of them in the other columns' order stays.
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(*docs.columns))
+    return with_key(docs).join(kept, KEY).withColumn("nth", nth).where("every or nth = 1").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share less than a twentieth of their words with the benchmark."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = decontaminate.decontaminate(docs, bench).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = decontaminate.decontaminate(docs, bench, keep_keys=True).where("contaminated").select(*KEY).distinct()
+    return with_key(docs).join(bad, KEY, "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

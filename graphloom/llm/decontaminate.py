@@ -69,10 +69,10 @@ def every_gram(n: int) -> Column:
     return F.transform(upto(0, F.size("w") - n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("w", i + 1, n)).alias("h")))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, share: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, share: int = 20, keep_keys: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document.
 
-    contaminated: at least one word in share is inside a benchmark window.
+    contaminated: at least one word in share is inside a benchmark window. keep_keys adds the row key.
     """
     src = keyed(docs, id_col, text_col)
     items = bench.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).distinct().withColumn("n", F.size("w"))
@@ -111,11 +111,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
             F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform(f["real"], lambda x: x["items"]))), lambda i: i.cast("string"))).alias("items"),
         ))
 
-    joined = src.join(hits, KEY, "left").select("doc_id", let(words(F.col("text")), result).alias("r"))
+    joined = src.join(hits, KEY, "left").select("doc_id", *KEY, let(words(F.col("text")), result).alias("r"))
     return joined.select(
         "doc_id", "r.n_words", "r.n_hit", F.size("r.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("r.items", ","), 256).alias("items_sha256"),
         ((F.col("r.n_hit") > 0) & (share * F.col("r.n_hit") >= F.col("r.n_words"))).alias("contaminated"),
+        *(KEY if keep_keys else []),
     )
 
 

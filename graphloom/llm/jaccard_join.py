@@ -13,7 +13,8 @@ members that this leaves in different components are searched by tree.
 
 Defined cases: null or empty texts have no shingles, link with nothing and are their own component;
 texts with fewer words than a shingle have the whole sequence as their only one; repeated rows are
-copies; an empty table gives no rows; further columns are ignored.
+copies; rows with null ids link as others do, but give no component its id; rows of one id with
+different texts link by their texts alone; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -272,17 +273,19 @@ def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     return m.repartition("bk", "p", "q").sortWithinPartitions("bk", "p", "q").mapInPandas(each, "da long, db long").distinct()
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, keep_keys: bool = False) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of documents linked when den*both >= num*all.
 
-    component_id is the smallest id that links reach. No pair of different texts is lost: block
-    keys, sizes and point bounds only leave out pairs that cannot link.
+    component_id is the smallest id that links reach, null where they reach null ids only. No pair
+    of different texts is lost: block keys, sizes and point bounds only leave out pairs that cannot
+    link. keep_keys adds comp, which names the component whatever its ids are and is null for texts
+    without shingles, and the row key.
     """
     levels = Levels(num, den)
     src = keyed(docs, id_col, text_col)
     light = stored(_sets(src, shingle), "sets")
     classes = light.where("n > 0").groupBy("d1", "d2").agg(F.min("n").alias("n"), F.min("vec").alias("vec"), F.min("doc_id").alias("doc_id"), F.min(F.struct("rk", "rk2")).alias("first"))
-    classes = classes.select("d1", "d2", "n", "vec", "first", F.coalesce("doc_id", "d1").alias("node"))
+    classes = classes.select("d1", "d2", "n", "vec", "first", "doc_id", F.col("d1").alias("node"))
 
     here = Window.partitionBy("bk")
     rows = _block_rows(src, shingle, levels)
@@ -313,9 +316,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = stored(_verified(more, sets, num, den), "links")
     if not more.isEmpty():
         comp = stored(components(links.union(more)), "comp")
-    whole = classes.select("d1", "d2", "node").join(comp, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("component_id"))
+    # Ids may be null or stand in rows of different texts, so classes are linked and ids looked up last.
+    least = comp.join(classes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    linked = comp.join(least, "comp").withColumn("linked", F.lit(True))
+    whole = classes.select("d1", "d2", "node", "doc_id").join(linked, "node", "left")
+    whole = whole.select("d1", "d2", F.coalesce("comp", "node").alias("comp"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("least"))
     out = light.join(whole, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component, *(["comp", *KEY] if keep_keys else []))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

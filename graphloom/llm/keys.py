@@ -15,12 +15,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Rows that repeat both share a key, and share every result; null ids and texts have keys too.
     """
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(text_col).alias("text"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"),
-        F.hash(F.col(text_col), F.col(id_col)).alias("rk2"),
-    )
+    return with_key(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *KEY)
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns, and the key."""
+    return docs.withColumns({"rk": F.xxhash64(F.col(id_col), F.col(text_col)), "rk2": F.hash(F.col(text_col), F.col(id_col))})
 
 
 def scratch(spark: SparkSession, name: str) -> str:

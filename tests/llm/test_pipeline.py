@@ -1,8 +1,10 @@
 """The pipeline's stages on the smallest table."""
 
+import random
+
 import corpus_pipeline
 
-from graphloom.llm import secrets
+from graphloom.llm import jaccard_join, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +24,45 @@ def test_pipeline(spark):
     assert clean.columns == docs.columns and clean.count() == before.count()
     assert all(not secrets.find(r.text or "")[0] for r in clean.collect())
     assert {r.doc_id for r in corpus_pipeline.pack(spark, clean, SF).select("doc_id").distinct().collect()} == kept
+
+
+def _prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def _near(text, at):
+    return " ".join("edit" if i == at else w for i, w in enumerate(text.split()))
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    groups = {i: _prose(i, 200) for i in range(10, 18)}
+    rows, want = [], []
+    for i, t in groups.items():  # a real id among null ids: the real one stays
+        rows += [(None, _near(t, 100)), (i, t), (None, _near(t, 150)), (i + 100, _near(t, 50))]
+        want.append((i, t))
+    lone = [(None, _prose(s, 60)) for s in range(30, 36)]
+    empty = [(None, ""), (None, ""), (3, None)]
+    same_id = [(9, _prose(40, 50)), (9, _prose(41, 50))]
+    twice = [(7, _prose(42, 50))]
+    rows += lone + empty + same_id + twice + twice
+    want += lone + empty + same_id + twice
+    pair = _prose(50, 200)
+    pairs = [(None, _near(pair, 60)), (None, _near(pair, 120)), (None, _near(pair, 120))]
+    docs = spark.createDataFrame(rows + pairs, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    kept = [r for r in got if r in pairs]
+    assert len(kept) == 1
+    assert sorted((r for r in got if r not in pairs), key=repr) == sorted(want, key=repr)
+    ids = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in jaccard_join.link_documents(docs).collect()}
+    assert {c for i, some, c in ids if i is None} == {None, *groups}
+    assert all(c == (i - 100 if i > 100 else i) for i, _, c in ids if i is not None)
+
+
+def test_decontamination_of_null_and_repeated_ids(spark, tmp_path):
+    item = _prose(60, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(None, _prose(61, 40)), (4, _prose(62, 40)), (None, ""), (5, None)]
+    docs = spark.createDataFrame([(None, item), (4, item), *clean], "doc_id long, text string")
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(clean, key=repr)
