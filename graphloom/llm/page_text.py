@@ -31,14 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)(/?)>""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Fixed HTML facts: elements without end tag, with raw text, that stand for no main text, that make blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe".split())
 SKIP = RAW | frozenset("head nav footer aside form button select option svg math canvas object audio video dialog menu".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header address details summary center hr".split())
 HOLDER = frozenset("html body main article section div table tbody tr td center".split())
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer\w*|masthead|header|comments?|comment-\w+|replies|disqus|respond|share\w*|social\w*|related|recommend\w*|newsletter|subscribe|signup|login|search\w*|toolbar|pagination|pager|skip\w*)(?:$|[\s_-])", re.I)
+#: Parts of class and id words. A word stands for noise as a whole: each part names noise or only says where or what kind.
+NOISE = re.compile(r"(?:ads?|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widgets?|footer\w*|masthead|header|comments?|replies|disqus|respond|share\w*|sharing|social\w*|related|recommend\w*|newsletter|subscribe|signup|login|search\w*|toolbar|pagination|pager|skip\w*)", re.I)
+KIND = frozenset("site main top bottom left right global primary secondary list area box bar container wrapper wrap block section inner item items button buttons link links form thread icons media slot unit posts".split())
+PARTS = re.compile(r"[-_]+")
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Open elements that a start tag closes, up to the nearest of the second group.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -54,6 +57,12 @@ class Node:
         self.tag, self.key, self.noise, self.kids = tag, key, noise, []
 
 
+def names_noise(word: str) -> bool:
+    parts = [x for x in PARTS.split(word.lower()) if x and not x.isdigit()]
+    noise = [bool(NOISE.fullmatch(x)) for x in parts]
+    return any(noise) and all(n or x in KIND for n, x in zip(noise, parts, strict=True))
+
+
 def parse(page: str) -> Node:
     """The tree of a page's tags; text stands among the children as strings."""
     root = Node("", "", False)
@@ -92,9 +101,10 @@ def parse(page: str) -> Node:
                 if stack[i].tag in shut:
                     del stack[i:]
                     break
-        attrs = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(m[3])} if m[3] else {}
+        attrs = {k.lower(): v.strip("\"'") for k, v in reversed(ATTR.findall(m[3]))} if m[3] else {}
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        noise = tag in SKIP or bool(tag not in ("html", "body", "main", "article") and names.strip() and NOISE.search(names)) or attrs.get("role", "").lower() in NOISE_ROLE or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))) or bool(re.search(r"\bhidden\b", m[3]) and tag != "html" and "hidden" not in names)
+        noise = tag in SKIP or tag not in ("html", "body", "main", "article") and any(map(names_noise, names.split())) or attrs.get("role", "").lower() in NOISE_ROLE
+        noise = noise or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))) or tag != "html" and ("hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true")
         if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
             noise = True
         node = Node(tag, f"{tag}.{attrs['class']}" if attrs.get("class") else tag, noise)

@@ -286,6 +286,16 @@ def test_page_text(spark):
     assert page_text.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attr", ['style="overflow:hidden"', 'aria-hidden="false"', 'title="hidden treasures"', 'class="content has-sidebar"', 'class="no-sidebar"', 'class="post-header"', 'class="entry-header"', 'data-id="menu" data-class="nav"'])
+def test_page_text_keeps_main_containers(attr):
+    assert page_text.main_text(f"<body><div {attr}><h1>Title</h1><p>Main text</p></div></body>", None) == "Title\nMain text"
+
+
+@pytest.mark.parametrize("attr", ["hidden", 'hidden=""', "HIDDEN id=x", 'aria-hidden="true"', "aria-hidden=true", 'class="x cookie-banner"', 'class="site-footer"', 'id="main-nav"', 'class="sidebar"', 'id="comments"', 'style="display: none"'])
+def test_page_text_drops_noise(attr):
+    assert page_text.main_text(f"<body><p>Main text of some length</p><div {attr}>noise</div></body>", None) == "Main text of some length"
+
+
 def test_wrapper_alignment():
     a = page_text.wrapper_of(page_text.parse("<ul><li>a<li>b</ul><p>x</p>"))
     b = page_text.wrapper_of(page_text.parse("<ul><li>a</ul><div>y</div><p>x</p>"))
