@@ -3,17 +3,20 @@
 A page's tags make a sequence of groups, nested as the tags are; text is a slot. Pages of one host
 are aligned one after another: equal groups are matched in order, what only one side has becomes
 optional, what stands there again becomes repeated, and nested groups are aligned in turn. The
-wrapper so made says, for each group, how much text its slots took over all pages of the host. The
-content is the group that holds nearly all text outside of links and boilerplate, and every page
-of the host gives that group's text slots.
+wrapper so made says, for each group, how much text and link text its slots took over all pages of
+the host, and a sample of its different texts and of the pages that have it. From the outermost group
+down to the content, which holds nearly all text, groups that say the same on page after page and
+groups of links are boilerplate; every page gives the text of all others, so that headlines beside
+the content and pages of rarer templates lose nothing. A group whose name alone calls it noise is
+kept where it holds nearly all text of the host and varies.
 
 Tasks fold their own pages into one wrapper a host, as a map-side combine; partial wrappers are
 folded again by host and salt, then by host, so that no group grows with the pages of a host.
 Extraction parses each page by itself with its host's region.
 
 Defined cases: null or empty html, or html without text, gives an empty text; very long and deeply
-nested pages are parsed without recursion; a page without its host's region falls back to its own
-wrapper; rows that repeat give repeated rows; pages without url form one host; an empty table gives
+nested pages are parsed without recursion; a page without its host's region, or that it
+leaves little of, falls back to its own wrapper; rows that repeat give repeated rows; pages without url form one host; an empty table gives
 no rows; further columns are ignored.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template xmp iframe".split())
 SKIP = RAW | frozenset("head nav footer aside form button select option svg math canvas object audio video dialog menu".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header address details summary center hr".split())
+LISTS = frozenset("section div table tbody tr td center ul ol dl p".split())
 HOLDER = frozenset("html body main article section div table tbody tr td center".split())
 #: Parts of class and id words. A word stands for noise as a whole: each part names noise or only says where or what kind.
 NOISE = re.compile(r"(?:ads?|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widgets?|footer\w*|masthead|header|comments?|replies|disqus|respond|share\w*|sharing|social\w*|related|recommend\w*|newsletter|subscribe|signup|login|search\w*|toolbar|pagination|pager|skip\w*)", re.I)
@@ -46,14 +51,19 @@ NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form
 #: Open elements that a start tag closes, up to the nearest of the second group.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 SPACES = re.compile(r"\s+")
-#: Share of the text that the content group must hold for the search to go on inside it.
+#: Share of the text that a group must hold for the search to go on inside it, or for its name to be overruled.
 MOST = 0.7
+#: Different texts and pages that a group of a wrapper remembers.
+SAMPLE = 8
+#: Names that say what a group is, not only where; a group of that name is never the content.
+SURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|comments?|replies|disqus|respond)(?:$|[\s_-])", re.I)
 
 
 class Node:
     __slots__ = ("key", "kids", "noise", "tag")
 
-    def __init__(self, tag: str, key: str, noise: bool):
+    def __init__(self, tag: str, key: str, noise: int):
+        # noise: 1 by name, 2 for sure
         self.tag, self.key, self.noise, self.kids = tag, key, noise, []
 
 
@@ -65,7 +75,7 @@ def names_noise(word: str) -> bool:
 
 def parse(page: str) -> Node:
     """The tree of a page's tags; text stands among the children as strings."""
-    root = Node("", "", False)
+    root = Node("", "", 0)
     stack, at = [root], 0
     n = len(page)
     while at < n:
@@ -103,11 +113,17 @@ def parse(page: str) -> Node:
                     break
         attrs = {k.lower(): v.strip("\"'") for k, v in reversed(ATTR.findall(m[3]))} if m[3] else {}
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        noise = tag in SKIP or tag not in ("html", "body", "main", "article") and any(map(names_noise, names.split())) or attrs.get("role", "").lower() in NOISE_ROLE
-        noise = noise or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))) or tag != "html" and ("hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true")
+        noise = 0
+        if tag not in ("html", "body", "main", "article") and any(map(names_noise, names.split())):
+            noise = 2 if SURE.search(names) else 1
+        if tag in SKIP or attrs.get("role", "").lower() in NOISE_ROLE or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+            noise = 2
+        if tag != "html" and ("hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"):
+            noise = 2
         if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
-            noise = True
-        node = Node(tag, f"{tag}.{attrs['class']}" if attrs.get("class") else tag, noise)
+            noise = 2
+        key = f"{tag}.{attrs['class']}" if attrs.get("class") and tag not in ("html", "body") else tag
+        node = Node(tag, f"~{key}" if noise == 1 else key, noise)
         stack[-1].kids.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -115,27 +131,48 @@ def parse(page: str) -> Node:
 
 
 def wrapper_of(root: Node) -> list:
-    """The page as a wrapper [key, multiplicity, text, kids]; equal neighbours are one repeated group."""
-    out = [root.key, "1", 0, []]
+    """The page as a wrapper [key, multiplicity, text, kids, link text, texts, pages]; equal neighbours are one repeated group."""
+    page: list[int] = []
+    out = [root.key, "1", 0, [], 0, [], page]
     todo = [(root, out)]
     late = []
     while todo:
         node, w = todo.pop()
-        late.append(w)
-        groups: list[list] = []
+        own = 0
         for kid in node.kids:
             if isinstance(kid, str):
-                w[2] += len(SPACES.sub("", html.unescape(kid)))
-            elif not kid.noise and kid.tag != "a":
-                g = [kid.key, "1", 0, []]
-                groups.append(g)
+                text = SPACES.sub("", html.unescape(kid))
+                w[2] += len(text)
+                own = zlib.crc32(text.encode("utf-8", "replace"), own)
+            elif kid.tag == "a" and kid.noise < 2:
+                w[4] += length(kid)
+            elif kid.noise < 2:
+                g = [kid.key, "1", 0, [], 0, [], page]
+                w[3].append(g)
                 todo.append((kid, g))
-        w[3] = groups
-    for w in reversed(late):
+        late.append((w, own))
+    for w, own in reversed(late):
+        w[5] = [zlib.crc32(repr([g[5] for g in w[3]]).encode(), own)]
         w[3] = repeated(w[3])
+        for g in w[3]:
+            if len(g[5]) > 1:  # of one page, so one text
+                g[5] = [zlib.crc32(repr(g[5]).encode())]
+    page.append(out[5][0])
     return out
 
 
+def length(node: Node) -> int:
+    """Characters of a group's text without spaces."""
+    n, todo = 0, [node]
+    while todo:
+        for kid in todo.pop().kids:
+            if isinstance(kid, str):
+                n += len(SPACES.sub("", html.unescape(kid)))
+            elif kid.noise < 2:
+                todo.append(kid)
+    return n
+
+
 def repeated(groups: list[list]) -> list[list]:
     """Runs of groups with one key become one group with a plus."""
     out: list[list] = []
@@ -152,10 +189,10 @@ def align(a: list, b: list) -> list:
     """The least wrapper of this kind that covers both: matched groups in order, others optional."""
     if len(a[3]) > 400 or len(b[3]) > 400:
         kids = repeated(sorted(a[3] + b[3], key=lambda g: g[0]))
-        return [a[0], multiplicity(a[1], b[1]), a[2] + b[2], kids]
+        return merged(a, b, kids)
     x, y = a[3], b[3]
     if [g[0] for g in x] == [g[0] for g in y]:
-        return [a[0], multiplicity(a[1], b[1]), a[2] + b[2], [align(p, q) for p, q in zip(x, y, strict=True)]]
+        return merged(a, b, [align(p, q) for p, q in zip(x, y, strict=True)])
     best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -171,7 +208,16 @@ def align(a: list, b: list) -> list:
         else:
             kids.append(optional(y[j]))
             j += 1
-    return [a[0], multiplicity(a[1], b[1]), a[2] + b[2], repeated(kids)]
+    return merged(a, b, repeated(kids))
+
+
+def merged(a: list, b: list, kids: list) -> list:
+    return [a[0], multiplicity(a[1], b[1]), a[2] + b[2], kids, a[4] + b[4], sample(a[5], b[5]), sample(a[6], b[6])]
+
+
+def sample(a: list[int], b: list[int]) -> list[int]:
+    """The smallest of both, whatever order pages come in."""
+    return a if a == b else sorted({*a, *b})[:SAMPLE]
 
 
 def multiplicity(a: str, b: str) -> str:
@@ -181,35 +227,62 @@ def multiplicity(a: str, b: str) -> str:
 
 
 def optional(g: list) -> list:
-    return [g[0], "*" if g[1] in "+*" else "?", g[2], g[3]]
+    return [g[0], "*" if g[1] in "+*" else "?", *g[2:]]
 
 
 def mass(w: list) -> int:
     return w[2] + sum(mass(g) for g in w[3])
 
 
-def region(w: list) -> list[str]:
-    """Keys of the path to the content group."""
-    path: list[str] = []
-    while True:
-        kids = [(mass(g), g) for g in w[3] if g[0].split(".")[0] in HOLDER]
-        if not kids or w[0].split(".")[0] in ("article", "main"):
-            return path
-        whole = mass(w)
-        best = max(kids, key=lambda x: (x[0], x[1][0].startswith(("article", "main"))))
-        if best[1][1] in "+*" and not best[1][0].startswith("article") or best[0] < MOST * whole or not best[0]:
-            return path
-        w = best[1]
-        path.append(w[0])
-
-
-def blocks(root: Node, path: list[str]) -> list[str] | None:
-    """Texts of the blocks in the groups at the path, in page order; None if the page has none there."""
-    level = [root]
-    for key in path:
-        level = [k for node in level for k in node.kids if not isinstance(k, str) and k.key == key and not k.noise]
-        if not level:
-            return None
+def links(w: list) -> int:
+    return w[4] + sum(links(g) for g in w[3])
+
+
+def varied(w: list) -> bool:
+    """Whether a group's text changes with the page. One page alone shows nothing, and repeated pages count once."""
+    return 2 * len(w[5]) > len(w[6])
+
+
+def region(w: list) -> dict:
+    """What of a host's pages is left out, by keys from the root: 0 for groups left out, else a further level.
+
+    Groups that are not named are kept, those with a name that means noise only where they are named.
+    """
+    whole = mass(w)
+
+    def shown(g: list) -> bool:
+        return g[0][0] != "~" or varied(g) and mass(g) >= MOST * whole > 0
+
+    def shown_mass(g: list) -> int:
+        return g[2] + sum(shown_mass(k) for k in g[3] if shown(k))
+
+    def level(w: list) -> dict:
+        groups: dict[str, list] = {}
+        for g in w[3]:  # groups of one key are not told apart in pages
+            groups[g[0]] = [*(x := align(groups[g[0]], g))[:1], "+", *x[2:]] if g[0] in groups else g
+        out: dict = {g[0]: 0 for g in groups.values() if not shown(g) and not varied(g)}
+        tag = lambda g: g[0].lstrip("~").split(".")[0]
+        kids = [(g, shown_mass(g)) for g in groups.values() if shown(g)]
+        if tag(w) in ("article", "main"):
+            return out | {g[0]: level(g) for g, _ in kids if g[0][0] == "~"}
+        most = MOST * (w[2] + sum(m for _, m in kids))
+        outer = any(m >= most > 0 and tag(g) in HOLDER for g, m in kids)
+        for g, m in kids:
+            listed = outer and m < most and tag(g) in LISTS and links(g) > m
+            if listed or not varied(g):
+                out[g[0]] = 0
+            elif outer and tag(g) in HOLDER and (g[1] in "1?" or tag(g) == "article"):
+                if (inner := level(g)) or g[0][0] == "~":
+                    out[g[0]] = inner
+            elif g[0][0] == "~":
+                out[g[0]] = {}
+        return out
+
+    return level(w)
+
+
+def blocks(root: Node, tree: dict, named: bool = False) -> list[str]:
+    """Texts of the blocks that the tree leaves, in page order; named: with groups of unclear name, too."""
     out: list[str] = []
     held: list[str] = []
 
@@ -219,31 +292,42 @@ def blocks(root: Node, path: list[str]) -> list[str] | None:
             out.append(text)
         held.clear()
 
-    for top in level:
-        todo: list = [(top, False)]
-        while todo:
-            item, done = todo.pop()
-            if isinstance(item, str):
-                held.append(html.unescape(item))
-            elif done:
+    todo: list = [(root, tree, False)]
+    while todo:
+        item, left, done = todo.pop()
+        if isinstance(item, str):
+            held.append(html.unescape(item))
+        elif done:
+            flush()
+        elif item.tag == "br":
+            held.append(" ")
+        else:
+            if item.tag in BLOCK:
                 flush()
-            elif item.tag == "br":
-                held.append(" ")
-            elif not item.noise:
-                if item.tag in BLOCK:
-                    flush()
-                    todo.append((item, True))
-                todo += [(k, False) for k in reversed(item.kids)]
-        flush()
+                todo.append((item, left, True))
+            for k in reversed(item.kids):
+                if isinstance(k, str):
+                    todo.append((k, left, False))
+                    continue
+                inner = left.get(k.key, {} if k.noise == 0 or named and k.noise == 1 else 0)
+                if inner != 0 and k.noise < 2:
+                    todo.append((k, inner, False))
+    flush()
     return out
 
 
-def main_text(page: str, path: list[str] | None) -> str:
+def main_text(page: str, tree: dict | None) -> str:
     root = parse(page)
-    found = blocks(root, path) if path is not None else None
-    if not found:
-        found = blocks(root, region(wrapper_shallow(root))) or []
-    return "\n".join(found)
+    found = blocks(root, tree) if tree is not None else []
+    if found and sum(map(len, found)) >= (1 - MOST) * sum(map(len, blocks(root, tree, True))):
+        return "\n".join(found)
+    own = region(wrapper_shallow(root))
+    return "\n".join((found and blocks(root, under(own, tree))) or blocks(root, own) or blocks(root, {}))
+
+
+def under(own: dict, host: dict) -> dict:
+    """A page's own tree, less what its host leaves out."""
+    return own | {k: under(own.get(k) or {}, v) if v != 0 else 0 for k, v in host.items()}
 
 
 #: What is nested deeper than any template gives no wrapper of its own.
@@ -255,7 +339,7 @@ def wrapper_shallow(root: Node) -> list:
     while todo:
         node, depth = todo.pop()
         if depth >= DEEP:
-            return [root.key, "1", 0, []]
+            return [root.key, "1", 0, [], 0, [0], [0]]
         todo += [(k, depth + 1) for k in node.kids if not isinstance(k, str)]
     return wrapper_of(root)
 

@@ -296,6 +296,32 @@ def test_page_text_drops_noise(attr):
     assert page_text.main_text(f"<body><p>Main text of some length</p><div {attr}>noise</div></body>", None) == "Main text of some length"
 
 
+def test_page_text_drops_only_boilerplate(spark):
+    def words(n):
+        return " ".join(f"w{RNG.randrange(10**6)}" for _ in range(n))
+
+    rows, want = [], {}
+    for i in range(12):
+        h, lead, main, more = words(4), words(15), words(60), words(20)
+        bar = '<div class="x1">Same words on each page</div><div class="x2"><a href="/">%s</a></div>' % words(30)
+        at = "http://a.example/"
+        if i in (3, 8):  # a rarer template
+            rows.append((i, at, f'<body class="c{i}">{bar}<section class="z"><h2>{h}</h2><p>{main}</p></section></body>'))
+            want[i] = f"{h}\n{main}"
+        else:
+            rows.append((i, at, f'<body class="c{i}">{bar}<h1>{h}</h1><p class="lead">{lead}</p><div class="body"><p>{main}</p></div><div class="rest">{more}</div></body>'))
+            want[i] = f"{h}\n{lead}\n{main}\n{more}"
+    for i in range(20, 26):  # the host overrules a name; an advertisement stays out
+        main = words(50)
+        rows.append((i, "http://b.example/", f'<div class="ad">{words(90)}</div><div class="search"><h1>T{i}</h1><p>{main}</p></div>'))
+        want[i] = f"T{i}\n{main}"
+    for i in range(30, 38):  # repeated pages do not make boilerplate of the content
+        rows.append((i, "http://c.example/", '<div class="t">Foot</div><div class="u"><p>All the same article</p></div>'))
+        want[i] = "Foot\nAll the same article"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in page_text.extract_text(df).collect()} == want
+
+
 def test_wrapper_alignment():
     a = page_text.wrapper_of(page_text.parse("<ul><li>a<li>b</ul><p>x</p>"))
     b = page_text.wrapper_of(page_text.parse("<ul><li>a</ul><div>y</div><p>x</p>"))
