@@ -63,7 +63,7 @@ def emails(text: str) -> list[Span]:
 def patterns(text: str) -> list[Span]:
     out = emails(text)
     if any(c in text for c in "0123456789"):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(p[:4]) <= 255 and len(p.lstrip("0")) <= 3 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -228,14 +228,57 @@ def trained() -> Field:
     return Field().fit(labelled_table())
 
 
-#: Tokens longer than this are no personal data of these kinds.
+#: Runs without spaces that are longer than this are cut where no kind goes on, first at the first of these.
 LONGEST = 120
-
-
-def chains(text: str) -> list[list[tuple[str, int]]]:
-    """Marked tokens with their unmarked neighbours, cut where two unmarked tokens meet."""
-    out: list[list[tuple[str, int]]] = []
-    end = -1
+CUTS = [
+    re.compile(r"""["'`,;<>=&?|\\^~$#!*]|[^\x00-\x7f]|(?<![0-9]):|:(?![0-9])|[{\[](?!(?:at|dot)[}\]])|(?<![{\[]at)(?<![{\[]dot)[}\]]""", re.I),
+    re.compile(r"[/:_]"),
+]
+ESCAPE = re.compile(r"%([2-7][0-9A-Fa-f])")
+AT = re.compile(r"@|[(\[{]at[)\]}]", re.I)
+HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|[(\[{]dot[)\]}])[A-Za-z0-9-]{1,63}){0,4}", re.I)
+NUMBER = re.compile(r"(?<![0-9])(?<![0-9][().:/+-])[+(]?[0-9][0-9().:/+-]{5,38}[0-9](?![().:/+-]?[0-9])")
+
+#: A token, its start in the text or -1 for a neighbour, and the text's places of its run if that was decoded.
+Entry = tuple[str, int, list[int] | None]
+
+
+def unescaped(run: str) -> tuple[str, list[int]]:
+    """The run with printable escapes such as %40 decoded, and where each character starts and the last one ends."""
+    out, places, at = [], [], 0
+    for m in ESCAPE.finditer(run):
+        out.append(run[at : m.start()])
+        places += range(at, m.start())
+        out.append(chr(int(m[1], 16)).replace("\x7f", "\n"))
+        places.append(m.start())
+        at = m.end()
+    return "".join(out) + run[at:], [*places, *range(at, len(run) + 1)]
+
+
+def cut(run: str, level: int) -> str:
+    """The run with line ends in place of what parts its pieces; places stay."""
+    if level < len(CUTS):
+        return CUTS[level].sub("\n", run)
+    # Nothing parts it: addresses around at signs, and numbers of the length that the kinds have.
+    out = ["\n"] * len(run)
+    for m in AT.finditer(run):
+        s, h = m.start(), HOST.match(run, m.end())
+        while s > max(0, m.start() - 64) and run[s - 1] in LOCAL_CHARS:
+            s -= 1
+        if h and s < m.start():
+            out[s : h.end()] = run[s : h.end()]
+    for m in NUMBER.finditer(run):
+        out[m.start() : m.end()] = m[0]
+    return "".join(out)
+
+
+def chains(text: str, level: int = 0) -> list[list[Entry]]:
+    """Marked tokens with their unmarked neighbours, cut where two unmarked tokens meet.
+
+    level counts how often the text, a run without spaces, has been cut; line ends then part chains.
+    """
+    out: list[list[Entry]] = []
+    end, last = -1, None
     for m in MARK.finditer(text):
         if m.start() < end:
             continue
@@ -243,16 +286,29 @@ def chains(text: str) -> list[list[tuple[str, int]]]:
         while start > 0 and not text[start - 1].isspace():
             start -= 1
         end = TOKEN.match(text, start).end()
-        if end - start > LONGEST:
+        if end - start > LONGEST and level <= len(CUTS):
+            run, places = unescaped(text[start:end]) if not level else (text[start:end], range(end - start + 1))
+            places = [start + p for p in places]
+            inner: dict[int, list[int]] = {}  # pieces of one run share its places
+            parts = chains(cut(run, level), level + 1)
+            for chain in parts:
+                for _, s, at in chain:
+                    if s >= 0 and at is not None and id(at) not in inner:
+                        inner[id(at)] = [places[p] for p in at]
+                out.append([(t, s, None if s < 0 else places if at is None else inner[id(at)]) for t, s, at in chain])
             continue
         left = text[max(0, start - 40) : start].split()[-1:]
         right = text[end : end + 40].split()[:1]
-        gap = text[out[-1][-2][1] + len(out[-1][-2][0]) : start] if out else None
-        token = (text[start:end], start)
-        if gap is not None and len(gap) < 40 and gap.isspace():
-            out[-1][-1:] = [token, (right[0] if right else "", -1)]
+        if level:  # beyond a cut, a word may say what follows, a number does not go on
+            left = [x for x in left if not MARK.search(x) or text[start - 1] != "\n"]
+            right = [x for x in right if not MARK.search(x) or text[end] != "\n"]
+        gap = text[last:start] if last is not None else None
+        token = (text[start:end], start, None)
+        if gap is not None and len(gap) < 40 and gap.isspace() and not (level and "\n" in gap):
+            out[-1][-1:] = [token, (right[0] if right else "", -1, None)]
         else:
-            out.append([(left[0] if left else "", -1), token, (right[0] if right else "", -1)])
+            out.append([(left[0] if left else "", -1, None), token, (right[0] if right else "", -1, None)])
+        last = end
     return out
 
 
@@ -260,14 +316,16 @@ def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and those that the field adds."""
     base, held = patterns(text), chains(text)
     added: list[Span] = []
-    for chain, labels in zip(held, field.decode([[t for t, _ in c] for c in held]), strict=True):
+    for chain, labels in zip(held, field.decode([[t for t, _, _ in c] for c in held]), strict=True):
         last = None
-        for (token, start), label in zip(chain, labels, strict=True):
+        for (token, start, places), label in zip(chain, labels, strict=True):
             if not label or start < 0:
                 last = None
                 continue
             lead = len(token) - len(token.lstrip(EDGE))
             s, e = start + lead, start + len(token.rstrip(EDGE))
+            if places and e > s:
+                s, e = places[s], places[e]
             number = LABELS[label] == "card" and sum(c.isdigit() for c in token) >= 12
             if last == label and not number:
                 added[-1] = (added[-1][0], added[-1][1], e)

@@ -131,6 +131,31 @@ def test_personal_data_patterns_and_field(spark):
     assert personal_data.find_personal_data(empty(spark)).count() == 0
 
 
+def _long_runs():
+    pad = "abcdef" * 40
+    phone, mail = "(361)555-8283", "jane[at]mail.example"
+    yield '{"a":"%s","phone":"%s","b":[1,2]}' % (pad, phone), phone
+    yield '{"a":"%s","mail":"%s"}' % (pad, mail), mail
+    yield f"{pad},17,{phone},18", phone
+    yield f"q={pad}&call=%28361%29555-8283&x=1", "%28361%29555-8283"
+    yield f"q={pad}&call=%28361%29%20555-8283&x=1", "%28361%29%20555-8283"
+    yield "\u6587\u5b57" * 80 + phone + "\u6587\u5b57" * 80, phone
+    yield f"{pad}/{phone}/{pad}", phone
+    yield pad + phone + pad, phone
+
+
+@pytest.mark.parametrize(("run", "held"), [*_long_runs()])
+def test_personal_data_in_long_runs(run, held):
+    for text, off in ((run, 0), (f"some words {run} and more", 11)):
+        _, added = personal_data.find(text, personal_data.trained())
+        at = off + run.index(held)
+        assert [(s, e) for _, s, e in added] == [(at, at + len(held))], added
+
+
+def test_ip_parts_are_judged_whole():
+    assert personal_data.patterns("1.2.3.00999 0001.2.3.000255 1.2.3.256 1.2.3.0000") == [("ip", 12, 27), ("ip", 38, 48)]
+
+
 @pytest.mark.parametrize("factor", [1.0, 1.3])
 def test_nearest(spark, factor):
     rng = np.random.default_rng(1)
