@@ -12,8 +12,8 @@ from graphloom.llm.keys import KEY, stored, with_key
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on all labelled rows, does not mark."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return scored.where("predicted = 0").select(docs.columns)
+    model = toxicity.train(docs, labels)
+    return docs.where(toxicity.score_column(spark, model, docs["text"]) < 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

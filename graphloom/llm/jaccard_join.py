@@ -8,8 +8,11 @@ are passed over when that sum cannot reach the threshold. What is left is verifi
 The trees are small and many. Sets that are similar enough differ in few shingles, so of more
 groups than that, one at least holds just the same shingles in both: documents are dealt out by
 the content of single groups, and only documents that share one meet in a tree. Copies are one
-point with a class id. In each such block all members are first tried against one of them; only
-members that this leaves in different components are searched by tree.
+point with a class id. In each such block all members are first tried against one of them; where
+that leaves several components, members outside the largest one are searched against all others.
+Trees only mark members that have a candidate. The texts of marked members then meet in the same
+task, pairs that a bound cannot rule out are verified there on whole sets, and only links that
+join two components come out: fewer than members, however many pairs a block has.
 
 Defined cases: null or empty texts have no shingles, link with nothing and are their own component;
 texts with fewer words than a shingle have the whole sequence as their only one; repeated rows are
@@ -20,21 +23,21 @@ different texts link by their texts alone; an empty table gives no rows; further
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import wordhash
-from graphloom.llm.keys import KEY, components, keyed, stored
+from graphloom.llm.keys import KEY, Scratch, components, keyed
 
 U = np.uint64
 #: Coordinates of a point.
 DIMS = 128
-#: Members of a block that one task searches by tree; larger blocks are dealt out in pairs of parts.
-PART = 1024
+#: Members of a block that one task holds; larger blocks are dealt out in pairs of parts.
+PART = 512
 #: Members of a leaf that are compared at once.
 LEAF = 32
 
@@ -131,21 +134,16 @@ class PointTree:
         return next(i for i, x in enumerate(self.levels) if x[0] is top)
 
 
-def _sets(src: DataFrame, size: int) -> DataFrame:
-    """One light row for each document: class digest, size and point."""
+def _light(src: DataFrame, size: int) -> DataFrame:
+    """One light row for each document: the size and a digest of its set."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n, d1, d2, vec = [], [], [], []
-            for text in b.text:
-                s = shingles(text, size)
-                n.append(len(s))
-                d1.append(int(_digest(s, 0)))
-                d2.append(int(_digest(s, 1)))
-                vec.append(point(s).tobytes())
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "rk": b.rk, "rk2": b.rk2, "n": np.array(n, np.int64), "d1": np.array(d1, np.int64), "d2": np.array(d2, np.int64), "vec": vec})
+            sets = [shingles(text, size) for text in b.text]
+            n = np.array([len(s) for s in sets], np.int64)
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "rk": b.rk, "rk2": b.rk2, "n": n} | {f"d{i + 1}": np.array([_digest(s, i) for s in sets], np.int64) for i in (0, 1)})
 
-    return src.mapInPandas(each, "doc_id long, rk long, rk2 int, n long, d1 long, d2 long, vec binary")
+    return src.mapInPandas(each, "doc_id long, rk long, rk2 int, n long, d1 long, d2 long")
 
 
 def _digest(s: np.ndarray, seed: int) -> np.int64:
@@ -170,7 +168,8 @@ def _block_rows(src: DataFrame, size: int, levels: Levels) -> DataFrame:
                 done.add(d1)
                 k = levels.blocks(s)
                 if len(k):
-                    keys.append(k.view(np.int64))
+                    # Six bytes of a key do: what meets by chance is told apart later.
+                    keys.append((k >> U(16)).view(np.int64))
                     ids.append(np.full(len(k), d1))
                     held += len(k)
                 if held > 500_000:
@@ -182,95 +181,150 @@ def _block_rows(src: DataFrame, size: int, levels: Levels) -> DataFrame:
     return src.select("text").mapInPandas(each, "bk long, d1 long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of class keys that link, tested on whole sets."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of blocks with more than one class."""
+    here = Window.partitionBy("bk")
+    return rows.withColumns({"lo": F.min("d1").over(here), "hi": F.max("d1").over(here)}).where("lo < hi").select("bk", "d1")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.s, b.t, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield b.loc[np.array(keep, bool), ["a", "b"]]
 
-    left = sets.select(F.col("d1").alias("da"), F.col("node").alias("a"), F.col("s"))
-    right = sets.select(F.col("d1").alias("db"), F.col("node").alias("b"), F.col("s").alias("t"))
-    return pairs.join(left, "da").join(right, "db").select("a", "b", "s", "t").mapInPandas(each, "a long, b long")
+def _once(members: DataFrame) -> DataFrame:
+    """Distinct rows of blocks; those with the very same members, by number and sums of hashes, are searched once."""
+    members = members.distinct()
+    sign = members.groupBy("bk").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("d1")).alias("x"), F.bit_xor(F.xxhash64("d1", F.lit(1))).alias("y"))
+    return members.join(sign.groupBy("m", "x", "y").agg(F.min("bk").alias("bk")).select("bk"), "bk", "left_semi")
 
 
-def _bounded(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that sizes and the points' summed minima allow."""
+def _parts(many: str) -> Column:
+    return F.ceil(F.col(many) / PART).cast("int")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            x = np.frombuffer(b"".join(b.va), np.int32).reshape(-1, DIMS)
-            y = np.frombuffer(b"".join(b.vb), np.int32).reshape(-1, DIMS)
-            n, m = b.na.to_numpy(), b.nb.to_numpy()
-            ok = ((num + den) * np.minimum(x, y).sum(axis=1) >= num * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
-            yield b.loc[ok, ["da", "db"]]
 
-    a = info.select(F.col("d1").alias("da"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    b = info.select(F.col("d1").alias("db"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
-    return pairs.join(a, "da").join(b, "db").mapInPandas(each, "da long, db long").distinct()
+def _among(first: Column, count: Column) -> Column:
+    """A part of count parts from first on, by the class."""
+    return (first + F.pmod(F.hash("d1"), count)).cast("int")
 
 
-def _once(members: DataFrame) -> DataFrame:
-    """Blocks with the very same members are searched once: they agree in number and in the sum of hashes."""
-    sign = members.groupBy("bk").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("d1")).alias("x"), F.bit_xor(F.xxhash64("d1", F.lit(1))).alias("y"))
-    return members.join(sign.groupBy("m", "x", "y").agg(F.min("bk").alias("bk")).select("bk"), "bk", "left_semi")
+def _to(first: Column, last: Column) -> Column:
+    return F.explode(F.sequence(first, last))
 
 
-def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a block's members in different components that its R-tree cannot rule out."""
-    sized = members.groupBy("bk").agg(F.count("*").alias("m"))
-    m = members.join(sized, "bk").withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
-    m = m.withColumn("part", F.pmod(F.hash("d1"), F.col("parts")))
-    # A large block: every part meets every other part in a task of its own.
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("bk", "d1", "comp", "n", "vec", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+def _stars(once: DataFrame) -> DataFrame:
+    """Task rows (g, p, q, part, d1, comp): the least member of each block, as part 0, meets all others."""
+    lo = once.groupBy("bk").agg(F.min("d1").alias("lo"))
+    others = once.join(lo, "bk").where("d1 > lo").select(F.col("lo").alias("g"), "d1").distinct()
+    centre = others.groupBy("g").agg(F.count("*").alias("m")).withColumn("parts", _parts("m"))
+    others = others.join(centre, "g").withColumn("q", _among(F.lit(1), F.col("parts"))).select("g", F.lit(0).alias("p"), "q", F.col("q").alias("part"), "d1")
+    centre = centre.select("g", F.lit(0).alias("p"), _to(F.lit(1), F.col("parts")).alias("q"), F.lit(0).alias("part"), F.col("g").alias("d1"))
+    return others.union(centre).withColumn("comp", F.col("d1"))
 
-    def block(g: pd.DataFrame) -> pd.DataFrame:
-        vec = np.frombuffer(b"".join(g.vec), np.int32).reshape(-1, DIMS)
-        n, d, comp, part = g.n.to_numpy(), g.d1.to_numpy(), g.comp.to_numpy(), g.part.to_numpy()
-        p, q = g.p.iat[0], g.q.iat[0]
-        if p == q and len(g) <= LEAF:
-            # A tree of one leaf: its points are compared at once.
-            bound = np.minimum(vec[:, None], vec[None]).sum(axis=2)
-            fits = ((num + den) * bound >= num * (n[:, None] + n[None])) & (den * np.minimum(n[:, None], n[None]) >= num * np.maximum(n[:, None], n[None]))
-            i, j = np.nonzero(fits & (comp[:, None] != comp[None]) & (d[:, None] > d[None]))
-            return pd.DataFrame({"da": d[i], "db": d[j]})
-        tree, a, b = PointTree(vec, n), [], []
-        for i in range(len(g)):
-            if p != q and part[i] != p:
-                continue
-            for j in tree.search(vec[i], int(n[i]), num, den):
-                if comp[i] != comp[j] and d[i] != d[j] and (p == q or part[j] == q):
-                    a.append(max(d[i], d[j]))
-                    b.append(min(d[i], d[j]))
-        return pd.DataFrame({"da": np.array(a, np.int64), "db": np.array(b, np.int64)})
+
+def _rest(once: DataFrame, comp: DataFrame) -> DataFrame:
+    """Task rows of blocks in several components: those outside the largest one meet each other and all of it.
+
+    The largest component of a block takes the first parts, which meet no part of their own kind.
+    """
+    rows = once.join(comp, F.col("d1") == F.col("node"), "left").select(F.col("bk").alias("g"), "d1", F.coalesce("comp", "d1").alias("comp"))
+    sized = rows.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    block = sized.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m")).where("top.n < m")
+    block = block.select("g", F.col("top.comp").alias("most"), F.col("top.n").alias("c"), (F.col("m") - F.col("top.n")).alias("u"))
+    block = block.select("g", "most", _parts("c").alias("cp"), _parts("u").alias("up"))
+    rows = rows.join(block, "g")
+    inside = F.col("comp") == F.col("most")
+    rows = rows.withColumn("part", F.when(inside, _among(F.lit(0), F.col("cp"))).otherwise(_among(F.col("cp"), F.col("up"))))
+    rows = rows.withColumn("other", _to(F.when(inside, F.col("cp")).otherwise(F.lit(0)), F.col("cp") + F.col("up") - 1))
+    return rows.select("g", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "d1", "comp")
+
+
+TASK = ["g", "p", "q"]
+
+
+def _by_task(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """work on each task's rows, which come sorted by task; the last task of a batch waits for the next batch."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted by block; the last block of a batch, of 2 * PART rows at most, waits for the next batch.
-        held = None
+        held: list[pd.DataFrame] = []
         for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
             if not len(b):
                 continue
+            keys = [b[c].to_numpy() for c in TASK]
             new = np.zeros(len(b), bool)
-            for c in ("bk", "p", "q"):
-                x = b[c].to_numpy()
+            for x in keys:
                 new[1:] |= x[1:] != x[:-1]
-            edge = [0, *np.flatnonzero(new).tolist()]
-            held = b.iloc[edge[-1] :]
-            if len(edge) > 1:
-                yield pd.concat([block(b.iloc[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)])
-        if held is not None:
-            yield block(held)
+            new[0] = bool(held) and any(h[c].iat[0] != b[c].iat[0] for h in held[:1] for c in TASK)
+            edge = [*([] if new[0] else [0]), *np.flatnonzero(new).tolist()]
+            if new[0]:
+                yield work(pd.concat(held, ignore_index=True))
+                held = []
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                yield work(pd.concat([*held, b.iloc[i:j]], ignore_index=True))
+                held = []
+            held.append(b.iloc[edge[-1] :])
+        if held:
+            yield work(pd.concat(held, ignore_index=True))
 
-    return m.repartition("bk", "p", "q").sortWithinPartitions("bk", "p", "q").mapInPandas(each, "da long, db long").distinct()
+    return rows.repartition(*TASK).sortWithinPartitions(*TASK).mapInPandas(each, schema)
+
+
+def _may_link(bound: np.ndarray, n: np.ndarray | int, m: np.ndarray | int, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m that overlap in no more than the bound may link."""
+    return ((num + den) * bound >= num * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+
+
+def _marked(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """The task rows whose member has another one in its task, of another component, that its R-tree cannot rule out."""
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        vec = np.frombuffer(b"".join(g.vec), np.int32).reshape(-1, DIMS)
+        n, comp, part = g.n.to_numpy(), g.comp.to_numpy(), g.part.to_numpy()
+        apart = g.p.iat[0] != g.q.iat[0]
+        mark = np.zeros(len(g), bool)
+        if len(g) <= LEAF:  # a tree of one leaf: its points are compared at once
+            fits = _may_link(np.minimum(vec[:, None], vec[None]).sum(axis=2), n[:, None], n[None], num, den) & (comp[:, None] != comp[None])
+            mark = (fits & (part[:, None] != part[None]) if apart else fits).any(axis=1)
+        else:
+            held, asks = (np.flatnonzero(part == g.p.iat[0]), np.flatnonzero(part == g.q.iat[0])) if apart else (np.arange(len(g)),) * 2
+            if len(held) and len(asks):
+                tree = PointTree(vec[held], n[held])
+                for i in asks:
+                    found = held[tree.search(vec[i], int(n[i]), num, den)]
+                    found = found[comp[found] != comp[i]]
+                    mark[found] = True
+                    mark[i] |= len(found) > 0
+        return g.loc[mark, [*TASK, "part", "d1", "comp"]]
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*TASK, "part", "d1", "comp"])
+    return _by_task(rows.join(points, "d1").select(*TASK, "part", "d1", "comp", "n", "vec"), work, schema)
+
+
+def _links(marked: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components of a task's members, found on whole sets."""
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(t, size) for t in g.text]
+        n, part, d1 = np.array([len(s) for s in sets]), g.part.to_numpy(), g.d1.to_numpy()
+        apart = g.p.iat[0] != g.q.iat[0]
+        points = np.stack([point(s) for s in sets])
+        at = np.concatenate(([0], np.cumsum(n)))
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        seen = np.zeros(len(number), bool)
+        root = np.unique(g.comp.to_numpy(), return_inverse=True)[1]  # of each member, the component's number so far
+        a, b = [], []
+        for i in range(len(g)):
+            own = number[at[i] : at[i + 1]]
+            seen[own] = True
+            open_ = np.flatnonzero(_may_link(np.minimum(points[:i], points[i]).sum(axis=1), n[:i], n[i], num, den) & (root[:i] != root[i]) & (~apart | (part[:i] != part[i])))
+            for j in open_:
+                if root[j] == root[i]:
+                    continue
+                both = int(seen[number[at[j] : at[j + 1]]].sum())
+                if den * both >= num * (n[i] + n[j] - both):
+                    a.append(d1[i])
+                    b.append(d1[j])
+                    root[root == root[j]] = root[i]
+            seen[own] = False
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return _by_task(marked.join(texts, "d1").select(*TASK, "part", "d1", "comp", "text"), work, "a long, b long")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, keep_keys: bool = False) -> DataFrame:
@@ -278,49 +332,42 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     component_id is the smallest id that links reach, null where they reach null ids only. No pair
     of different texts is lost: block keys, sizes and point bounds only leave out pairs that cannot
-    link. keep_keys adds comp, which names the component whatever its ids are and is null for texts
-    without shingles, and the row key.
+    link, and a pair is left unverified only where other links join its members already. keep_keys
+    adds comp, which names the component whatever its ids are and is null for texts without
+    shingles, and the row key.
     """
     levels = Levels(num, den)
     src = keyed(docs, id_col, text_col)
-    light = stored(_sets(src, shingle), "sets")
-    classes = light.where("n > 0").groupBy("d1", "d2").agg(F.min("n").alias("n"), F.min("vec").alias("vec"), F.min("doc_id").alias("doc_id"), F.min(F.struct("rk", "rk2")).alias("first"))
-    classes = classes.select("d1", "d2", "n", "vec", "first", "doc_id", F.col("d1").alias("node"))
-
-    here = Window.partitionBy("bk")
-    rows = _block_rows(src, shingle, levels)
-    rows = rows.withColumns({"lo": F.min("d1").over(here), "hi": F.max("d1").over(here)}).where("lo < hi").select("bk", "d1", "lo")
-    rows = stored(rows, "blocks")
-    star = rows.where("d1 > lo").select(F.col("d1").alias("da"), F.col("lo").alias("db")).distinct()
-    star = stored(_bounded(star, classes, num, den), "star")
-    met = stored(rows.select("d1").distinct(), "met")
-    chosen = classes.join(met, "d1", "left_semi").select("d1", "node", "n", "vec", "first.rk", "first.rk2")
+    held = Scratch(docs.sparkSession)
+    light = held.stored(_light(src, shingle), "light")
+    classes = light.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("rk", "rk2")).alias("first"))
+    once = held.stored(_once(held.stored(_shared(_block_rows(src, shingle, levels)), "blocks")), "once")
+    held.drop("blocks")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"d1": b.d1, "node": b.node, "n": b.n, "vec": b.vec, "s": [shingles(t, shingle).tobytes() for t in b.text]})
-
-    sets = src.join(chosen, KEY).dropDuplicates(["d1", "node"]).select("d1", "node", "n", "vec", "text")
-    sets = stored(sets.mapInPandas(each, "d1 long, node long, n long, vec binary, s binary"), "chosen")
-    links = stored(_verified(star, sets, num, den), "links")
-    comp = stored(components(links), "comp")
-    # Members of a block that its first member has not joined.
-    named = sets.select("d1", "node", "n", "vec").join(comp, "node", "left").select("d1", "n", "vec", F.coalesce("comp", "node").alias("comp"))
-    rest = rows.where("d1 > lo").select("bk", "d1").distinct().join(named.select("d1", "comp"), "d1")
-    split = rest.groupBy("bk").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.max("d1").alias("da"), F.min("d1").alias("db")).where("x < y")
-    split = stored(split, "split")
-    two = split.where("m = 2").select("da", "db").distinct()
-    large = rest.join(split.where("m > 2").select("bk"), "bk", "left_semi")
-    large = _once(large).join(named.select("d1", "n", "vec"), "d1")
-    more = _bounded(two, classes, num, den).union(_tree_pairs(large, num, den)).distinct().join(star, ["da", "db"], "left_anti")
-    more = stored(_verified(more, sets, num, den), "links")
+            sets = [shingles(t, shingle) for t in b.text]
+            yield pd.DataFrame({"d1": b.d1, "n": np.array([len(s) for s in sets], np.int64), "vec": [point(s).tobytes() for s in sets], "text": b.text})
+
+    chosen = classes.join(once.select("d1").distinct(), "d1", "left_semi").groupBy("d1").agg(F.min("first").alias("first")).select("d1", "first.rk", "first.rk2")
+    met = src.join(chosen, KEY).select("d1", "text").dropDuplicates(["d1"])
+    met = held.stored(met.mapInPandas(each, "d1 long, n long, vec binary, text string"), "met")
+    points, texts = met.select("d1", "n", "vec"), met.select("d1", "text")
+
+    def found(tasks: DataFrame, name: str) -> DataFrame:
+        return held.stored(_links(held.stored(_marked(tasks, points, num, den), "marked"), texts, shingle, num, den), name)
+
+    star = found(_stars(once), "star")
+    comp = held.stored(components(star), "comp")
+    more = found(_rest(once, comp), "more")
     if not more.isEmpty():
-        comp = stored(components(links.union(more)), "comp")
+        comp = held.stored(components(star.union(more)), "comp")
+    held.drop("once", "met", "marked", "star", "more")
     # Ids may be null or stand in rows of different texts, so classes are linked and ids looked up last.
-    least = comp.join(classes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    least = comp.join(classes.select(F.col("d1").alias("node"), "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
     linked = comp.join(least, "comp").withColumn("linked", F.lit(True))
-    whole = classes.select("d1", "d2", "node", "doc_id").join(linked, "node", "left")
-    whole = whole.select("d1", "d2", F.coalesce("comp", "node").alias("comp"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("least"))
+    whole = classes.join(linked, F.col("d1") == F.col("node"), "left")
+    whole = whole.select("d1", "d2", F.coalesce("comp", "d1").alias("comp"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("least"))
     out = light.join(whole, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component, *(["comp", *KEY] if keep_keys else []))

@@ -1,4 +1,4 @@
-"""Row keys and shared scratch folders for the operators."""
+"""Row keys, shared scratch folders and connected components for the operators."""
 
 from __future__ import annotations
 
@@ -29,7 +29,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         import tempfile
 
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="graphloom-")
+        root = spark.sparkContext.getCheckpointDir()
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = root or tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -41,17 +44,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one call by name, so that each can be deleted after its last reader."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """As above; a table of the same name that was stored before is deleted once this one is written."""
+        path, old = scratch(self.spark, name), self.paths.get(name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        if old:
+            _delete(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) as rows (node, comp), comp the smallest node.
 
     Alternates large-star and small-star rounds; every round is grouped and joined by Spark
-    and written to the shared folder. Nothing is collected but one count for each round.
+    and written to the shared folder, where it takes the place of the one before. Nothing is
+    collected but one count for each round.
     """
+    held = Scratch(edges.sparkSession)
+
     def sign(df: DataFrame) -> tuple:
         row = df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         return row[0], row[1]
 
-    nxt = stored(edges.select("a", "b").where("a <> b").distinct(), "cc")
+    nxt = held.stored(edges.select("a", "b").where("a <> b").distinct(), "cc")
     before, now = None, sign(nxt)
     while before != now:
         e = nxt
@@ -61,7 +93,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        nxt = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        nxt = held.stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
         before, now = now, sign(nxt)
     comp = nxt.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     roots = nxt.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()

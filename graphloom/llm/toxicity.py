@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import wordhash
@@ -141,15 +141,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_nnpu(p + u, np.arange(len(p) + len(u)) < len(p), prior, bits)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with score and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The model's score of a text column, from 0 to 1."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in text], dtype="float64")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    out = docs.withColumn("score", scored(F.col(text_col)))
+    return scored(text)
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of docs with score and predicted, in place of columns of those names."""
+    out = docs.withColumn("score", score_column(docs.sparkSession, model, F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
