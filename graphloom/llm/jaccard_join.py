@@ -188,8 +188,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _once(members: DataFrame) -> DataFrame:
-    """Distinct rows of blocks; those with the very same members, by number and sums of hashes, are searched once."""
-    members = members.distinct()
+    """Rows of blocks; of those with the very same members, by number and sums of hashes, one is left."""
     sign = members.groupBy("bk").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("d1")).alias("x"), F.bit_xor(F.xxhash64("d1", F.lit(1))).alias("y"))
     return members.join(sign.groupBy("m", "x", "y").agg(F.min("bk").alias("bk")).select("bk"), "bk", "left_semi")
 
@@ -220,14 +219,17 @@ def _stars(once: DataFrame) -> DataFrame:
 def _rest(once: DataFrame, comp: DataFrame) -> DataFrame:
     """Task rows of blocks in several components: those outside the largest one meet each other and all of it.
 
-    The largest component of a block takes the first parts, which meet no part of their own kind.
+    Least members have met all others and are left out. The largest component of a block takes the first
+    parts, which meet no part of their own kind.
     """
-    rows = once.join(comp, F.col("d1") == F.col("node"), "left").select(F.col("bk").alias("g"), "d1", F.coalesce("comp", "d1").alias("comp"))
-    sized = rows.groupBy("g", "comp").agg(F.count("*").alias("n"))
-    block = sized.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m")).where("top.n < m")
-    block = block.select("g", F.col("top.comp").alias("most"), F.col("top.n").alias("c"), (F.col("m") - F.col("top.n")).alias("u"))
-    block = block.select("g", "most", _parts("c").alias("cp"), _parts("u").alias("up"))
-    rows = rows.join(block, "g")
+    lo = once.groupBy("bk").agg(F.min("d1").alias("lo"))
+    rows = once.join(lo, "bk").where("d1 > lo").join(comp, F.col("d1") == F.col("node"), "left").select("bk", "d1", F.coalesce("comp", "d1").alias("comp"))
+    sized = rows.groupBy("bk", "comp").agg(F.count("*").alias("n"))
+    block = sized.groupBy("bk").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m")).where("top.n < m")
+    block = block.select("bk", F.col("top.comp").alias("most"), F.col("top.n").alias("c"), (F.col("m") - F.col("top.n")).alias("u"))
+    rows = _once(rows.select("bk", "d1", "comp").join(block.select("bk"), "bk", "left_semi"))
+    block = block.select(F.col("bk").alias("g"), "most", _parts("c").alias("cp"), _parts("u").alias("up"))
+    rows = rows.withColumnRenamed("bk", "g").join(block, "g")
     inside = F.col("comp") == F.col("most")
     rows = rows.withColumn("part", F.when(inside, _among(F.lit(0), F.col("cp"))).otherwise(_among(F.col("cp"), F.col("up"))))
     rows = rows.withColumn("other", _to(F.when(inside, F.col("cp")).otherwise(F.lit(0)), F.col("cp") + F.col("up") - 1))
@@ -237,29 +239,31 @@ def _rest(once: DataFrame, comp: DataFrame) -> DataFrame:
 TASK = ["g", "p", "q"]
 
 
-def _by_task(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """work on each task's rows, which come sorted by task; the last task of a batch waits for the next batch."""
+def _by_task(rows: DataFrame, work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
+    """work on the columns of each task's rows, which come sorted by task; the last task of a batch waits for the next batch."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def done(b: pd.DataFrame, edge: list[int]) -> pd.DataFrame | None:
+        cols = {c: b[c].to_numpy() for c in b.columns}
+        out = [x for i, j in zip(edge[:-1], edge[1:], strict=True) if (x := work({c: v[i:j] for c, v in cols.items()})) is not None]
+        return pd.DataFrame({n: np.concatenate([x[n] for x in out]) for n in names}) if out else None
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: pd.DataFrame | None = None
         for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
             if not len(b):
                 continue
-            keys = [b[c].to_numpy() for c in TASK]
             new = np.zeros(len(b), bool)
-            for x in keys:
+            for c in TASK:
+                x = b[c].to_numpy()
                 new[1:] |= x[1:] != x[:-1]
-            new[0] = bool(held) and any(h[c].iat[0] != b[c].iat[0] for h in held[:1] for c in TASK)
-            edge = [*([] if new[0] else [0]), *np.flatnonzero(new).tolist()]
-            if new[0]:
-                yield work(pd.concat(held, ignore_index=True))
-                held = []
-            for i, j in zip(edge[:-1], edge[1:], strict=True):
-                yield work(pd.concat([*held, b.iloc[i:j]], ignore_index=True))
-                held = []
-            held.append(b.iloc[edge[-1] :])
-        if held:
-            yield work(pd.concat(held, ignore_index=True))
+            edge = [0, *np.flatnonzero(new).tolist()]
+            held = b.iloc[edge[-1] :]
+            if (out := done(b, edge)) is not None:
+                yield out
+        if held is not None and (out := done(held, [0, len(held)])) is not None:
+            yield out
 
     return rows.repartition(*TASK).sortWithinPartitions(*TASK).mapInPandas(each, schema)
 
@@ -272,16 +276,20 @@ def _may_link(bound: np.ndarray, n: np.ndarray | int, m: np.ndarray | int, num:
 def _marked(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """The task rows whose member has another one in its task, of another component, that its R-tree cannot rule out."""
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        vec = np.frombuffer(b"".join(g.vec), np.int32).reshape(-1, DIMS)
-        n, comp, part = g.n.to_numpy(), g.comp.to_numpy(), g.part.to_numpy()
-        apart = g.p.iat[0] != g.q.iat[0]
-        mark = np.zeros(len(g), bool)
-        if len(g) <= LEAF:  # a tree of one leaf: its points are compared at once
-            fits = _may_link(np.minimum(vec[:, None], vec[None]).sum(axis=2), n[:, None], n[None], num, den) & (comp[:, None] != comp[None])
-            mark = (fits & (part[:, None] != part[None]) if apart else fits).any(axis=1)
+    names = [*TASK, "part", "d1", "comp"]
+
+    def work(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        vec = np.frombuffer(b"".join(g["vec"]), np.int32).reshape(-1, DIMS)
+        n, comp, part, p, q = g["n"], g["comp"], g["part"], g["p"][0], g["q"][0]
+        mark = np.zeros(len(n), bool)
+        if len(n) <= LEAF:  # a tree of one leaf: its points are compared at once
+            fits = (comp[:, None] != comp[None]) & (den * np.minimum(n[:, None], n[None]) >= num * np.maximum(n[:, None], n[None]))
+            fits &= (part[:, None] != part[None]) if p != q else True
+            i, j = np.nonzero(np.triu(fits))
+            fits = (num + den) * np.minimum(vec[i], vec[j]).sum(axis=1) >= num * (n[i] + n[j])
+            mark[i[fits]] = mark[j[fits]] = True
         else:
-            held, asks = (np.flatnonzero(part == g.p.iat[0]), np.flatnonzero(part == g.q.iat[0])) if apart else (np.arange(len(g)),) * 2
+            held, asks = (np.flatnonzero(part == p), np.flatnonzero(part == q)) if p != q else (np.arange(len(n)),) * 2
             if len(held) and len(asks):
                 tree = PointTree(vec[held], n[held])
                 for i in asks:
@@ -289,40 +297,50 @@ def _marked(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame
                     found = found[comp[found] != comp[i]]
                     mark[found] = True
                     mark[i] |= len(found) > 0
-        return g.loc[mark, [*TASK, "part", "d1", "comp"]]
+        return {c: g[c][mark] for c in names} if mark.any() else None
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*TASK, "part", "d1", "comp"])
-    return _by_task(rows.join(points, "d1").select(*TASK, "part", "d1", "comp", "n", "vec"), work, schema)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names)
+    return _by_task(rows.join(points, "d1").select(*names, "n", "vec"), work, schema)
+
+
+def _marked_once(marked: DataFrame) -> DataFrame:
+    """Tasks with the very same marked members are verified once, in whichever of them."""
+    side = F.xxhash64("d1", F.col("part") == F.col("p"))
+    sign = marked.groupBy(*TASK).agg(F.count("*").alias("m"), F.bit_xor(side).alias("x"), F.bit_xor(F.xxhash64(side, F.lit(1))).alias("y"))
+    first = sign.groupBy("m", "x", "y").agg(F.min(F.struct(*TASK)).alias("t")).select("t.*")
+    return marked.join(first, TASK, "left_semi")
 
 
 def _links(marked: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that join the components of a task's members, found on whole sets."""
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t, size) for t in g.text]
-        n, part, d1 = np.array([len(s) for s in sets]), g.part.to_numpy(), g.d1.to_numpy()
-        apart = g.p.iat[0] != g.q.iat[0]
+    def work(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        sets = [shingles(t, size) for t in g["text"]]
+        n, part, d1 = np.array([len(s) for s in sets]), g["part"], g["d1"]
+        apart = g["p"][0] != g["q"][0]
         points = np.stack([point(s) for s in sets])
         at = np.concatenate(([0], np.cumsum(n)))
         number = np.unique(np.concatenate(sets), return_inverse=True)[1]
         seen = np.zeros(len(number), bool)
-        root = np.unique(g.comp.to_numpy(), return_inverse=True)[1]  # of each member, the component's number so far
+        root = np.unique(g["comp"], return_inverse=True)[1]  # of each member, the component's number so far
         a, b = [], []
-        for i in range(len(g)):
+        for i in range(1, len(n)):
+            open_ = np.flatnonzero(_may_link(np.minimum(points[:i], points[i]).sum(axis=1), n[:i], n[i], num, den) & (root[:i] != root[i]) & (~apart | (part[:i] != part[i])))
+            if not len(open_):
+                continue
             own = number[at[i] : at[i + 1]]
             seen[own] = True
-            open_ = np.flatnonzero(_may_link(np.minimum(points[:i], points[i]).sum(axis=1), n[:i], n[i], num, den) & (root[:i] != root[i]) & (~apart | (part[:i] != part[i])))
             for j in open_:
                 if root[j] == root[i]:
                     continue
-                both = int(seen[number[at[j] : at[j + 1]]].sum())
+                both = int(np.count_nonzero(seen[number[at[j] : at[j + 1]]]))
                 if den * both >= num * (n[i] + n[j] - both):
                     a.append(d1[i])
                     b.append(d1[j])
                     root[root == root[j]] = root[i]
             seen[own] = False
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return {"a": np.array(a, np.int64), "b": np.array(b, np.int64)} if a else None
 
     return _by_task(marked.join(texts, "d1").select(*TASK, "part", "d1", "comp", "text"), work, "a long, b long")
 
@@ -341,7 +359,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = Scratch(docs.sparkSession)
     light = held.stored(_light(src, shingle), "light")
     classes = light.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("rk", "rk2")).alias("first"))
-    once = held.stored(_once(held.stored(_shared(_block_rows(src, shingle, levels)), "blocks")), "once")
+    once = held.stored(_once(held.stored(_shared(_block_rows(src, shingle, levels)), "blocks").distinct()), "once")
     held.drop("blocks")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -355,7 +373,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points, texts = met.select("d1", "n", "vec"), met.select("d1", "text")
 
     def found(tasks: DataFrame, name: str) -> DataFrame:
-        return held.stored(_links(held.stored(_marked(tasks, points, num, den), "marked"), texts, shingle, num, den), name)
+        marked = held.stored(_marked(tasks, points, num, den), "marked")
+        return held.stored(_links(_marked_once(marked), texts, shingle, num, den), name)
 
     star = found(_stars(once), "star")
     comp = held.stored(components(star), "comp")
