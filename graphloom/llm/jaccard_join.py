@@ -10,9 +10,10 @@ groups than that, one at least holds just the same shingles in both: documents a
 the content of single groups, and only documents that share one meet in a tree. Copies are one
 point with a class id. In each such block all members are first tried against one of them; where
 that leaves several components, members outside the largest one are searched against all others.
-Trees only mark members that have a candidate. The texts of marked members then meet in the same
-task, pairs that a bound cannot rule out are verified there on whole sets, and only links that
-join two components come out: fewer than members, however many pairs a block has.
+Trees only mark members that have a candidate, or, where a block has no more candidate pairs than
+members, give these pairs, each of which is looked at once for all its blocks. The texts of marked
+members meet in one task, where pairs that a bound cannot rule out are verified on whole sets, and
+only links that join two components come out: fewer than members, however many pairs a block has.
 
 Defined cases: null or empty texts have no shingles, link with nothing and are their own component;
 texts with fewer words than a shingle have the whole sequence as their only one; repeated rows are
@@ -206,12 +207,16 @@ def _to(first: Column, last: Column) -> Column:
     return F.explode(F.sequence(first, last))
 
 
-def _stars(once: DataFrame) -> DataFrame:
-    """Task rows (g, p, q, part, d1, comp): the least member of each block, as part 0, meets all others."""
+def _star_pairs(once: DataFrame) -> DataFrame:
+    """Pairs (g, d1) of the least member of each block and every other one."""
     lo = once.groupBy("bk").agg(F.min("d1").alias("lo"))
-    others = once.join(lo, "bk").where("d1 > lo").select(F.col("lo").alias("g"), "d1").distinct()
-    centre = others.groupBy("g").agg(F.count("*").alias("m")).withColumn("parts", _parts("m"))
-    others = others.join(centre, "g").withColumn("q", _among(F.lit(1), F.col("parts"))).select("g", F.lit(0).alias("p"), "q", F.col("q").alias("part"), "d1")
+    return once.join(lo, "bk").where("d1 > lo").select(F.col("lo").alias("g"), "d1").distinct()
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Task rows (g, p, q, part, d1, comp): the first of pairs (g, d1), as part 0, meets all seconds."""
+    centre = pairs.groupBy("g").agg(F.count("*").alias("m")).withColumn("parts", _parts("m"))
+    others = pairs.join(centre, "g").withColumn("q", _among(F.lit(1), F.col("parts"))).select("g", F.lit(0).alias("p"), "q", F.col("q").alias("part"), "d1")
     centre = centre.select("g", F.lit(0).alias("p"), _to(F.lit(1), F.col("parts")).alias("q"), F.lit(0).alias("part"), F.col("g").alias("d1"))
     return others.union(centre).withColumn("comp", F.col("d1"))
 
@@ -273,35 +278,45 @@ def _may_link(bound: np.ndarray, n: np.ndarray | int, m: np.ndarray | int, num:
     return ((num + den) * bound >= num * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
 
 
-def _marked(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """The task rows whose member has another one in its task, of another component, that its R-tree cannot rule out."""
+def _marked(rows: DataFrame, points: DataFrame, num: int, den: int, sparse: bool) -> DataFrame:
+    """The task rows whose member has another one in its task, of another component, that its R-tree cannot rule out.
 
+    With sparse, tasks that have no more such pairs than members give the pairs (other, d1) instead, as rows of
+    part -1, so that a pair which many blocks hold can be told to be one.
+    """
     names = [*TASK, "part", "d1", "comp"]
 
     def work(g: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
         vec = np.frombuffer(b"".join(g["vec"]), np.int32).reshape(-1, DIMS)
         n, comp, part, p, q = g["n"], g["comp"], g["part"], g["p"][0], g["q"][0]
-        mark = np.zeros(len(n), bool)
         if len(n) <= LEAF:  # a tree of one leaf: its points are compared at once
             fits = (comp[:, None] != comp[None]) & (den * np.minimum(n[:, None], n[None]) >= num * np.maximum(n[:, None], n[None]))
             fits &= (part[:, None] != part[None]) if p != q else True
             i, j = np.nonzero(np.triu(fits))
             fits = (num + den) * np.minimum(vec[i], vec[j]).sum(axis=1) >= num * (n[i] + n[j])
-            mark[i[fits]] = mark[j[fits]] = True
+            i, j = i[fits], j[fits]
         else:
             held, asks = (np.flatnonzero(part == p), np.flatnonzero(part == q)) if p != q else (np.arange(len(n)),) * 2
+            found = []
             if len(held) and len(asks):
                 tree = PointTree(vec[held], n[held])
-                for i in asks:
-                    found = held[tree.search(vec[i], int(n[i]), num, den)]
-                    found = found[comp[found] != comp[i]]
-                    mark[found] = True
-                    mark[i] |= len(found) > 0
-        return {c: g[c][mark] for c in names} if mark.any() else None
+                for x in asks:
+                    near = held[tree.search(vec[x], int(n[x]), num, den)]
+                    near = near[(comp[near] != comp[x]) & ((near < x) | (p != q))]
+                    found.append((near, np.full(len(near), x)))
+            i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        if not len(i):
+            return None
+        if sparse and len(i) <= len(n):
+            d1 = g["d1"]
+            low, high = np.minimum(d1[i], d1[j]), np.maximum(d1[i], d1[j])
+            none = np.zeros(len(i), np.int32)
+            return {"g": low, "p": none, "q": none, "part": none - 1, "d1": high, "comp": high}
+        mark = np.zeros(len(n), bool)
+        mark[i] = mark[j] = True
+        return {c: g[c][mark] for c in names}
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names)
-    return _by_task(rows.join(points, "d1").select(*names, "n", "vec"), work, schema)
+    return _by_task(rows.join(points, "d1").select(*names, "n", "vec"), work, "g long, p int, q int, part int, d1 long, comp long")
 
 
 def _marked_once(marked: DataFrame) -> DataFrame:
@@ -372,16 +387,18 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = held.stored(met.mapInPandas(each, "d1 long, n long, vec binary, text string"), "met")
     points, texts = met.select("d1", "n", "vec"), met.select("d1", "text")
 
-    def found(tasks: DataFrame, name: str) -> DataFrame:
-        marked = held.stored(_marked(tasks, points, num, den), "marked")
-        return held.stored(_links(_marked_once(marked), texts, shingle, num, den), name)
+    def links(tasks: DataFrame, name: str) -> DataFrame:
+        return held.stored(_links(_marked_once(tasks), texts, shingle, num, den), name)
 
-    star = found(_stars(once), "star")
+    first = held.stored(_star_pairs(once), "first")
+    star = links(held.stored(_marked(_stars(first), points, num, den, False), "marked"), "star")
     comp = held.stored(components(star), "comp")
-    more = found(_rest(once, comp), "more")
+    marked = held.stored(_marked(_rest(once, comp), points, num, den, True), "marked")
+    pairs = marked.where("part < 0").select("g", "d1").distinct().join(first, ["g", "d1"], "left_anti")
+    more = links(held.stored(_stars(pairs), "open"), "pairs").union(links(marked.where("part >= 0"), "groups"))
     if not more.isEmpty():
         comp = held.stored(components(star.union(more)), "comp")
-    held.drop("once", "met", "marked", "star", "more")
+    held.drop("once", "met", "first", "marked", "open", "star", "pairs", "groups")
     # Ids may be null or stand in rows of different texts, so classes are linked and ids looked up last.
     least = comp.join(classes.select(F.col("d1").alias("node"), "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
     linked = comp.join(least, "comp").withColumn("linked", F.lit(True))
