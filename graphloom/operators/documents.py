@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as text_functions
 from graphloom.functions.expressions import short_id
 
 EDGE_COLUMNS = ["source_id", "target_id", "kind", "weight"]
 
 
-def chunks(docs: DataFrame, size: int = 1000) -> DataFrame:
-    """Rows (doc_id, chunk_index, text): sentences packed in order into chunks of about size characters.
+BREAK = re.compile(r"(?<=[.!?。\n])\s+")
 
-    A sentence goes to the next chunk if its chunk would grow over size; longer ones stand alone.
-    """
-    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?。\n])\s+"), lambda s: F.trim(s) != "")
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
-    packed = F.aggregate(
-        parts, empty,
-        lambda a, s: F.when(a["now"] == "", F.struct(a["out"].alias("out"), s.alias("now")))
-        .when(F.length(a["now"]) + F.length(s) + 1 <= size, F.struct(a["out"].alias("out"), F.concat_ws(" ", a["now"], s).alias("now")))
-        .otherwise(F.struct(F.concat(a["out"], F.array(a["now"])).alias("out"), s.alias("now"))),
-        lambda a: F.when(a["now"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["now"]))),
-    )
-    return docs.select("doc_id", F.posexplode(packed).alias("chunk_index", "text"))
+
+def split_chunks(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
+    """Sentences packed in order while their lengths sum up to size; a chunk begins with the last ones of the one before, to overlap characters."""
+    out, now, length = [], [], 0
+    for sentence in BREAK.split(text):
+        if now and length + len(sentence) > size:
+            out.append(" ".join(now))
+            kept, length = len(now), 0
+            while kept and length + len(now[kept - 1]) <= overlap:
+                kept -= 1
+                length += len(now[kept])
+            now = now[kept:]
+        now.append(sentence)
+        length += len(sentence)
+    return [*out, " ".join(now)]
+
+
+def chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Rows (doc_id, chunk_index, text): sentences packed into chunks that overlap. Null texts count as empty."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                cut = [split_chunks(t or "", size, overlap) for t in part.text]
+                yield pd.DataFrame({"doc_id": part.doc_id.repeat([len(c) for c in cut]).to_numpy(), "chunk_index": [i for c in cut for i in range(len(c))], "text": [x for c in cut for x in c]})
+
+    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, chunk_index int, text string")
+
+
+def stopword_suggestions(docs: DataFrame, share: float = 0.6, most: int = 30) -> DataFrame:
+    """Rows (token, n): words that stand in a share of the texts, the most frequent ones."""
+    least = docs.agg(F.greatest(F.lit(2), F.floor(F.count("*") * share)).alias("least"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}|[가-힣]{2,}"), F.lit(0)), F.lower))
+    counted = docs.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(least), F.col("n") >= F.col("least")).select("token", "n").orderBy(F.col("n").desc(), "token").limit(most)
 
 
 def document_nodes(docs: DataFrame) -> DataFrame:
@@ -76,14 +105,9 @@ def entity_links(found: DataFrame, documents: int, least: int = 3, share: float
     return kept.select(short_id("doc_", F.col("doc_id")).alias("source_id"), short_id("phrase_", F.col("phrase")).alias("target_id"), F.lit("mentions").alias("kind"), F.lit(0.8).alias("weight"))
 
 
-#: Tags and the patterns that give them.
-TAGS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+", "number": r"[0-9]{4,}", "license": r"(?i)licensed under", "table": r" \| "}
-
-
 def tags(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, tag) of the patterns that a text matches."""
-    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(t)) for t, p in TAGS.items()]))
-    return docs.select("doc_id", F.explode(found).alias("tag"))
+    """Rows (doc_id, tag) of the words that a text holds."""
+    return docs.select("doc_id", F.explode(text_functions.tags(F.col("text"))).alias("tag"))
 
 
 def locale_mix(docs: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
 from graphloom.functions.expressions import cosine, jaccard, total, word_list
-from graphloom.operators import search
+from graphloom.operators import expand, search, tools
+from graphloom.operators.lineage import written
 
 
 def fuzzy(docs: DataFrame, query: str, k: int = 10, least: float = 0.4, id_col: str = "id", title_col: str = "title", text_col: str = "content") -> DataFrame:
@@ -19,7 +21,7 @@ def fuzzy(docs: DataFrame, query: str, k: int = 10, least: float = 0.4, id_col:
     One pass over the rows; every distinct word of a batch is compared once.
     """
     asked = query.lower()
-    terms = asked.split()
+    terms = list(dict.fromkeys(asked.split()))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[float]] = {}
@@ -58,48 +60,89 @@ def max_similarity(tokens: DataFrame, query: list[list[float]], doc_col: str, ve
     return per.select("id", (total([F.col(f"b{i}") for i in range(len(query))]) / len(query)).alias("score"))
 
 
-def choose(candidates: DataFrame, k: int = 10, balance: float = 0.7, same: float = 0.85, per_doc: int = 2) -> DataFrame:
+def choose(candidates: DataFrame, k: int = 10, balance: float = 0.7, same: float = 0.85, per_doc: int = 2, categories: list[str] | None = None, companions: int = 3) -> DataFrame:
     """Rows (query_id, id, rank) chosen one by one: high total, unlike what is chosen already.
 
-    candidates: (query_id, id, doc_id, total, words), a hundred or so for each query; near copies
-    of a chosen one are dropped, and a document gives no more than per_doc.
+    candidates: (query_id, id, doc_id, total, words) and, if they are there, category, reason, anchor and table; a hundred or
+    so for each query. First the best of each category asked for; then near copies of a chosen one are dropped, and a
+    document gives no more than per_doc. What a chosen one cites (reason references, anchor its id) comes with it,
+    and is never dropped as a copy. Rows of tables stand apart: they go by total alone.
     """
+    named = [c for c in ("category", "reason", "anchor", "table") if c in candidates.columns]
 
     def each(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["total", "id"], ascending=[False, True]).reset_index(drop=True)
+        get = lambda c: g[c].fillna("").tolist() if c in g else [""] * len(g)
+        category, reason, anchor, table = (get(c) for c in ("category", "reason", "anchor", "table"))
         words = [frozenset(w) for w in g.words]
-        like, left, picked, used = [0.0] * len(g), list(range(len(g))), [], {}
-        while left and len(picked) < k:
-            i = max(left, key=lambda j: (balance * g.total[j] - (1 - balance) * like[j], -j))
+        like, left, picked, used = [0.0] * len(g), [i for i in range(len(g)) if not table[i]], [], {}
+
+        def take(i: int) -> None:
             left.remove(i)
-            if like[i] >= same or used.get(g.doc_id[i], 0) >= per_doc:
-                continue
             picked.append(i)
             used[g.doc_id[i]] = used.get(g.doc_id[i], 0) + 1
             for j in left:
                 both = len(words[i] & words[j])
                 like[j] = max(like[j], both / max(1, len(words[i]) + len(words[j]) - both))
+
+        fits = lambda i: used.get(g.doc_id[i], 0) < per_doc
+        for c in sorted(categories or []):
+            best = next((i for i in left if category[i] == c and fits(i)), None)
+            if best is not None and like[best] < same and len(picked) < k:
+                take(best)
+        while len(picked) < k:
+            open_ = [i for i in left if fits(i) and (like[i] < same or reason[i] == "references")]
+            if not open_:
+                break
+            i = max(open_, key=lambda j: (balance * g.total[j] - (1 - balance) * like[j], -j))
+            take(i)
+            for j in [j for j in left if reason[j] == "references" and anchor[j] == g.id[i]][:companions]:
+                take(j)
+        rows = [i for i in range(len(g)) if table[i]][:k]
+        if rows:
+            picked = sorted(picked + rows, key=lambda i: (-g.total[i], i)) if picked else rows
+        picked = picked[:k]
         return pd.DataFrame({"query_id": g.query_id[picked], "id": g.id[picked], "rank": range(1, len(picked) + 1)})
 
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return candidates.groupBy("query_id").applyInPandas(each, f"query_id {kinds['query_id']}, id {kinds['id']}, rank int")
+    slim = candidates.select("query_id", "id", "doc_id", "total", "words", *named)
+    return slim.groupBy("query_id").applyInPandas(each, f"query_id {kinds['query_id']}, id {kinds['id']}, rank int")
 
 
-def evidence(docs: DataFrame, query: str, k: int = 10, seeds: int = 30, siblings: int = 10) -> DataFrame:
+def evidence(docs: DataFrame, query: str, k: int = 10, seeds: int = 30, siblings: int = 10, edges: DataFrame | None = None) -> DataFrame:
     """Rows (query_id, id, rank) for documents (id, title, content, category).
 
-    Full-text seeds bring in the longest documents of their categories; both are reranked by their
-    signals and chosen for variety. All but the full-text scan works on the few candidates.
+    Full-text seeds, of the whole query and of its parts, bring in the longest documents of their categories and of
+    those that the query names, and with edges what they cite; all are reranked by their signals and chosen for
+    variety, the named categories first. All but the full-text scans works on the few candidates.
     """
-    first = search.seeds(search.bm25(docs, query, seeds)).cache()
+    first = written(search.seeds(search.bm25(docs, query, seeds)), "seeds")
+    found = first.select("id", F.col("seed_score").alias("lexical"))
+    parts = T.decompose(query)
+    if len(parts) > 1:
+        fused = tools.sub_query_scores([search.seeds(search.bm25(docs, p, seeds)).select("id", "rank") for p in parts])
+        found = found.union(fused.select("id", F.col("score").alias("lexical"))).groupBy("id").agg(F.max("lexical").alias("lexical"))
     slim = docs.select("id", "category", F.length("content").alias("n"))
-    near = first.join(slim, "id").groupBy("category").agg(F.max("seed_score").alias("anchor"))
-    more = search.longest_by_category(slim.join(F.broadcast(near), "category"), siblings)  # near holds at most `seeds` rows
-    found = first.select("id", F.col("seed_score").alias("lexical"), F.lit(1.0).alias("graph"))
-    more = more.join(first, "id", "left_anti").select("id", F.lit(0.0).alias("lexical"), (F.col("anchor") * 0.5).alias("graph"))
-    both = docs.join(F.broadcast(found.union(more)), "id")  # seeds * (siblings + 1) rows at most
+    labels = docs.select(F.col("category").alias("id"), F.col("category").alias("title")).where("title is not null").distinct()
+    named = [r.title for r in expand.category_anchors(labels, query).where("way = 0").orderBy("title").limit(siblings).collect()]
+    near = found.join(slim, "id").groupBy("category").agg(F.max("lexical").alias("anchor"))
+    more = search.longest_by_category(slim.join(F.broadcast(near), "category"), siblings)  # near holds a few times `seeds` rows
+    held = found.select("id", "lexical", F.lit(1.0).alias("graph"), F.lit("").alias("reason"), F.lit("").alias("origin"))
+    more = more.select("id", F.lit(0.0).alias("lexical"), (F.col("anchor") * 0.5).alias("graph"), F.lit("category_sibling").alias("reason"), F.lit("").alias("origin"))
+    lists = [held, more]
+    if edges is not None:
+        cited = edges.where("kind = 'references'").join(F.broadcast(found.select(F.col("id").alias("source_id"))), "source_id")
+        lists.insert(1, cited.select(F.col("target_id").alias("id"), F.lit(0.0).alias("lexical"), F.lit(0.9).alias("graph"), F.lit("references").alias("reason"), F.col("source_id").cast("string").alias("origin")))
+    every = None
+    for i, part in enumerate(lists):
+        part = part.withColumn("path", F.lit(i))
+        every = part if every is None else every.union(part)
+    once = Window.partitionBy("id").orderBy("path", F.col("graph").desc(), "origin")
+    every = every.withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    both = docs.join(F.broadcast(every.drop("_n", "path")), "id")  # a few hundred rows
     words = F.array_distinct(word_list(F.lower(F.coalesce("content", F.lit("")))))
     asked = F.array(*[F.lit(w) for w in dict.fromkeys(query.lower().split())])
-    both = both.select(F.lit(0).alias("query_id"), "id", F.col("id").alias("doc_id"), "lexical", "graph", words.alias("words"))
+    both = both.select(F.lit(0).alias("query_id"), "id", F.col("id").alias("doc_id"), "lexical", "graph", "reason", F.col("origin").alias("anchor"), F.coalesce("category", F.lit("")).alias("category"), words.alias("words"))
     both = both.withColumn("semantic", jaccard(F.col("words"), asked)).withColumn("structural", F.lit(0.0))
-    return choose(search.rerank(both).join(both.select("id", "words"), "id"), k)
+    ranked = search.rerank(both).join(both.select("id", "words", "reason", "anchor", "category"), "id")
+    return choose(ranked, k, categories=named)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import written
 from graphloom.operators.structured import newest
 from graphloom.schema import DEFAULT_FLOW, FLOW
 
@@ -39,18 +40,30 @@ def bridge_edges(df: DataFrame, a: str, a_table: str, b: str, b_table: str) -> D
     return df.select(row_id(a_table, F.col(a)).alias("source_id"), row_id(b_table, F.col(b)).alias("target_id"), F.lit("related").alias("kind"), F.lit(0.8).alias("weight")).distinct()
 
 
+def bridge_columns(columns: list[str], key: str | None, foreign: list[str]) -> tuple[str, str] | None:
+    """The first two foreign keys of a table that holds little else, else nothing."""
+    other = [c for c in columns if c not in foreign and c != key]
+    return (foreign[0], foreign[1]) if len(foreign) >= 2 and len(other) <= 1 else None
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(edges.select(F.col("target_id"), F.col("source_id")))
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
-    """Rows (id, hop) reached in at most hops steps either way, each once; seeds are left out."""
-    steps = both_ways(edges).distinct()
+    """Rows (id, hop) reached in at most hops steps either way, each once; seeds are left out.
+
+    The two-way edges are written once for all hops, so their sources are read and joined only once.
+    """
+    steps = both_ways(edges)
+    steps = written(steps, "steps") if hops > 1 else steps
     seen = seeds.select("id", F.lit(0).alias("hop"))
     front = seen
     for hop in range(1, hops + 1):
         front = front.join(steps, front["id"] == steps["a"]).select(F.col("b").alias("id")).distinct()
         front = front.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        if hop < hops:
+            front = written(front, "front")
         seen = seen.union(front)
     return seen.where("hop > 0")
 
@@ -78,34 +91,42 @@ def flow(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, kind), F.lit(DEFAULT_FLOW))
 
 
-def personalized_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """Rows (id, score) after a fixed number of joined rounds over the seeds' two-hop surroundings.
+def personalized_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 50, tol: float = 1e-6, every: int = 5) -> DataFrame:
+    """Rows (id, score) of the rank over the seeds' two-hop surroundings, after so many rounds or when one moves less than tol.
 
     An edge counts for each of its ends that was processed, that is a seed or next to one.
     Nodes without edges lose their mass. seeds: (id, weight), normalised here. Where no seed has an
-    edge, the seeds' own weights are returned.
+    edge, the seeds' own weights are returned. Steps are written once, ranks every few rounds, where they are compared.
     """
     start = seeds.groupBy("id").agg(F.sum("weight").alias("weight"))
+    edges = written(edges.select("source_id", "target_id", "kind", "weight"), "edges")
     done = start.select("id").union(neighbours(edges, start, 1).select("id")).distinct()
     s = done.select(F.col("id").alias("source_id"), F.lit(1).alias("s"))
     t = done.select(F.col("id").alias("target_id"), F.lit(1).alias("t"))
     e = edges.join(s, "source_id", "left").join(t, "target_id", "left").withColumn("n", F.coalesce("s", F.lit(0)) + F.coalesce("t", F.lit(0))).where("n > 0")
     e = e.select("source_id", "target_id", (F.col("weight") * flow(F.col("kind")) * F.col("n")).alias("w"))
     e = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "w").union(e.select(F.col("target_id"), F.col("source_id"), "w"))
+    e = e.groupBy("a", "b").agg(F.sum("w").alias("w"))
     out = e.groupBy("a").agg(F.sum("w").alias("total"))
-    step = e.join(out, "a").groupBy("a", "b").agg(F.sum(F.col("w") / F.col("total")).alias("p")).cache()
+    step = written(e.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")), "step")
+    if step.isEmpty():
+        return start.select("id", F.col("weight").alias("score"))
     whole = start.agg(F.sum("weight").alias("whole"))
-    p = start.crossJoin(F.broadcast(whole)).select("id", (F.col("weight") / F.col("whole")).alias("p0")).cache()  # whole is one row
+    p = written(start.crossJoin(F.broadcast(whole)).select("id", (F.col("weight") / F.col("whole")).alias("p0")), "start")  # whole is one row
     rank = p.select("id", F.col("p0").alias("r"))
-    for _ in range(rounds):
+    for i in range(1, rounds + 1):
+        before = rank
         moved = rank.join(step, rank["id"] == step["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("r") * F.col("p")).alias("m"))
         rank = p.join(moved, "id", "full_outer").select("id", ((1 - damping) * F.coalesce("p0", F.lit(0.0)) + damping * F.coalesce("m", F.lit(0.0))).alias("r"))
-    if step.isEmpty():
-        return start.select("id", F.col("weight").alias("score"))
+        if i % every == 0 and i < rounds:
+            rank = written(rank, "rank")
+            moved_by = rank.join(before.select("id", F.col("r").alias("o")), "id", "full_outer").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("o", F.lit(0.0))))).first()[0]
+            if (moved_by or 0.0) < tol:
+                break
     return rank.select("id", F.col("r").alias("score"))
 
 
-def chunk_rank(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
+def chunk_rank(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
     """The rank with chunks in mind: chunk seeds count half as much again, weak edges are left out,
     and two chunks are joined by next_chunk alone. nodes: (id, kind)."""
     chunk = nodes.where("kind = 'chunk'").select("id").distinct()
@@ -117,18 +138,58 @@ def chunk_rank(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, rounds: int
     return personalized_rank(e, raised, rounds=rounds)
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """Rows (id, label) by synchronous weighted label propagation; ties go to the smallest label."""
+def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """Rows (id, label) by synchronous weighted label propagation; ties go to the smallest label.
+
+    Ends after so many rounds, or when a round changes nothing. Labels are written every round.
+    """
     w = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "weight").union(edges.select(F.col("target_id"), F.col("source_id"), "weight"))
-    w = w.groupBy("a", "b").agg(F.sum("weight").alias("weight")).cache()
+    w = written(w.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "links")
     label = w.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()
+    before = None
     for _ in range(rounds):
-        votes = w.join(label, w["b"] == label["id"]).groupBy("a", "label").agg(F.sum("weight").alias("v"))
-        best = votes.groupBy("a").agg(F.max(F.struct(F.col("v"))).alias("v")).select("a", F.col("v.v").alias("v"))
-        label = votes.join(best, ["a", "v"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
+        votes = w.join(label, w["b"] == label["id"]).groupBy("a", "label").agg(F.round(F.sum("weight"), 9).alias("v"))
+        best = votes.groupBy("a").agg(F.max("v").alias("v"))
+        label = written(votes.join(best, ["a", "v"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label")), "label")
+        now = label.agg(F.bit_xor(F.xxhash64("id", "label"))).first()[0]
+        if now == before:
+            break
+        before = now
     return label
 
 
+def community_nodes(labels: DataFrame, nodes: DataFrame, least: int = 3, titles: int = 10) -> tuple[DataFrame, DataFrame]:
+    """A node for each community of some members, summed up by the first of their titles, and PART_OF edges (0.5) to it."""
+    sized = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    held = labels.join(sized, "label").join(nodes.select("id", "title"), "id", "left")
+    order = Window.partitionBy("label").orderBy("title", "id")
+    first = held.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= titles)
+    told = first.groupBy("label", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "title"))), lambda x: x["title"]), "; ").alias("content"))
+    name = F.concat(F.lit("community_"), F.substring(F.md5("label"), 1, 16))
+    made = told.select(name.alias("id"), F.lit("community").alias("kind"), F.format_string("Community of %d", "n").alias("title"), "content")
+    return made, held.select(F.col("id").alias("source_id"), name.alias("target_id"), F.lit("part_of").alias("kind"), F.lit(0.5).alias("weight"))
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    """Rows (id, label) of the connected components of pairs (a, b); the label is the smallest id.
+
+    Every round takes the least label around each node and then the label of that label, which halves paths.
+    """
+    w = written(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct(), "pairs")
+    label = w.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    before = None
+    while True:
+        label = written(label, "label")
+        now = label.agg(F.bit_xor(F.xxhash64("id", "label"))).first()[0]
+        if now == before:
+            return label
+        before = now
+        around = w.join(label, w["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        least = label.join(around, "id").select("id", F.least("label", "near").alias("label"))
+        up = label.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        label = least.join(up, "label").select("id", F.least("label", "up").alias("label"))
+
+
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges by source, target and kind; the new weight wins."""
     names = ["source_id", "target_id", "kind", "weight"]
@@ -151,7 +212,40 @@ def merge_nodes(edges: DataFrame, same: DataFrame) -> DataFrame:
     return moved.where("source_id <> target_id").groupBy("source_id", "target_id", "kind").agg(F.max("weight").alias("weight"))
 
 
+def merge_contents(nodes: DataFrame, same: DataFrame) -> DataFrame:
+    """Nodes after (old, new) pairs merged: contents that the target lacks are added, tags united, counts summed, the greatest vitality kept.
+
+    The old nodes go; each of their contents stands behind the target's own, in order of their ids.
+    """
+    into = nodes.join(same.select(F.col("old").alias("id"), "new"), "id", "left").withColumn("to", F.coalesce("new", "id"))
+    part = F.struct(F.col("new").isNotNull().alias("late"), "id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("access_count", "success_count", "failure_count")]
+    own = lambda c: F.max(F.when(F.col("new").isNull(), F.col(c))).alias(c)
+    grouped = into.groupBy("to").agg(F.sort_array(F.collect_list(part)).alias("parts"), own("kind"), own("title"), *sums, F.max("vitality").alias("vitality"))
+    joined = F.aggregate(F.transform("parts", lambda p: p["content"]), F.lit(""), lambda all_, c: F.when((c == "") | F.contains(all_, c), all_).otherwise(F.trim(F.concat_ws("\n\n", F.nullif(all_, F.lit("")), c))))
+    tags = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["tags"])))
+    return grouped.where("title is not null or kind is not null").select(F.col("to").alias("id"), "kind", "title", joined.alias("content"), tags.alias("tags"), "access_count", "success_count", "failure_count", "vitality")
+
+
 def node_stats(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (what, name, n): nodes by kind and by level, edges by kind."""
+    by = lambda df, what, c: df.groupBy(F.lit(what).alias("what"), F.col(c).cast("string").alias("name")).agg(F.count("*").alias("n"))
+    out = by(nodes, "node", "kind").union(by(edges, "edge", "kind"))
+    return out.union(by(nodes, "level", "level")) if "level" in nodes.columns else out
+
+
+def hubs(edges: DataFrame, kind: str = "mentions", limit: int = 10) -> DataFrame:
+    """Rows (id, n): the nodes that most edges of a kind lead to."""
+    return edges.where(F.col("kind") == kind).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "id").limit(limit)
+
+
+def property_samples(nodes: DataFrame, most: int = 3) -> DataFrame:
+    """Rows (table, property, samples): the first distinct values of each property, a few of each, without collecting them all."""
+    pairs = nodes.select(F.try_element_at("properties", F.lit("_table_name")).alias("table"), F.explode("properties").alias("property", "value")).where("table is not null and property <> '_table_name'").distinct()
+    order = Window.partitionBy("table", "property").orderBy("value")
+    some = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return some.groupBy("table", "property").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("samples"))

@@ -38,5 +38,29 @@ def reinforce(edges: DataFrame, pairs: DataFrame, success: bool = True) -> DataF
     """Edge weights after a use of the pairs (source_id, target_id, maturity); new edges on success only."""
     step = (0.1 if success else -0.15) / (1 + 0.02 * F.col("maturity"))
     both = edges.join(pairs, ["source_id", "target_id"], "full_outer" if success else "left")
-    moved = F.greatest(F.lit(-2.0), F.least(F.lit(5.0), F.col("weight") + F.coalesce(step, F.lit(0.0))))
+    # Edges that no pair touches stay as they are, even beyond the bounds.
+    moved = F.when(F.col("maturity").isNull(), F.col("weight")).otherwise(F.greatest(F.lit(-2.0), F.least(F.lit(5.0), F.col("weight") + step)))
     return both.select("source_id", "target_id", F.coalesce("kind", F.lit("related")).alias("kind"), F.coalesce(moved, F.lit(0.1)).alias("weight"))
+
+
+def maintain(nodes: DataFrame, edges: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and the judgement of one round of upkeep: levels moved and the outlived gone, vitality decayed, weak edges pruned."""
+    judged = consolidate(nodes, now)
+    kept = decay(nodes.drop("level").join(judged.where("action <> 'delete'").select("id", "level"), "id"))
+    gone = judged.where("action = 'delete'").select("id")
+    left = prune(edges).join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+    return kept, left.select(edges.columns), judged
+
+
+def touch(nodes: DataFrame, uses: DataFrame, now: float) -> DataFrame:
+    """Nodes after uses (id): each use counts, and the newest time stands."""
+    counted = uses.groupBy("id").agg(F.count("*").alias("_uses"))
+    both = nodes.join(counted, "id", "left")
+    return both.withColumns({"access_count": F.col("access_count") + F.coalesce("_uses", F.lit(0)), "updated_at": F.when(F.col("_uses") > 0, F.lit(now)).otherwise(F.col("updated_at"))}).drop("_uses")
+
+
+def needs_backfill(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (id, vector, phrases) of nodes with content that lack a vector or any CONTAINS edge; a second pass finds none of those mended."""
+    linked = edges.where("kind = 'contains'").select(F.col("source_id").alias("id"), F.lit(True).alias("_has")).distinct()
+    both = nodes.where(F.coalesce(F.length("content"), F.lit(0)) > 0).join(linked, "id", "left")
+    return both.select("id", (F.coalesce(F.size("embedding"), F.lit(0)) <= 0).alias("vector"), F.col("_has").isNull().alias("phrases")).where("vector or phrases")

@@ -3,35 +3,45 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.expressions import cosine, occurrences, rank_score, total, word_list
+from graphloom.functions.expressions import cosine, occurrences, rank_score, total
+from graphloom.operators.lineage import written
 
 
 def bm25(docs: DataFrame, query: str, k: int = 10, id_col: str = "id", title_col: str = "title", text_col: str = "content") -> DataFrame:
     """Rows (id, score): BM25 on substrings blended with a substring score by the size of the corpus.
 
-    One scan for the statistics, which are one row, and one for the scores.
+    One pass over the texts makes a narrow row for each document that holds a term, and the counts of the
+    rest; it is written, so statistics (one row) and scores come from it without reading a text again.
     """
     terms = query.lower().split()
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     d = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(title_col, F.lit(""))).alias("t"), F.lower(F.coalesce(text_col, F.lit(""))).alias("c"))
-    d = d.withColumn("x", F.concat_ws(" ", "t", "c")).withColumn("dl", F.size(word_list(F.col("x"))))
-    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(F.contains("x", F.lit(t)).cast("int")).alias(f"df{i}") for i, t in enumerate(terms)])
-    d = d.crossJoin(F.broadcast(stats))  # one row
-    best, sub, hit = [], [], []
+    x = F.concat_ws(" ", "t", "c")
+    words = F.regexp_count(x, F.lit(r"\S+"))
+    narrow = {"dl": words, "title_all": F.contains("t", F.lit(query.lower()))}
     for i, t in enumerate(terms):
+        narrow |= {f"f{i}": occurrences(F.col("c"), t), f"t{i}": F.contains("t", F.lit(t)), f"x{i}": F.contains(x, F.lit(t))}
+    for i, (a, b) in enumerate(zip(terms, terms[1:], strict=False)):
+        narrow[f"p{i}"] = F.contains(x, F.lit(f"{a} {b}"))
+    d = written(d.select("id", *[c.alias(n) for n, c in narrow.items()]), "bm25")
+    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(F.col(f"x{i}").cast("int")).alias(f"df{i}") for i in range(len(terms))])
+    d = d.where(reduce(lambda a, b: a | b, [F.col(f"x{i}") for i in range(len(terms))])).crossJoin(F.broadcast(stats))  # one row
+    best, sub, hit = [], [], []
+    for i in range(len(terms)):
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
-        tf, in_title = occurrences(F.col("c"), t), F.contains("t", F.lit(t))
+        tf, in_title = F.col(f"f{i}"), F.col(f"t{i}")
         best += [F.when(tf > 0, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))).otherwise(0.0), F.when(in_title, 3 * idf).otherwise(0.0)]
         sub += [F.when(in_title, 2.0).otherwise(0.0), F.when(tf > 0, 1.0).otherwise(0.0)]
         hit.append(((tf > 0) | in_title).cast("double"))
-    sub.append(F.when(F.contains("t", F.lit(query.lower())), 3.0 * len(terms)).otherwise(0.0))
-    for a, b in zip(terms, terms[1:], strict=False):
-        pair = F.when(F.contains("x", F.lit(f"{a} {b}")), 1.5).otherwise(0.0)
+    sub.append(F.when(F.col("title_all"), 3.0 * len(terms)).otherwise(0.0))
+    for i in range(len(terms) - 1):
+        pair = F.when(F.col(f"p{i}"), 1.5).otherwise(0.0)
         best.append(pair)
         sub.append(pair)
     if len(terms) >= 2:
@@ -96,13 +106,14 @@ def resonance(nodes: DataFrame, now: float) -> DataFrame:
 
 
 def metrics(run: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """Per query precision, recall, reciprocal rank and nDCG at k; run has (query_id, id, rank from 1)."""
+    """Per query precision, recall, their harmonic mean, reciprocal rank and nDCG at k; run has (query_id, id, rank from 1)."""
     marks = relevant.select("query_id", "id").distinct().withColumn("rel", F.lit(1))
     n = marks.groupBy("query_id").agg(F.count("*").alias("relevant"))
     top = run.where(F.col("rank") <= k).join(marks, ["query_id", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     per = top.groupBy("query_id").agg(F.sum("rel").alias("hits"), F.max(F.when(F.col("rel") == 1, 1.0 / F.col("rank")).otherwise(0.0)).alias("rr"), F.sum(F.col("rel") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(i + 1.0))
-    return per.join(n, "query_id").select("query_id", (F.col("hits") / k).alias("precision"), (F.col("hits") / F.col("relevant")).alias("recall"), "rr", (F.col("dcg") / ideal).alias("ndcg"))
+    f1 = F.when(F.col("hits") > 0, 2 * F.col("hits") / (k + F.col("relevant"))).otherwise(0.0)
+    return per.join(n, "query_id").select("query_id", (F.col("hits") / k).alias("precision"), (F.col("hits") / F.col("relevant")).alias("recall"), f1.alias("f1"), "rr", (F.col("dcg") / ideal).alias("ndcg"))
 
 
 def decay(age_days: float, rate: float = 0.05) -> float:

@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import expressions as X
 from graphloom.operators import changes, documents, evidence, graph, lifecycle, search, structured
+from graphloom.plans.registry import query, rounded
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 NOW = 1_710_000_000.0
 
 
-def query(sql: str | None = None):
-    """Register a function of a table loader under its name."""
-
-    def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def rounded(c: str, name: str | None = None, places: int = 6) -> Column:
-    return F.round(F.col(c), places).alias(name or c)
-
-
 @query("select o_orderkey, o_totalprice from orders where o_totalprice >= 150000")
 def filter_numeric(t):
     return structured.filter_nodes(t("orders"), "o_totalprice", ">=", 150000).select("o_orderkey", "o_totalprice")
@@ -102,11 +82,6 @@ def agg_missing_metric_is_zero(t):
     return structured.aggregate_nodes(holed, "event_type", "avg", "m").select("group", rounded("value"))
 
 
-@query("""select 'customer:' || o_custkey as node_title, count(*)::double as value from orders group by 1""")
-def agg_fk_title(t):
-    return structured.aggregate_nodes(t("orders"), "o_custkey").select(F.concat(F.lit("customer:"), F.col("group")).alias("node_title"), "value")
-
-
 @query("select p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 10")
 def top_desc(t):
     return structured.top_nodes(t("part"), "p_retailprice", "desc", 10, "p_partkey").select("p_partkey", "p_retailprice")
@@ -162,16 +137,6 @@ EDGES = """e as (
 ), s as (select source_id as a, target_id as b from e union select target_id, source_id from e)"""
 
 
-@query("select 'nation:' || n_nationkey as id, 'entity' as kind, 'nation:' || n_nationkey as title, 'nation: ' || concat_ws(' | ', nullif(n_name, ''), nullif(n_nationkey::varchar, '0')) as content from nation")
-def nodes_from_tables(t):
-    return graph.nodes_of(t("nation"), "nation", "n_nationkey", ["n_name", "n_nationkey"])
-
-
-@query(f"with {EDGES} select * from e")
-def fk_edges(t):
-    return key_graph(t)
-
-
 @query("select distinct 'part:' || l_partkey as source_id, 'supplier:' || l_suppkey as target_id, 'related' as kind, 0.8::double as weight from lineitem")
 def mn_edges(t):
     return graph.bridge_edges(t("lineitem"), "l_partkey", "part", "l_suppkey", "supplier")
@@ -182,11 +147,6 @@ def row_text(t):
     return t("customer").select(graph.row_text("customer", [F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey")]).alias("content"))
 
 
-@query("select 'entity' as kind, (select count(*) from nation) + (select count(*) from customer) as n")
-def node_stats(t):
-    return graph.node_stats(graph.nodes_of(t("nation"), "nation", "n_nationkey", ["n_name"]).union(graph.nodes_of(t("customer"), "customer", "c_custkey", ["c_name"])))
-
-
 def _seed(t, node: str) -> DataFrame:
     return t("region").limit(1).select(F.lit(node).alias("id"))
 
@@ -228,16 +188,6 @@ def doc_graph_edges(t):
     return documents.part_of_edges(t("documents"))
 
 
-@query()
-def chunking(t):
-    return documents.chunks(t("documents"))
-
-
-@query()
-def next_chunk(t):
-    return documents.chunk_edges(documents.chunks(t("documents")))
-
-
 PHRASES = "p as (select distinct doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}'))) as phrase from documents)"
 
 
@@ -254,11 +204,6 @@ def entity_link_edges(t):
     return documents.entity_links(documents.phrases(docs), docs.count())
 
 
-@query("""select doc_id, tag from documents, (values ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]+'), ('number', '[0-9]{4,}'), ('license', '(?i)licensed under'), ('table', ' \\| ')) v(tag, pattern) where regexp_matches(text, pattern)""")
-def doc_tags(t):
-    return documents.tags(t("documents"))
-
-
 @query("select 'latin' as locale, count(*) as n from documents where text is not null and regexp_matches(text, '[A-Za-z]') having count(*) > 0")
 def locale_mix(t):
     return documents.locale_mix(t("documents"))
@@ -306,11 +251,6 @@ def rrf_fusion(t):
     return search.fuse(a.union(b)).select("id", rounded("score", places=9))
 
 
-@query()
-def snippet(t):
-    return _texts(t).select("id", X.snippet(F.col("content"), ["license", "thereon"]).alias("snippet"))
-
-
 @query("""with q as (select embedding::double[] as q from embeddings where vec_id = 0), v as (select vec_id as id, embedding::double[] as e from embeddings),
 s as (select id, list_sum(list_transform(generate_series(1, len(e)), lambda i: e[i] * q[i])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x)))) as score from v, q)
 select id, round(score, 6) as score from s where score > 0 order by s.score desc, id limit 10""")
@@ -319,13 +259,6 @@ def vector_topk(t):
     return search.vector_top(t("embeddings"), q, 10).select("id", rounded("score"))
 
 
-@query()
-def ppr_topk(t):
-    seeds = _seed(t, "nation:3").withColumn("weight", F.lit(1.0))
-    ranked = graph.personalized_rank(key_graph(t), seeds, rounds=5)
-    return ranked.orderBy(F.round("score", 9).desc(), "id").limit(20).select("id", rounded("score", places=9))
-
-
 def _counters(t) -> DataFrame:
     """Nodes with counters made of the events of each user."""
     e = t("events").groupBy(F.col("user_id").alias("id")).agg(
@@ -353,12 +286,6 @@ def consolidate(t):
     return lifecycle.consolidate(_counters(t), NOW)
 
 
-@query("select l_partkey as source_id, l_suppkey as target_id, 'related' as kind, round(sum(l_discount), 6) as weight from lineitem group by all having round(sum(l_discount), 6) >= 0.1")
-def decay_prune(t):
-    e = t("lineitem").groupBy(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id")).agg(F.round(F.sum("l_discount"), 6).alias("weight"))
-    return lifecycle.prune(e.select("source_id", "target_id", F.lit("related").alias("kind"), "weight"))
-
-
 @query("select o_orderkey, case when o_orderkey % 2 = 0 then 'update' else 'add' end as action from orders where o_orderdate >= timestamp '1999-01-01'")
 def cdc_timestamp_delta(t):
     o = t("orders")
@@ -391,11 +318,6 @@ def merge_nodes(t):
     return graph.merge_nodes(key_graph(t), _seed(t, "nation:2").select(F.col("id").alias("old"), F.lit("nation:1").alias("new")))
 
 
-@query()
-def communities(t):
-    return graph.communities(key_graph(t), 3)
-
-
 @query("""select conv_id || ':' || turn as source_id, conv_id || ':' || n as target_id, 'followed_by' as kind from (select conv_id, turn, lead(turn) over (partition by conv_id order by turn) as n from conversations) where n is not null""")
 def conversation_chain(t):
     return documents.turn_chain(t("conversations"))
@@ -421,14 +343,9 @@ def top_from_ids(t):
     return structured.top_nodes(some, "o_totalprice", "desc", 7, tie="o_orderkey").select("o_orderkey", "o_totalprice")
 
 
-@query(f"with {EDGES} select kind, count(*) as n, round(avg(weight), 6) as weight from e group by kind")
-def edge_stats(t):
-    return key_graph(t).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 6).alias("weight"))
-
-
 @query("""with e as (select l_partkey as source_id, l_suppkey as target_id, round(sum(l_discount), 6) as weight from lineitem group by all),
 p as (select distinct l_partkey as source_id, l_suppkey + 1 as target_id, l_partkey % 10 as maturity from lineitem where l_partkey % 3 = 0)
-select source_id, target_id, round(coalesce(greatest(-2, least(5, weight + coalesce(0.1 / (1 + 0.02 * maturity), 0))), 0.1)::double, 6) as weight from e full join p using (source_id, target_id)""")
+select source_id, target_id, round(coalesce(case when maturity is null then weight else greatest(-2, least(5, weight + 0.1 / (1 + 0.02 * maturity))) end, 0.1)::double, 6) as weight from e full join p using (source_id, target_id)""")
 def hebbian_update(t):
     li = t("lineitem")
     e = li.groupBy(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id")).agg(F.round(F.sum("l_discount"), 6).alias("weight")).withColumn("kind", F.lit("related"))
@@ -467,22 +384,3 @@ def session_timeline(t):
     return t("conversations").select("conv_id", "turn", "role", F.row_number().over(by.orderBy("turn", "role", "text")).cast("long").alias("position"), F.count("*").over(by).alias("turns"))
 
 
-@query()
-def ppr_v2_topk(t):
-    d = t("documents")
-    docs = d.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.lit("chunk").alias("kind"))
-    e = d.select(F.concat(F.lit("doc:"), "doc_id").alias("source_id"), F.concat(F.lit("source:"), "source").alias("target_id"), F.lit("part_of").alias("kind"), F.lit(1.0).alias("weight"))
-    seeds = docs.where("id in ('doc:0', 'doc:1')").select("id", F.lit(1.0).alias("weight"))
-    ranked = graph.chunk_rank(e.where("target_id is not null"), seeds, docs, rounds=5)
-    return ranked.orderBy(F.round("score", 9).desc(), "id").limit(20).select("id", rounded("score", places=9))
-
-
-@query()
-def fuzzy_topk(t):
-    return evidence.fuzzy(_texts(t), "licence thereon").select("id", rounded("score"))
-
-
-@query()
-def evidence_search(t):
-    d = t("documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), F.col("source").alias("category"))
-    return evidence.evidence(d, "license thereon")
