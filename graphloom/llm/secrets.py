@@ -3,7 +3,7 @@
 What looks like base64, hex or a signed token is decoded and parsed before it is reported: key
 encodings by their nested lengths, which must fill the candidate exactly, key files by their magic
 and length-prefixed fields, signed tokens by the JSON of their header. A candidate that does not
-parse is not reported; base spans always stay.
+parse is not reported, nor are public keys; base spans always stay.
 
 Defined cases: null or empty texts hold nothing; a pattern's failing match is dropped; very long
 runs of one character take linear time; repeated rows give repeated results; an empty table gives
@@ -31,8 +31,13 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}+")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
-PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]++)-----END ")
-BLOB = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{36,}+={0,2}+")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,8}?PRIVATE KEY-----")
+#: What may stand between the lines of an armoured key: header lines, then base64.
+HEADERS = re.compile(r"(?:\s|\\[rn])*+(?:[A-Za-z][A-Za-z0-9-]*+: [^\r\n\\]*+(?:\s|\\[rn])++)*+")
+BODY = re.compile(r"(?:[A-Za-z0-9+/=]|\s|\\[rn])++")
+BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{38,}+={0,2}+")
+#: A sequence whose length has one, two or three bytes of its own, or none; the magic of key files.
+STARTS = (b"\x30", b"openssh-key-v1\0")
 
 
 def patterns(text: str) -> list[Span]:
@@ -70,41 +75,84 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
+def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill a range exactly."""
+    out = []
+    while at < end:
+        e = _element(data, at, end)
+        if not e:
+            return None
+        out.append(e)
+        at = e[2]
+    return out
+
+
+#: Fixed value: the encoded name space of public-key algorithms and of password-based encryption begins so.
+ALGORITHM = b"\x2a\x86\x48\x86\xf7\x0d\x01", b"\x2a\x86\x48\xce\x3d", b"\x2a\x86\x48\xce\x38", b"\x2b\x65", b"\x2b\x81\x04", b"\x2b\x24"
+
+
 def is_key_encoding(data: bytes) -> bool:
-    """Whether a sequence fills the data exactly and nested elements fill it in turn, as in keys."""
+    """Whether a sequence fills the data exactly and nested elements fill it in turn, as in private keys.
+
+    Either a version with the numbers of a key, a version with an algorithm and a key in it, or an
+    algorithm with an encrypted key. An algorithm with a bit string is a public key and does not count.
+    """
     top = _element(data, 0, len(data))
     if not top or top[0] != 0x30 or top[2] != len(data):
         return False
-    tags, at = [], top[1]
-    while at < top[2]:
-        e = _element(data, at, top[2])
-        if not e:
+    parts = _elements(data, top[1], top[2])
+    if not parts:
+        return False
+    for tag, at, end in parts:
+        if tag in (0x30, 0xA0, 0xA1) and _elements(data, at, end) is None:
             return False
-        if e[0] == 0x30:
-            inner = e[1]
-            while inner < e[2]:
-                x = _element(data, inner, e[2])
-                if not x:
-                    return False
-                inner = x[2]
-        tags.append(e[0])
-        at = e[2]
-    # Version and numbers; version, algorithm and key; algorithm and key bits; encrypted key.
-    return tags[:1] == [2] and len(tags) >= 3 or tags == [0x30, 3] or tags == [0x30, 4]
+    tags = [t for t, _, _ in parts]
 
+    def algorithm(e: tuple[int, int, int]) -> bool:
+        first = _element(data, e[1], e[2])
+        return e[0] == 0x30 and bool(first) and first[0] == 6 and data[first[1] : first[2]].startswith(ALGORITHM)
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether length-prefixed fields that begin with a key type fill the data exactly."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+    if tags[0] == 2:
+        version = int.from_bytes(data[parts[0][1] : parts[0][2]], "big")
+        if version > 1 or parts[0][2] - parts[0][1] != 1:
+            return False
+        if len(parts) >= 3 and algorithm(parts[1]):
+            return tags[2] == 4
+        # Numbers of a key, more than the two of a public key or a signature; or a scalar with its curve.
+        return len(parts) >= 3 and set(tags) == {2} or tags[1:2] == [4] and len(parts) <= 4 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    return len(parts) == 2 and algorithm(parts[0]) and tags[1] == 4
+
+
+def _fields(data: bytes, at: int, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from a place on, count of them or all to the end, and where they end."""
+    out = []
+    while at < len(data) if count is None else len(out) < count:
+        if at + 4 > len(data):
+            return None
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4 + n
         if at > len(data):
+            return None
+        out.append(data[at - n : at])
+    return out, at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Whether the data is a whole private key file: cipher, key derivation, count, public keys, and the private part."""
+    magic = STARTS[1]
+    if not data.startswith(magic) or not (head := _fields(data, len(magic), 3)):
+        return False
+    (cipher, derivation, _), at = head
+    if not re.fullmatch(rb"[a-z0-9@.-]+", cipher) or derivation not in (b"none", b"bcrypt") or at + 4 > len(data):
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= keys <= 16 or not (rest := _fields(data, at + 4)) or len(rest[0]) != keys + 1:
+        return False
+    for public in rest[0][:-1]:
+        inner = _fields(public, 0)
+        if not inner or len(inner[0]) < 2 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", inner[0][0]):
             return False
-        fields.append(data[at - n : at])
-    return at == len(data) and len(fields) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]))
+    return bool(rest[0][-1])
 
 
 def is_signed_token(token: str) -> bool:
@@ -128,19 +176,28 @@ def confirmed(text: str, base: list[Span]) -> list[Span]:
         out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            data = decoded(re.sub(r"\s|\\n", "", m[2]))
-            if data and (is_key_encoding(data) or is_ssh_key(data)):
-                out.append(("pem", m.start(), m.end(2)))
+            # The armour as it is, and with what looks like header lines left out.
+            body = BODY.match(text, HEADERS.match(text, m.end()).end())
+            if body and text.startswith("-----END ", body.end()):
+                data = decoded(re.sub(r"\s|\\[rn]", "", body[0]))
+                locked = "ENCRYPTED" in text[m.end() : body.start()]
+                if data and (is_key_encoding(data) or is_ssh_key(data) or locked and len(data) % 8 == 0):
+                    out.append(("pem", m.start(), body.end()))
     for m in BLOB.finditer(text):
-        data = decoded(m[0])
-        if data and is_ssh_key(data):
-            out.append(("ssh", m.start(), m.end()))
-        elif data and is_key_encoding(data):
-            out.append(("der", m.start(), m.end()))
+        # Standard and url-safe letters; four letters tell whether the whole may be a key.
+        head = decoded(m[0][:20], urlsafe=True)
+        if head and head.startswith((STARTS[0], STARTS[1])):
+            data = decoded(m[0].rstrip("="), urlsafe=True)
+            if data and is_ssh_key(data):
+                out.append(("ssh", m.start(), m.end()))
+            elif data and is_key_encoding(data):
+                out.append(("der", m.start(), m.end()))
     for kind, s, e in base:
         # Hex that parses as a key is said again by its kind.
-        if kind == "hex" and e - s >= 64 and (e - s) % 2 == 0 and text.startswith("30", s) and is_key_encoding(bytes.fromhex(text[s:e])):
-            out.append(("der", s, e))
+        if kind == "hex" and (e - s) % 2 == 0:
+            data = bytes.fromhex(text[s:e])
+            if data.startswith(STARTS) and (is_key_encoding(data) or is_ssh_key(data)):
+                out.append(("der", s, e))
     whole = [x for x in out if x[0] == "der" and text[x[1] : x[2]].isalnum() and ("hex", x[1], x[2]) in base]
     return apart([x for x in out if x not in whole], []) + whole
 
