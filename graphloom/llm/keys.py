@@ -56,16 +56,16 @@ class Scratch:
         df.write.parquet(path)
         self.paths[name] = path
         if old:
-            _delete(self.spark, old)
+            delete(self.spark, old)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.paths.pop(name, None):
-                _delete(self.spark, path)
+                delete(self.spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -2,8 +2,8 @@
 
 Each document gives the winnowed fingerprints of its words: of every window of consecutive
 words at least one, chosen by content alone, so equal windows give equal fingerprints.
-The index keeps them as immutable runs sorted by fingerprint, one for each batch. A batch is
-answered by merging it with all runs; what occurs twice is verified on whole windows, and
+The index keeps them, with their places, as immutable runs sorted by fingerprint, one for each batch.
+A new batch is merge-joined with the live runs; what occurs twice is verified on whole windows, and
 runs are compacted into one when there are many.
 
 Defined cases: null or empty texts have no words and lose none; texts shorter than a window lose
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import wordhash
-from graphloom.llm.keys import KEY, keyed, scratch, stored
+from graphloom.llm.keys import KEY, delete, keyed, scratch, stored
 
 WINDOW = 35
 GRAM = 5
@@ -75,58 +75,71 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 
 class FingerprintIndex:
-    """Runs (h, n), each sorted by h within its files, below one folder of the shared store.
+    """Immutable runs of prints, each file of them sorted by fingerprint, below one folder of the shared store.
 
-    The list of live runs is small driver state; a run is never changed once written.
+    The list of live runs is small driver state; a run is never changed once written, and deleted only
+    after the run that takes its place is whole. An index can be opened again by its path.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = 4):
+    def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = 4, live: list[str] | None = None):
         self.spark, self.path, self.max_runs = spark, path or scratch(spark, "fingerprints"), max_runs
-        self.live: list[str] = []
-        self._next = 0
+        self.live: list[str] = list(live or [])
+        self._next = 1 + max([int(x.rpartition("-")[2]) for x in self.live], default=-1)
 
-    def _write(self, counts: DataFrame) -> str:
+    def _write(self, prints: DataFrame) -> str:
         run = f"{self.path}/run-{self._next:05d}"
         self._next += 1
-        counts.sortWithinPartitions("h").write.parquet(run)
+        prints.sortWithinPartitions("h").write.parquet(run)
         return run
 
     def append(self, prints: DataFrame) -> None:
-        """Write the counts of a batch's fingerprints as one more run; compact where there are many."""
-        self.live.append(self._write(prints.groupBy("h").agg(F.count("*").alias("n"))))
+        """Write a batch's prints as one more run; compact where there are many."""
+        self.live.append(self._write(prints))
         if len(self.live) > self.max_runs:
             self.compact()
 
-    def counts(self) -> DataFrame:
-        """All runs merged by fingerprint."""
-        if not self.live:
-            return self.spark.createDataFrame([], "h long, n long")
-        runs = self.spark.read.schema("h long, n long").parquet(*self.live)
-        return runs if len(self.live) == 1 else runs.groupBy("h").agg(F.sum("n").alias("n"))
+    def prints(self) -> DataFrame:
+        """All live runs."""
+        reader = self.spark.read.schema(PRINTS)
+        return reader.parquet(*self.live) if self.live else self.spark.createDataFrame([], PRINTS)
 
     def compact(self) -> None:
-        """Replace the live runs by their merge; the old files stay until the folder goes."""
-        self.live = [self._write(self.counts())]
+        """Replace the live runs by one; their files go when it is written."""
+        old, self.live = self.live, [self._write(self.prints())]
+        for run in old:
+            delete(self.spark, run)
+
+    def meet(self, prints: DataFrame) -> DataFrame:
+        """Prints of a new batch that stand twice in it or in a live run, and the runs' prints that they meet.
+
+        A merge join by fingerprint on both sides; the counts that decide are combined before they move.
+        """
+        fresh = prints.groupBy("h").agg(F.count("*").alias("n"))
+        known = self.prints().groupBy("h").agg(F.count("*").alias("m"))
+        both = fresh.join(known, "h", "left").where("n > 1 or m is not null").select("h")
+        return prints.join(both, "h", "left_semi").unionByName(self.prints().join(both, "h", "left_semi"))
 
     def repeated(self) -> DataFrame:
-        return self.counts().where("n > 1").select("h")
+        """The prints of all live runs whose fingerprint stands twice in them."""
+        twice = self.prints().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        return self.prints().join(twice, "h", "left_semi")
 
 
-def repeated_windows(src: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_windows(src: DataFrame, hits: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (rk, rk2, ranges): ranges (low, windows) of consecutive windows that occur twice.
 
-    Where a fingerprint repeats, whole stretches are compared first: occurrences with equal stretches
-    repeat each other's windows. Only fingerprints with a stretch that stands alone are looked at by
-    single windows, in all their occurrences.
+    hits are all prints of the fingerprints in question, src the texts of all their documents. Where a
+    fingerprint repeats, whole stretches are compared first: occurrences with equal stretches repeat each
+    other's windows. Only fingerprints with a stretch that stands alone are looked at by single windows,
+    in all their occurrences. Counts are combined before they are shuffled and written apart, so that
+    the joins by fingerprint are plain ones that Spark splits where one key is hot.
     """
-    index = FingerprintIndex(src.sparkSession)
-    for i in range(batches):
-        index.append(fingerprints(src.where(F.pmod("rk", F.lit(batches)) == i), window, gram))
-    hits = stored(fingerprints(src, window, gram).join(index.repeated(), "h", "left_semi"), "hits")
-    stretch = hits.groupBy("h", "c").agg(F.count("*").alias("n"))
+    hits = stored(hits, "hits")
+    stretch = stored(hits.groupBy("h", "c").agg(F.count("*").alias("n")), "stretches")
     alone = stretch.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h")
     sure = hits.join(stretch.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*KEY, "low", "windows")
-    open_ = hits.join(alone, "h", "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("low", "windows")).alias("at"))
+    open_ = stored(hits.join(alone, "h", "left_semi").select(*KEY, "low", "windows"), "open")
+    open_ = open_.groupBy(*KEY).agg(F.collect_set(F.struct("low", "windows")).alias("at"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -156,14 +169,33 @@ def _windows(rows) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("rk", "rk2", "low", "h", "h2"), cols, strict=True)))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 3, max_runs: int = 2) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept): every document without its repeated passages.
 
-    A word goes if a window of consecutive words that covers it also starts anywhere else.
+    A word goes if a window of consecutive words that covers it also starts anywhere else. The input
+    goes into an index of its own batch by batch, and is answered from the compacted runs.
     """
     src = keyed(docs, id_col, text_col)
-    marks = repeated_windows(src, batches, window, gram)
+    index = FingerprintIndex(docs.sparkSession, max_runs=max_runs)
+    for i in range(batches):
+        index.append(fingerprints(src.where(F.pmod("rk", F.lit(batches)) == i), window, gram))
+    return _without(src, repeated_windows(src, index.repeated(), window), window)
+
+
+def dedup_batch(docs: DataFrame, index: FingerprintIndex, history: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The same rows for a new batch, judged against itself and all documents of the index; the batch then joins the index.
+
+    history has the documents of the index, of which only those that meet the batch are read again to
+    verify windows. Rows that the history gave out before are not changed.
+    """
+    src, old = keyed(docs, id_col, text_col), keyed(history, id_col, text_col)
+    prints = stored(fingerprints(src, window, gram), "batch")
+    marks = stored(repeated_windows(src.union(old), index.meet(prints), window), "marks")
+    index.append(prints)
+    return _without(src, marks, window)
+
 
+def _without(src: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -189,4 +221,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-__all__ = ["FingerprintIndex", "dedup_substrings", "fingerprints", "op7", "repeated_windows", "winnow"]
+__all__ = ["FingerprintIndex", "dedup_batch", "dedup_substrings", "fingerprints", "op7", "repeated_windows", "winnow"]
