@@ -5,13 +5,16 @@ Every tier is packed into sequences of its own size, longest first; a gap is fil
 documents of the shorter tiers that fit, and closed by the first part of one more. A document
 longer than a sequence fills whole ones first. Full sequences have no padding; what cannot fill
 one any more is kept for the next round, and at the end of a task is cut into powers of two, so
-that only a rest shorter than the least tier is padded. Sequences of one tier are then counted into
-step groups which hold the same number of tokens whatever the tier.
+that only a rest shorter than the least tier is padded.
 
 Every task packs what it reads, in rounds of bounded size: nothing is shuffled, and no partition is
 too large. Packing follows the order of rows in a partition, so a task that is run again gives the
 same rows. Sequence ids hold the partition in their upper bits.
 
+Step groups are dealt after packing, over the sequences alone: all partitions' sequences of one
+tier are counted through, so that each group of a tier holds the same number of sequences, with
+one short group at most for each tier. Groups of all tiers hold the same number of tokens.
+
 Defined cases: a null or empty text is a document of the end id alone; very long texts are cut;
 repeated rows are packed each; an empty table gives no rows; further columns are ignored.
 """
@@ -26,11 +29,12 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from graphloom.llm.token_counts import TOKENIZER, tokenizer_path
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long, ids binary"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 
 
 class WordIds:
@@ -48,10 +52,11 @@ class WordIds:
     #: Fixed value: the cut that the vocabulary's file names, on lower-case text.
     cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, size: int = 1_200_000):
+    def __init__(self, path: str, most: int = 160 << 20):
         from tokenizers import Tokenizer
 
-        self.tool, self.size, self.known, self.pieces = Tokenizer.from_file(path), size, {}, {}
+        #: Bytes that the two tables may take, by a rough count of 120 for an entry besides its word and ids.
+        self.tool, self.most, self.known, self.pieces, self.held = Tokenizer.from_file(path), most, {}, {}, 0
         vocab = self.tool.get_vocab()
         #: Whether an id ends a piece.
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -78,16 +83,21 @@ class WordIds:
         seen: set[str] = set()
         seen.update(*(w for w in words if w is not None))
         fresh = [w for w in seen if w not in self.known]
-        if len(self.known) + len(fresh) > self.size:
+        self.held += sum(120 + 5 * len(w) for w in fresh)
+        if self.held > self.most:
             self.known.clear()
             self.pieces.clear()
             fresh = list(seen)
+            self.held = sum(120 + 5 * len(w) for w in fresh)
         if fresh:
             # Strings of added tokens are left to the library, with the word they stand in.
             easy = [w for w in fresh if "<|" not in w and self.plain.fullmatch(w)]
             self._learn(easy)
             self.known.update((w, self._whole(w)) for w in fresh if w not in self.known)
         get = self.known.__getitem__
+        # A table that one call has filled beyond the bound goes with the call.
+        if self.held > self.most:
+            self.known, self.pieces, self.held = {}, {}, 0
         return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
@@ -104,11 +114,10 @@ def word_ids(name: str) -> WordIds:
 class Packer:
     """Packs documents, given as (id, ids as bytes), into sequences; yields rows of pieces."""
 
-    def __init__(self, partition: int, longest: int = 4096, least: int = 64, step_tokens: int = 1 << 20, keep_ids: bool = False):
-        self.longest, self.least, self.step_tokens, self.keep_ids = longest, least, step_tokens, keep_ids
+    def __init__(self, partition: int, longest: int = 4096, least: int = 64, keep_ids: bool = False):
+        self.longest, self.least, self.keep_ids = longest, least, keep_ids
         self.tiers = [1 << k for k in range(least.bit_length() - 1, longest.bit_length())]
-        self.next, self.base = partition << 33, partition << 33
-        self.made = dict.fromkeys(self.tiers, 0)
+        self.next = partition << 33
         #: Waiting pieces by tier: (doc, start, ids, doc_tokens), shortest first.
         self.wait: dict[int, list] = {t: [] for t in self.tiers}
         self.tokens = 0
@@ -117,7 +126,7 @@ class Packer:
         return min(self.longest, max(self.least, 1 << (n - 1).bit_length()))
 
     def add(self, doc, ids: bytes) -> None:
-        n = len(ids) // 4
+        n, ids = len(ids) // 4, memoryview(ids)  # cutting copies nothing
         self.wait[self.tier(n)].append((doc, 0, ids, n))
         self.tokens += n
 
@@ -154,10 +163,8 @@ class Packer:
             rows.append((doc, start, length, zlib.crc32(ids), n, offset, ids))
             offset += length
         padded = size if offset == size else self.longest
-        group = self.made[size] // max(1, self.step_tokens // size)
         for doc, start, length, crc, n, at, ids in rows:
-            out.append((doc, start, length, crc, n, self.next, at, padded, self.base + group * len(self.tiers) + self.tiers.index(size), ids if self.keep_ids else None))
-        self.made[size] += 1
+            out.append((doc, start, length, crc, n, self.next, at, padded, bytes(ids) if self.keep_ids else None))
         self.next += 1
         self.tokens -= offset
 
@@ -176,7 +183,7 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = 2, longest: int = 4096, round_tokens: int = 1 << 20, keep_ids: bool = True) -> DataFrame:
-    """One row for each piece: where it comes from, its sequence and place, step group, and its ids."""
+    """One row for each piece: where it comes from, its sequence and place, and its ids."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = word_ids(tokenizer)
@@ -195,6 +202,23 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(id_col, text_col).mapInPandas(each, SCHEMA)
 
 
+def step_groups(pieces: DataFrame, step_tokens: int = 1 << 20) -> DataFrame:
+    """Rows (sequence_id, step_group): groups of step_tokens tokens, padding included, of sequences of one length.
+
+    Only the first piece of each sequence is looked at. Sequences are numbered within partition and length,
+    a few counts for each partition shift them, and no group or window holds more than one partition's rows.
+    """
+    first = pieces.where("offset = 0").select("sequence_id", "sequence_length", F.shiftright("sequence_id", 33).alias("part"))
+    here = Window.partitionBy("part", "sequence_length").orderBy("sequence_id")
+    counts = first.groupBy("sequence_length", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("sequence_length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("sequence_length", "part", before.alias("before"))
+    numbered = first.withColumn("nth", F.row_number().over(here) - 1).join(shift, ["sequence_length", "part"])
+    per = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("sequence_length")))
+    place = F.floor((F.col("before") + F.col("nth")) / per)
+    return numbered.select("sequence_id", (place * 64 + F.round(F.log2(F.col("sequence_length").cast("double"))).cast("long")).alias("step_group"))
+
+
 def _frame(rows: list) -> pd.DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     cols = list(zip(*rows, strict=True)) or [[] for _ in names]
