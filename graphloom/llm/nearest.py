@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by vantage-point trees, one for each shard.
 
 Vectors are dealt into shards of bounded size by a hash of their id; every shard builds a tree and
-answers every query block; the answers of the shards are merged by rank. A subtree is passed over
+answers every query; the answers of the shards are merged by rank. A subtree is passed over
 when the triangle inequality, with its slack multiplied by a factor, puts it beyond the nearest
 found so far. Factor 1 is exact; larger factors prune more and may miss some. No vector is copied
-but for query blocks, which meet each shard once.
+but for queries, which meet each shard once; a shard's tree is built once, and queries stream past it.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do rows without an id; vectors of another length than the query are at no distance from
@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a shard and queries in a block, on average.
-SHARD, BLOCK = 8192, 2048
-LEAF = 64
+#: Vectors in a shard, on average.
+SHARD = 8192
+LEAF = 256
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -87,6 +87,27 @@ class Tree:
         return best_r[keep], best_d[keep]
 
 
+def _trees(own: pd.DataFrame) -> dict[int, tuple[np.ndarray, Tree]]:
+    """A tree for each length of vectors, with the ids of its rows."""
+    out, size = {}, own.v.map(len).to_numpy()
+    for n in sorted(set(size)):
+        ids = own.id.to_numpy()[size == n]
+        order = np.argsort((ids * 0x9E3779B1) & 0xFFFFFFFF, kind="stable")
+        out[n] = ids[order], Tree(np.stack(own.v.to_numpy()[size == n])[order])
+    return out
+
+
+def _answers(queries: pd.DataFrame, trees: dict, k: int, factor: float) -> pd.DataFrame:
+    found = []
+    for qid, q in zip(queries.id.tolist(), queries.v, strict=True):
+        if len(q) in trees:
+            ids, tree = trees[len(q)]
+            r, d = tree.search(np.asarray(q), k, factor, ids == qid, ids)
+            found.append((np.full(len(r), qid), ids[r], d))
+    cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
+
+
 def usable(vec: Column) -> Column:
     """Not null, not empty, all components finite, not all zero."""
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -102,27 +123,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
 
     points, asked = clean(vectors), clean(queries)
     shards = max(1, -(-points.count() // SHARD))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    points = points.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n in sorted(set(map(len, right.v))) if len(left) and len(right) else []:
-            own = left[left.v.map(len) == n]
-            if not len(own):
-                continue
-            ids = own.id.to_numpy()
-            order = np.argsort((ids * 0x9E3779B1) & 0xFFFFFFFF, kind="stable")
-            ids, m = ids[order], np.stack(own.v.to_numpy())[order]
-            tree = Tree(m)
-            for qid, q in zip(right.id, right.v, strict=True):
-                if len(q) == n:
-                    r, d = tree.search(np.asarray(q), k, factor, ids == qid, ids)
-                    out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[r], "score": d}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-
-    found = points.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(each, SCHEMA)
+    # A shard's vectors come before the queries, which visit every shard; the tree is built once for all of them.
+    points = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "v")
+    rows = points.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, held, trees = None, [], None
+        for b in batches:
+            cut = np.flatnonzero(np.diff(b["shard"].to_numpy(), prepend=-1))
+            for i, j in zip(cut, [*cut[1:], len(b)], strict=True):
+                part = b.iloc[i:j]
+                if part["shard"].iat[0] != shard:
+                    shard, held, trees = part["shard"].iat[0], [], None
+                own = part[~part.asks]
+                if len(own):
+                    held.append(own[["id", "v"]])
+                queries = part[part.asks]
+                if len(queries):
+                    trees = _trees(pd.concat(held)) if trees is None and held else trees or {}
+                    if len(out := _answers(queries, trees, k, factor)):
+                        yield out
+
+    found = rows.mapInPandas(each, SCHEMA)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
