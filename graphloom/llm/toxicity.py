@@ -127,13 +127,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"ids": [np.unique(feature_ids(t, bits)).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"o": b["o"], "ids": [np.unique(feature_ids(t, bits)).tobytes() for t in b["text"]]})
 
     def sample(df: DataFrame, most: int) -> list[np.ndarray]:
         chosen = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(1)).alias("o"), F.col(id_col).alias("i"))
         cut = chosen.select("o").orderBy("o").offset(most).limit(1).collect()
         chosen = chosen.where(F.col("o") < cut[0].o) if cut else chosen
-        return [np.frombuffer(r.ids, np.int32) for r in chosen.select("text").mapInPandas(each, "ids binary").toLocalIterator()]
+        # At most `most` rows of word sets, made by all tasks at once and fetched in a few parts, then put in the hash's order.
+        coded = chosen.select("o", "text").mapInPandas(each, "o long, ids binary").repartition(8, "o")
+        rows = sorted((r.o, bytes(r.ids)) for r in coded.toLocalIterator())
+        return [np.frombuffer(ids, np.int32) for _, ids in rows]
 
     toxic = known.where("y = 1").select(id_col)
     p = sample(docs.join(toxic, id_col, "left_semi"), max_positive)
