@@ -12,7 +12,7 @@ kept where it holds nearly all text of the host and varies.
 
 Tasks fold their own pages into one wrapper a host, as a map-side combine; partial wrappers are
 folded again by host and salt, then by host, so that no group grows with the pages of a host.
-Extraction parses each page by itself with its host's region.
+Extraction parses each page by itself with its host's region, which is sent to the pages.
 
 Defined cases: null or empty html, or html without text, gives an empty text; very long and deeply
 nested pages are parsed without recursion; a page without its host's region, or that it
@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.keys import stored
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)(/?)>""", re.S)
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Fixed HTML facts: elements without end tag, with raw text, that stand for no main text, that make blocks.
@@ -53,6 +55,8 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
 SPACES = re.compile(r"\s+")
 #: Share of the text that a group must hold for the search to go on inside it, or for its name to be overruled.
 MOST = 0.7
+#: Characters of all hosts' regions up to which they are broadcast; parts that a host's pages go to beyond that.
+SMALL, SALTS = 16 << 20, 64
 #: Different texts and pages that a group of a wrapper remembers.
 SAMPLE = 8
 #: Names that say what a group is, not only where; a group of that name is never the content.
@@ -134,10 +138,10 @@ def wrapper_of(root: Node) -> list:
     """The page as a wrapper [key, multiplicity, text, kids, link text, texts, pages]; equal neighbours are one repeated group."""
     page: list[int] = []
     out = [root.key, "1", 0, [], 0, [], page]
-    todo = [(root, out)]
+    todo = [(root, out, 0)]
     late = []
     while todo:
-        node, w = todo.pop()
+        node, w, depth = todo.pop()
         own = 0
         for kid in node.kids:
             if isinstance(kid, str):
@@ -146,10 +150,12 @@ def wrapper_of(root: Node) -> list:
                 own = zlib.crc32(text.encode("utf-8", "replace"), own)
             elif kid.tag == "a" and kid.noise < 2:
                 w[4] += length(kid)
+            elif kid.noise < 2 and depth >= DEEP:
+                w[2] += length(kid)
             elif kid.noise < 2:
                 g = [kid.key, "1", 0, [], 0, [], page]
                 w[3].append(g)
-                todo.append((kid, g))
+                todo.append((kid, g, depth + 1))
         late.append((w, own))
     for w, own in reversed(late):
         w[5] = [zlib.crc32(repr([g[5] for g in w[3]]).encode(), own)]
@@ -185,29 +191,44 @@ def repeated(groups: list[list]) -> list[list]:
     return out
 
 
+def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in order, by rows of bits: a bit is unset where the row's length steps up."""
+    where: dict[str, int] = {}
+    for j, k in enumerate(y):
+        where[k] = where.get(k, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    rows = [full]
+    for k in x:
+        v = rows[-1]
+        u = v & where.get(k, 0)
+        rows.append((v + u | v - u) & full)
+    out, i, j = [], len(x), len(y)
+    while i and j:
+        # Left of a step of row i that row i-1 lacks at this place, the pair before it is the match.
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        else:
+            low = (1 << j) - 1
+            if (rows[i - 1] & low).bit_count() <= (rows[i] & low).bit_count():
+                i -= 1
+            else:
+                j -= 1
+    return out[::-1]
+
+
 def align(a: list, b: list) -> list:
     """The least wrapper of this kind that covers both: matched groups in order, others optional."""
-    if len(a[3]) > 400 or len(b[3]) > 400:
-        kids = repeated(sorted(a[3] + b[3], key=lambda g: g[0]))
-        return merged(a, b, kids)
     x, y = a[3], b[3]
-    if [g[0] for g in x] == [g[0] for g in y]:
+    names = [g[0] for g in x], [g[0] for g in y]
+    if names[0] == names[1]:
         return merged(a, b, [align(p, q) for p, q in zip(x, y, strict=True)])
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1, j], best[i, j + 1])
     kids, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            kids.append(align(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1, j] >= best[i, j + 1]):
-            kids.append(optional(x[i]))
-            i += 1
-        else:
-            kids.append(optional(y[j]))
-            j += 1
+    for p, q in [*matches(*names), (len(x), len(y))]:
+        kids += [optional(g) for g in (*x[i:p], *y[j:q])]
+        if p < len(x):
+            kids.append(align(x[p], y[q]))
+        i, j = p + 1, q + 1
     return merged(a, b, repeated(kids))
 
 
@@ -321,7 +342,7 @@ def main_text(page: str, tree: dict | None) -> str:
     found = blocks(root, tree) if tree is not None else []
     if found and sum(map(len, found)) >= (1 - MOST) * sum(map(len, blocks(root, tree, True))):
         return "\n".join(found)
-    own = region(wrapper_shallow(root))
+    own = region(wrapper_of(root))
     return "\n".join((found and blocks(root, under(own, tree))) or blocks(root, own) or blocks(root, {}))
 
 
@@ -330,20 +351,10 @@ def under(own: dict, host: dict) -> dict:
     return own | {k: under(own.get(k) or {}, v) if v != 0 else 0 for k, v in host.items()}
 
 
-#: What is nested deeper than any template gives no wrapper of its own.
+#: Groups nested deeper than this, which no template is, are one slot in the wrapper; extraction still reads them one by one.
 DEEP = 150
 
 
-def wrapper_shallow(root: Node) -> list:
-    todo = [(root, 0)]
-    while todo:
-        node, depth = todo.pop()
-        if depth >= DEEP:
-            return [root.key, "1", 0, [], 0, [0], [0]]
-        todo += [(k, depth + 1) for k in node.kids if not isinstance(k, str)]
-    return wrapper_of(root)
-
-
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -355,7 +366,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         part, held = TaskContext.get().partitionId() % salts, {}
         for b in batches:
             for h, page in zip(b.host, b.html, strict=True):
-                w = wrapper_shallow(parse(page or ""))
+                w = wrapper_of(parse(page or ""))
                 held[h] = align(held[h], w) if h in held else w
             if len(held) >= most_hosts:
                 yield _rows(held, part)
@@ -391,9 +402,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             text = [main_text(page or "", json.loads(p) if isinstance(p, str) else None) for page, p in zip(b.html, b.path, strict=True)]
             yield pd.DataFrame({"page_id": b.page_id.astype("Int64"), "url": pd.Series([u if isinstance(u, str) else None for u in b.url], dtype=object), "text": pd.Series(text, dtype=object), "n_chars": np.array([len(t) for t in text], np.int64)})
 
-    regions = infer_wrappers(pages, url_col, html_col).mapInPandas(paths, "host string, path string")
+    regions = stored(infer_wrappers(pages, url_col, html_col).mapInPandas(paths, "host string, path string"), "regions")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
-    return rows.join(regions, "host", "left").select("page_id", "url", "html", "path").mapInPandas(each, "page_id long, url string, text string, n_chars long")
+    size = regions.agg(F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0))).first()[0]
+    if size <= SMALL:
+        joined = rows.join(F.broadcast(regions), "host", "left")
+    else:  # a host's pages go to many tasks, its region to each of them
+        rows = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS)))
+        joined = rows.join(regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "path").mapInPandas(each, "page_id long, url string, text string, n_chars long")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
