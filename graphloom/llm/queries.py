@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, jaccard_join, nearest, packing, page_text, personal_data, secrets, substring_dedup, token_counts, toxicity
+from graphloom.llm import decontaminate, jaccard_join, nearest, oracles, packing, page_text, personal_data, secrets, substring_dedup, token_counts, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,4 +27,4 @@ QUERIES = {
 }
 
 #: The rest is tested against brute force in tests/llm.
-SQL = {"op4_nearest": nearest.OP4_SQL}
+SQL = oracles.SQL

@@ -243,13 +243,39 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
 
 
+def _prints(spark, hashes):
+    return spark.createDataFrame([(i, 0, h, h, 0, 1) for i, h in enumerate(hashes)], substring_dedup.PRINTS)
+
+
 def test_fingerprint_index_compacts(spark):
     index = substring_dedup.FingerprintIndex(spark, max_runs=2)
     for batch in ([1, 2, 2], [3, 1], [4, 4, 5]):
-        index.append(spark.createDataFrame([(x,) for x in batch], "h long"))
+        index.append(_prints(spark, batch))
     assert len(index.live) == 1
-    assert {(r.h, r.n) for r in index.counts().collect()} == {(1, 2), (2, 2), (3, 1), (4, 2), (5, 1)}
-    assert sorted(r.h for r in index.repeated().collect()) == [1, 2, 4]
+    assert sorted(r.h for r in index.prints().collect()) == [1, 1, 2, 2, 3, 4, 4, 5]
+    assert sorted(r.h for r in index.repeated().collect()) == [1, 1, 2, 2, 4, 4]
+    assert sorted(r.h for r in index.meet(_prints(spark, [5, 6, 6, 7])).collect()) == [5, 5, 6, 6]
+    again = substring_dedup.FingerprintIndex(spark, index.path, live=index.live)
+    again.append(_prints(spark, [9]))
+    assert len(set(again.live)) == 2 and again.prints().count() == 9
+
+
+def test_substring_dedup_by_batches(spark):
+    passage, other = prose(60), prose(45)
+    first = [(1, f"{prose(30)} {passage} {prose(9)}"), (2, prose(80)), (3, None)]
+    second = [(4, f"{prose(12)} {passage}"), (5, f"{other} x {other}"), (6, prose(90)), (7, ""), (1, first[0][1])]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = substring_dedup.FingerprintIndex(spark)
+    substring_dedup.dedup_batch(make(first), index, make([])).collect()
+    got = table(substring_dedup.dedup_batch(make(second), index, make(first)), "doc_id", "n_words", "n_removed")
+    words = [SPACE.findall(t or "") for _, t in first + second]
+    count = collections.Counter(tuple(w[a : a + 35]) for w in words for a in range(len(w) - 34))
+    want = []
+    for (i, _), w in zip(second, words[len(first) :], strict=True):
+        gone = {x for a in range(len(w) - 34) if count[tuple(w[a : a + 35])] > 1 for x in range(a, a + 35)}
+        want.append((i, len(w), len(gone)))
+    assert got == sorted(want, key=repr)
+    assert len(index.live) == 2
 
 
 @pytest.mark.parametrize(("size", "num"), [(4, 85), (5, 80)])
@@ -380,3 +406,119 @@ def test_secrets(spark):
     assert table(secrets.find_secrets(df), "doc_id", "n_assign", "n_hex") == [(1, 0, 0), (2, 1, 1), (3, 0, 0)]
     assert table(secrets.redact(df), "doc_id", "text") == [(1, None), (2, 'a [secret]" b'), (3, "")]
     assert secrets.find_secrets(empty(spark)).count() == 0
+
+
+def _der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 + len(b := n.to_bytes((n.bit_length() + 7) // 8, "big"))]) + b
+    return bytes([tag]) + size + body
+
+
+def _field(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+def test_secrets_parse_whole_keys():
+    import base64
+
+    enc = lambda b: base64.b64encode(b).decode()
+    rsa = _der(0x30, _der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + _der(5, b""))
+    numbers = _der(0x30, _der(2, b"\0") + b"".join(_der(2, bytes([i + 1]) * 40) for i in range(8)))
+    private = _der(0x30, _der(2, b"\0") + rsa + _der(4, numbers))
+    scalar = _der(0x30, _der(2, b"\1") + _der(4, b"\7" * 32) + _der(0xA0, _der(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+    locked = _der(0x30, _der(0x30, _der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + _der(0x30, b"")) + _der(4, b"\5" * 200))
+    kinds = lambda t: [k for k, _, _ in secrets.find(t)[1]]
+    for key in (private, scalar, locked, numbers):
+        assert kinds(f"key {enc(key)} end") == ["der"] and not kinds(f"key {enc(key[:-1] + b'x' * 3)} end")
+        assert kinds("k=" + base64.urlsafe_b64encode(key).decode()) == ["der"]
+    public = _der(0x30, rsa + _der(3, b"\0" + numbers))
+    assert not kinds(enc(public)) and not kinds("ssh-rsa " + enc(_field(b"ssh-rsa") + _field(b"\1\0\1") + _field(b"\x09" * 64)))
+    pub = _field(b"ssh-ed25519") + _field(b"\7" * 32)
+    ssh = b"openssh-key-v1\0" + _field(b"none") + _field(b"none") + _field(b"") + (1).to_bytes(4, "big") + _field(pub) + _field(b"\3" * 96)
+    assert kinds(enc(ssh)) == ["ssh"] and not kinds(enc(b"openssh-key-v1\0" + b"rubbish" * 20)) and not kinds(enc(ssh[:-5]))
+    body = enc(private)
+    lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+    for text in (f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----", f"-----BEGIN RSA PRIVATE KEY-----\\n{body}\\n-----END RSA PRIVATE KEY-----"):
+        assert kinds(text) == ["pem"]
+    headed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0011\n\n{enc(bytes(range(160)))}\n-----END RSA PRIVATE KEY-----"
+    assert "pem" in kinds(headed)
+    assert not kinds("-----BEGIN PRIVATE KEY-----\nnot a key at all\n-----END PRIVATE KEY-----")
+
+
+def test_step_groups(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(VOCAB) for _ in range(rng.randint(1, 120)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    pieces = spark.createDataFrame(packing.pack_documents(df, longest=256, round_tokens=4096).collect(), packing.SCHEMA)
+    groups = {r.sequence_id: r.step_group for r in packing.step_groups(pieces, 1024).collect()}
+    length = {r.sequence_id: r.sequence_length for r in pieces.collect()}
+    assert set(groups) == set(length)
+    held = collections.defaultdict(list)
+    for i, g in groups.items():
+        held[g].append(length[i])
+    for g, sizes in held.items():
+        assert len(set(sizes)) == 1 and sum(sizes) <= 1024
+    short = collections.Counter(sizes[0] for sizes in held.values() if sum(sizes) < 1024)
+    assert max(short.values(), default=0) <= 1
+
+
+def test_page_alignment_finds_longest_common_order():
+    rng = random.Random(4)
+
+    def longest(x, y):
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                t[i + 1][j + 1] = t[i][j] + 1 if x[i] == y[j] else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    for _ in range(500):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        m = page_text.matches(x, y)
+        assert len(m) == longest(x, y) and all(x[i] == y[j] for i, j in m) and all(a < c and b < d for (a, b), (c, d) in zip(m, m[1:], strict=False))
+    many = [f"t{i}" for i in range(1500)]
+    assert len(page_text.matches(many, many[::2])) == 750
+
+
+def test_page_regions_do_not_move_pages(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/", f'<div class="x{i % 3}">menu</div><article><p>Text {i}</p></article>') for i in range(30)] + [(7, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    sent = table(page_text.extract_text(df), "page_id", "text")
+    monkeypatch.setattr(page_text, "SMALL", -1)
+    assert table(page_text.extract_text(df), "page_id", "text") == sent and len(sent) == 31
+
+
+def test_word_hashes_tell_patterned_words_apart():
+    from graphloom.llm import wordhash
+
+    thue = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    a = thue(4096)
+    b = a.translate(str.maketrans("ab", "ba"))
+    h = wordhash.words(f"{a} {b} {a}".encode())
+    assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_near_copies_that_only_chains_join(spark):
+    """Borderline members of one block: links of a chain, a second group, and a null id among them."""
+    words = [f"w{i}" for i in range(60)]
+    step = lambda n: " ".join([f"e{i}" for i in range(n)] + words[n:])
+    rows = [(100 + n, step(n)) for n in range(0, 24, 3)] + [(None, step(4)), (50, step(1))] + [(200 + i, " ".join(words[:30] + [f"z{i}x{j}" for j in range(30)])) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dict(table(jaccard_join.link_documents(df, shingle=4, num=85).where("doc_id is not null"), "doc_id", "component_id"))
+    sets = [(i, set(jaccard_join.shingles(t, 4).tolist())) for i, t in rows]
+    up = list(range(len(sets)))
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = sets[a][1], sets[b][1]
+        if 100 * len(x & y) >= 85 * len(x | y):
+            up[root(a)] = root(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            least[root(a)] = min(i, least.get(root(a), i))
+    assert got == {i: least[root(a)] for a, (i, _) in enumerate(sets) if i is not None}
