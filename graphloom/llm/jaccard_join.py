@@ -327,6 +327,25 @@ def _marked_once(marked: DataFrame) -> DataFrame:
     return marked.join(first, TASK, "left_semi")
 
 
+def _gathered(dense: DataFrame, held: Scratch) -> DataFrame:
+    """Task rows for the members of dense tasks, which many blocks of one group of copies share.
+
+    Tasks that members connect hold one group. Where it takes fewer rows to bring each part of the whole
+    group to each other part once than its tasks have, the group is searched so, else by its tasks.
+    """
+    node = F.xxhash64(*TASK)
+    group = held.stored(components(dense.select(node.alias("a"), F.col("d1").alias("b"))), "group")
+    rows = dense.join(group.select(F.col("node").alias("d1"), F.col("comp").alias("s")), "d1")
+    sized = rows.groupBy("s").agg(F.count("*").alias("r"))
+    members = rows.select("s", "d1", "comp").distinct()
+    sized = sized.join(members.groupBy("s").agg(F.count("*").alias("m")), "s").withColumn("parts", _parts("m"))
+    whole = sized.where(F.col("m") * F.col("parts") <= F.col("r"))
+    spread = members.join(whole.select("s", "parts"), "s").withColumn("part", _among(F.lit(0), F.col("parts")))
+    spread = spread.withColumn("other", _to(F.lit(0), F.col("parts") - 1))
+    spread = spread.select(F.col("s").alias("g"), F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "d1", "comp")
+    return spread.unionByName(rows.join(whole.select("s"), "s", "left_anti").select(spread.columns))
+
+
 def _links(marked: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that join the components of a task's members, found on whole sets."""
 
@@ -395,10 +414,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comp = held.stored(components(star), "comp")
     marked = held.stored(_marked(_rest(once, comp), points, num, den, True), "marked")
     pairs = marked.where("part < 0").select("g", "d1").distinct().join(first, ["g", "d1"], "left_anti")
-    more = links(held.stored(_stars(pairs), "open"), "pairs").union(links(marked.where("part >= 0"), "groups"))
+    more = links(held.stored(_stars(pairs), "open"), "pairs").union(links(held.stored(_gathered(marked.where("part >= 0"), held), "gathered"), "groups"))
     if not more.isEmpty():
         comp = held.stored(components(star.union(more)), "comp")
-    held.drop("once", "met", "first", "marked", "open", "star", "pairs", "groups")
+    held.drop("once", "met", "first", "marked", "open", "gathered", "group", "star", "pairs", "groups")
     # Ids may be null or stand in rows of different texts, so classes are linked and ids looked up last.
     least = comp.join(classes.select(F.col("d1").alias("node"), "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
     linked = comp.join(least, "comp").withColumn("linked", F.lit(True))

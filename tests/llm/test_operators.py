@@ -498,11 +498,19 @@ def test_word_hashes_tell_patterned_words_apart():
     assert h[0] != h[1] and h[0] == h[2]
 
 
-def test_near_copies_that_only_chains_join(spark):
-    """Borderline members of one block: links of a chain, a second group, and a null id among them."""
+@pytest.mark.parametrize("part", [512, 3])
+def test_near_copies_that_only_chains_join(spark, monkeypatch, part):
+    """Borderline members of one block: links of a chain, a second group, and a null id among them; and in parts."""
+    monkeypatch.setattr(jaccard_join, "PART", part)
     words = [f"w{i}" for i in range(60)]
     step = lambda n: " ".join([f"e{i}" for i in range(n)] + words[n:])
     rows = [(100 + n, step(n)) for n in range(0, 24, 3)] + [(None, step(4)), (50, step(1))] + [(200 + i, " ".join(words[:30] + [f"z{i}x{j}" for j in range(30)])) for i in range(20)]
+    rng = random.Random(6)
+    for i in range(40):  # near copies of which some link and some do not
+        w = [f"c{j}" for j in range(80)]
+        for j in rng.sample(range(80), rng.randint(0, 4)):
+            w[j] = f"k{i}x{j}"
+        rows.append((300 + i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = dict(table(jaccard_join.link_documents(df, shingle=4, num=85).where("doc_id is not null"), "doc_id", "component_id"))
     sets = [(i, set(jaccard_join.shingles(t, 4).tolist())) for i, t in rows]
