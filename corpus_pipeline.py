@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages, each written before the next one reads it."""
+"""A training corpus from raw documents: five stages, each written before the next one reads it.
+
+Defined cases, for every stage: null ids, and ids that rows share, are judged by the rows' own texts; null and empty
+texts are neither toxic, copies, contaminated nor secret, and are packed as the end id alone; rows that repeat id and
+text are copies if they have words, and stay else; an empty table gives no rows; further columns, whatever their
+names, pass all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -26,15 +32,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)).alias("first")
     kept = rows.groupBy("comp", alone.alias("alone")).agg(first).select("first.rk", "first.rk2", F.col("alone").isNotNull().alias("every"))
     # Rows that repeat id and text share a key: the first of them in the other columns' order stays.
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(*docs.columns))
-    return with_key(docs).join(kept, KEY).withColumn("nth", nth).where("every or nth = 1").select(docs.columns)
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("row"))
+    return with_key(docs).join(kept, KEY).withColumn("nth", nth).where("every or nth = 1").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share less than a twentieth of their words with the benchmark."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     bad = decontaminate.decontaminate(docs, bench, keep_keys=True).where("contaminated").select(*KEY).distinct()
-    return with_key(docs).join(bad, KEY, "left_anti").select(docs.columns)
+    return with_key(docs).join(bad, KEY, "left_anti").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

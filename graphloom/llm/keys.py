@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 KEY = ["rk", "rk2"]
 
 
+def key_columns(id_col: str, text_col: str) -> list:
+    """A 96-bit key of id and text, as two columns."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), F.hash(F.col(text_col), F.col(id_col)).alias("rk2")]
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only id, text and a 96-bit key of the two, so that rows can be found again.
+    """Only id, text and the key of the two, so that rows can be found again.
 
     Rows that repeat both share a key, and share every result; null ids and texts have keys too.
     """
-    return with_key(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *KEY)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *key_columns(id_col, text_col))
 
 
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns, and the key."""
-    return docs.withColumns({"rk": F.xxhash64(F.col(id_col), F.col(text_col)), "rk2": F.hash(F.col(text_col), F.col(id_col))})
+    """Rows (row, rk, rk2): all columns as one struct, so that none of them can clash, and the key."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *key_columns(id_col, text_col))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -8,6 +8,9 @@ the share of toxic rows among the labelled. Training takes a bounded sample: at
 positives and max_unlabelled others, those with the smallest hash of their id, so that it is the
 same at every run; the words' sets of these alone reach the driver. Scoring goes over all rows.
 
+Where a score of 0.5 stands is found by cross-validation inside the training part: rows left out of
+a fit are scored by it, and the cut is that of the largest F with a weight on precision.
+
 Defined cases: null or empty texts get the score of a text without words; no positive label at all
 gives every text the prior, 0; repeated rows get equal scores; an empty table gives no rows;
 further columns are ignored.
@@ -15,6 +18,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,7 +66,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, bits: int = BITS, epochs: int = 30, rate: float = 0.05, shrink: float = 2e-4, seed: int = 7) -> Model:
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, bits: int = BITS, epochs: int = 60, rate: float = 0.05, shrink: float = 2e-4, seed: int = 7) -> Model:
     """Minibatch Adam on the non-negative PU risk with the logistic loss."""
     size = 1 << bits
     if not positive.any():
@@ -119,6 +123,38 @@ def _telling(rows: list[np.ndarray], positive: np.ndarray, size: int, least: flo
     return (np.abs(one / n1 - zero / max(n0, 1)) > least * error) & (one + zero >= rows_with)
 
 
+def best_cut(z: np.ndarray, toxic: np.ndarray, beta: float = 0.5) -> float:
+    """The value from which on rows count as toxic, by the largest F of the given beta; a beta below 1 spares clean rows."""
+    order = np.argsort(-z, kind="stable")
+    hits, flagged = np.cumsum(toxic[order]), np.arange(1, len(z) + 1)
+    last = np.append(z[order][1:] != z[order][:-1], True)  # equal values go together
+    f = np.where(last, (1 + beta**2) * hits / (flagged + beta**2 * toxic.sum()), 0)
+    at = int(f.argmax())
+    return float(z[order][at] + z[order][min(at + 1, len(z) - 1)]) / 2
+
+
+def fit_with_cut(rows: list[np.ndarray], positive: np.ndarray, label: np.ndarray, prior: float, bits: int = BITS, folds: int = 4, least: int = 20) -> Model:
+    """The model fitted on all rows, its bias moved so that a score of 0.5 stands where rows that were left out are told apart best.
+
+    label is 1, 0 or -1 for unknown; clean labels serve for nothing but this cut. With few labels of
+    either kind the bias stays.
+    """
+    model = fit_nnpu(rows, positive, prior, bits)
+    known = label >= 0
+    if min((label == 1).sum(), (label == 0).sum()) < least:
+        return model
+    # Copies of a text go to one fold, so that none is told by its own copy.
+    fold = np.array([zlib.crc32(r.tobytes()) % folds for r in rows])
+    z = np.zeros(len(rows))
+    for f in range(folds):
+        rest = np.flatnonzero(fold != f)
+        part = fit_nnpu([rows[i] for i in rest], positive[rest], prior, bits)
+        for i in np.flatnonzero((fold == f) & known):
+            z[i] = part.weight[rows[i]].sum(dtype=np.float64) + part.bias
+    model.bias -= best_cut(z[known], label[known] == 1)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 12000, bits: int = BITS) -> Model:
     """Fit on the rows given; hold rows out before calling."""
     known = labels.select(F.col(id_col), F.col(label_col).alias("y")).where("y is not null").groupBy(id_col).agg(F.max("y").alias("y"))
@@ -127,21 +163,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"o": b["o"], "ids": [np.unique(feature_ids(t, bits)).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"o": b["o"], "y": b["y"], "ids": [np.unique(feature_ids(t, bits)).tobytes() for t in b["text"]]})
 
-    def sample(df: DataFrame, most: int) -> list[np.ndarray]:
+    def sample(df: DataFrame, most: int) -> list[tuple[np.ndarray, int]]:
         chosen = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(1)).alias("o"), F.col(id_col).alias("i"))
         cut = chosen.select("o").orderBy("o").offset(most).limit(1).collect()
         chosen = chosen.where(F.col("o") < cut[0].o) if cut else chosen
         # At most `most` rows of word sets, made by all tasks at once and fetched in a few parts, then put in the hash's order.
-        coded = chosen.select("o", "text").mapInPandas(each, "o long, ids binary").repartition(8, "o")
-        rows = sorted((r.o, bytes(r.ids)) for r in coded.toLocalIterator())
-        return [np.frombuffer(ids, np.int32) for _, ids in rows]
+        marked = chosen.join(known.withColumnRenamed(id_col, "i"), "i", "left").select("o", F.coalesce(F.col("y").cast("int"), F.lit(-1)).alias("y"), "text")
+        coded = marked.mapInPandas(each, "o long, y int, ids binary").repartition(8, "o")
+        rows = sorted((r.o, bytes(r.ids), r.y) for r in coded.toLocalIterator())
+        return [(np.frombuffer(ids, np.int32), y) for _, ids, y in rows]
 
     toxic = known.where("y = 1").select(id_col)
     p = sample(docs.join(toxic, id_col, "left_semi"), max_positive)
     u = sample(docs, max_unlabelled)
-    return fit_nnpu(p + u, np.arange(len(p) + len(u)) < len(p), prior, bits)
+    positive = np.arange(len(p) + len(u)) < len(p)
+    # A confirmed row counts once for the cut, as a positive.
+    label = np.array([1] * len(p) + [0 if y == 0 else -1 for _, y in u], np.int64)
+    return fit_with_cut([r for r, _ in p + u], positive, label, prior, bits)
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:

@@ -66,3 +66,53 @@ def test_decontamination_of_null_and_repeated_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, item), (4, item), *clean], "doc_id long, text string")
     got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(clean, key=repr)
+
+
+def test_stages_against_plain_python(spark, tmp_path):
+    """Near copies at 0.8 on five words, contamination and secrets of a planted table, with columns named as the operators' own."""
+    rng, item = random.Random(12), _prose(70, 60)
+    rows = []
+    for i in range(30):
+        base = _prose(100 + i, rng.randint(5, 120)).split()
+        rows.append((i, " ".join(base)))
+        for j in range(rng.randint(0, 3)):
+            w = list(base)
+            for at in rng.sample(range(len(w)), min(len(w), rng.randint(0, 4))):
+                w[at] = f"x{i}y{j}z{at}"
+            rows.append((1000 + 10 * i + j, " ".join(w)))
+    rows += [(5000, item), (5001, f"{_prose(71, 400)} {' '.join(item.split()[:14])}"), (5002, "password = hunter2hunter2 and more"), (5003, None), (5004, "")]
+    docs = spark.createDataFrame([(i, t, 0.25, 1, 7, "c", "r") for i, t in rows], "doc_id long, text string, score double, predicted int, rk long, comp string, row string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i == 3)) for i in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    sets = {i: {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    kept = corpus_pipeline.stored(corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)), "test")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if root(i) == i)
+    assert {(r.score, r.predicted, r.rk, r.comp, r.row) for r in kept.collect()} == {(0.25, 1, 7, "c", "r")}
+    clean = corpus_pipeline.drop_contaminated(spark, kept, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} - {r.doc_id for r in clean.collect()} == {5000}  # 14 of 414 words are less than a twentieth
+    told = {r.doc_id: r.text for r in corpus_pipeline.redact_secrets(spark, clean, str(tmp_path)).collect()}
+    assert told[5002] == "[secret] and more" and told[5003] is None and told[5004] == "" and told[0] == dict(rows)[0]
+    safe = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert safe.columns == docs.columns and safe.where("score = 0.25").count() == safe.count() > 0.9 * len(rows)
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0
