@@ -109,6 +109,12 @@ class FingerprintIndex:
         for run in old:
             delete(self.spark, run)
 
+    def drop(self) -> None:
+        """Delete all runs; the index is empty then."""
+        old, self.live = self.live, []
+        for run in old:
+            delete(self.spark, run)
+
     def meet(self, prints: DataFrame) -> DataFrame:
         """Prints of a new batch that stand twice in it or in a live run, and the runs' prints that they meet.
 
@@ -128,13 +134,12 @@ class FingerprintIndex:
 def repeated_windows(src: DataFrame, hits: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (rk, rk2, ranges): ranges (low, windows) of consecutive windows that occur twice.
 
-    hits are all prints of the fingerprints in question, src the texts of all their documents. Where a
+    hits are all prints of the fingerprints in question, stored, src the texts of all their documents. Where a
     fingerprint repeats, whole stretches are compared first: occurrences with equal stretches repeat each
     other's windows. Only fingerprints with a stretch that stands alone are looked at by single windows,
     in all their occurrences. Counts are combined before they are shuffled and written apart, so that
     the joins by fingerprint are plain ones that Spark splits where one key is hot.
     """
-    hits = stored(hits, "hits")
     stretch = stored(hits.groupBy("h", "c").agg(F.count("*").alias("n")), "stretches")
     alone = stretch.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h")
     sure = hits.join(stretch.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*KEY, "low", "windows")
@@ -179,7 +184,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index = FingerprintIndex(docs.sparkSession, max_runs=max_runs)
     for i in range(batches):
         index.append(fingerprints(src.where(F.pmod("rk", F.lit(batches)) == i), window, gram))
-    return _without(src, repeated_windows(src, index.repeated(), window), window)
+    hits = stored(index.repeated(), "hits")
+    index.drop()
+    return _without(src, repeated_windows(src, hits, window), window)
 
 
 def dedup_batch(docs: DataFrame, index: FingerprintIndex, history: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -190,7 +197,7 @@ def dedup_batch(docs: DataFrame, index: FingerprintIndex, history: DataFrame, id
     """
     src, old = keyed(docs, id_col, text_col), keyed(history, id_col, text_col)
     prints = stored(fingerprints(src, window, gram), "batch")
-    marks = stored(repeated_windows(src.union(old), index.meet(prints), window), "marks")
+    marks = stored(repeated_windows(src.union(old), stored(index.meet(prints), "hits"), window), "marks")
     index.append(prints)
     return _without(src, marks, window)
 
