@@ -182,3 +182,25 @@ def validate(df: DataFrame, id_col: str, rules: list[tuple[str, str, bool]]) ->
         if kind != "str":
             found.append(F.when(value.isNotNull() & (value != "") & value.try_cast({"int": "bigint", "float": "double", "bool": "boolean"}[kind]).isNull(), F.lit(f"{name} is not {kind}")))
     return df.select(F.col(id_col).alias("id"), F.concat_ws("; ", *found).alias("errors")).where("errors <> ''")
+
+
+def scan(nodes: DataFrame, kind: str | None = None, level: int | None = None, limit: int = 100) -> DataFrame:
+    """The newest nodes of a kind and a level, ties by id."""
+    if kind is not None:
+        nodes = nodes.where(F.col("kind") == kind)
+    if level is not None:
+        nodes = nodes.where(F.col("level") == level)
+    return nodes.orderBy(F.col("updated_at").desc(), "id").limit(limit)
+
+
+def by_property(nodes: DataFrame, name: str, value) -> DataFrame:
+    """Nodes whose property is the value."""
+    return nodes.where(F.try_element_at("properties", F.lit(name)) == str(value))
+
+
+def hints(shown: int, total: int, query: str) -> list[str]:
+    """What a reader may try next: fewer words where nothing was found, the next page where there is more."""
+    if not total:
+        words = query.split()
+        return ["search for single words"] if len(words) > 1 else ["search for another word, or list the categories"]
+    return ["read the next page, or filter further"] if shown < total else []

@@ -78,6 +78,16 @@ def count_nodes(t):
     return structured.count_nodes(_nodes(t), "entity", "brand#1", "2001")
 
 
+@query("select 'part:' || p_partkey as id from part order by p_partkey % 100 desc, 1 limit 12")
+def node_scan(t):
+    return structured.scan(_nodes(t), "entity", limit=12).select("id")
+
+
+@query("select 'part:' || p_partkey as id from part where p_brand = 'Brand#13'")
+def property_scan(t):
+    return structured.by_property(_nodes(t), "category", "Brand#13").select("id")
+
+
 ONTOLOGY = Ontology(
     [Type("thing", "", [Property("category", "str", True)]), Type("entity", "thing", [Property("authority", "int")]), Type("place", "thing"), Type("nation", "place"), Type("region", "place"), Type("person", "thing"), Type("customer", "person")],
     [Rule("related", ["person", "nation"], ["place"])],
