@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import documents, evidence, expand, linking, search, tools
+from graphloom.operators import documents, evidence, expand, linking, tools
 from graphloom.plans.registry import query, rounded
 from graphloom.plans.text_catalogue import CHUNKS
 
