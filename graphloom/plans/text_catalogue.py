@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import expressions as X
@@ -12,7 +12,11 @@ from graphloom.plans.registry import query, rounded
 
 #: In the SQL engine word boundaries and classes know ASCII alone, so other letters become one that no pattern takes.
 PLAIN = "regexp_replace(text, '[À-ÖØ-öø-ɏͰ-῿぀-ヿ一-鿿가-힣]', '_', 'g')"
-TITLE, TITLE_COL = "split_part(text, chr(10), 1)", F.substring_index("text", "\n", 1)
+TITLE = "split_part(text, chr(10), 1)"
+
+
+def title() -> Column:
+    return F.substring_index("text", "\n", 1)
 
 
 def _digest(words) -> list:
@@ -40,7 +44,7 @@ e as (select doc_id, lower(trim(p, ' ')) as p, i from (select doc_id, unnest(f)
 g as (select doc_id, p, min(i) as i from e where length(p) >= 2 and not regexp_full_match(p, '[0-9]+') and len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w not in ({STOP}))) > 0 group by all)
 select doc_id, p as phrase from g qualify row_number() over (partition by doc_id order by i) <= 5""")
 def english_phrases(t):
-    d = t("documents").where("text is not null").select("doc_id", TITLE_COL.alias("title"), "text")
+    d = t("documents").where("text is not null").select("doc_id", title().alias("title"), "text")
     return d.select("doc_id", F.explode(T.english_phrases(F.col("title"), F.col("text"))).alias("phrase"))
 
 
@@ -63,7 +67,7 @@ select doc_id, case when top = 0 then 'concept' {which} end as kind, round(least
 
 @query(_kind_sql())
 def classify_kind(t):
-    d = t("documents").where("text is not null").select("doc_id", T.classify_kind(TITLE_COL, F.col("text")).alias("k"))
+    d = t("documents").where("text is not null").select("doc_id", T.classify_kind(title(), F.col("text")).alias("k"))
     return d.select("doc_id", F.col("k.kind").alias("kind"), F.round("k.confidence", 6).alias("confidence"))
 
 
@@ -120,11 +124,11 @@ def document_preview(t):
     d = t("documents").where("text is not null")
     parts = documents.chunks(d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("p"))
     texts = F.transform("p", lambda p: p["text"])
-    return d.select("doc_id", TITLE_COL.alias("title")).join(parts, "doc_id").select("doc_id", T.preview(F.col("title"), texts).alias("preview"))
+    return d.select("doc_id", title().alias("title")).join(parts, "doc_id").select("doc_id", T.preview(F.col("title"), texts).alias("preview"))
 
 
 def _texts(t) -> DataFrame:
-    return t("documents").select(F.col("doc_id").alias("id"), TITLE_COL.alias("title"), F.col("text").alias("content"))
+    return t("documents").select(F.col("doc_id").alias("id"), title().alias("title"), F.col("text").alias("content"))
 
 
 @query("""with p as (select doc_id as id, text, list_filter(list_transform(regexp_split_to_array(text, '[.。\\n]+'), lambda s: trim(s, ' ')), lambda s: s <> '') as s from documents where text is not null),
