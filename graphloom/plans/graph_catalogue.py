@@ -146,15 +146,15 @@ def chunks_for_entities(t):
     return linking.chunks_for_entities(index, index.where("chunk_id = 'doc:0'"))
 
 
-@query(f"with {MENTIONS} select entity_id, count(*) as n from m where chunk_id in ('doc:0', 'doc:1', 'doc:2', 'doc:3', 'doc:4') group by 1 having count(*) >= 2")
+@query(f"with {MENTIONS} select entity_id, count(*) as n from m where chunk_id in (select 'doc:' || doc_id from documents where doc_id < 60) group by 1 having count(*) >= 2")
 def shared_entities(t):
-    chunks = t("documents").where("doc_id < 5").select(F.concat(F.lit("doc:"), "doc_id").alias("chunk_id"))
+    chunks = t("documents").where("doc_id < 60").select(F.concat(F.lit("doc:"), "doc_id").alias("chunk_id"))
     return linking.shared_entities(_index(t), chunks)
 
 
-@query(f"with {MENTIONS} select chunk_id from m where entity_id in ('licensed', 'commons') group by 1 having count(*) = 2")
+@query(f"with {MENTIONS} select chunk_id from m where entity_id in ('license', 'apache') group by 1 having count(*) = 2")
 def entity_co_occurrence(t):
-    return linking.co_occurrence(_index(t), "licensed", "commons")
+    return linking.co_occurrence(_index(t), "license", "apache")
 
 
 @query("""with c as (select distinct p_brand as key from part), r as (select 'part:' || p_partkey as id, p_brand as key, p_name || ' replaces Brand#' || (p_partkey % 60) as content from part where p_partkey < 2000),
