@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from graphloom.llm.hard_negatives import OP11_SQL
 from graphloom.llm.nearest import OP4_SQL
+from graphloom.llm.quality import OP13_SQL
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 OP2_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -42,4 +44,4 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesc
 from d left join n on n.doc_id = d.doc_id left join (select a, min(b) as b from reach group by a) m on m.a = d.doc_id
 """
 
-SQL = {"op2_decontamination": OP2_SQL, "op4_nearest": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+SQL = {"op2_decontamination": OP2_SQL, "op4_nearest": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op13_quality_rules": OP13_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, jaccard_join, nearest, oracles, packing, page_text, personal_data, secrets, substring_dedup, token_counts, toxicity
+from graphloom.llm import decontaminate, hard_negatives, jaccard_join, nearest, oracles, packing, page_text, personal_data, quality, secrets, substring_dedup, token_counts, toxicity, whitening
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8,
     "op9_page_text": page_text.op9,
     "op10_secrets": secrets.op10,
+    "op11_hard_negatives": hard_negatives.op11,
+    "op12_whitening": whitening.op12,
+    "op13_quality_rules": quality.op13,
     "pipeline": pipeline,
 }
 
