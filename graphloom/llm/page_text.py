@@ -4,15 +4,18 @@ A page's tags make a sequence of groups, nested as the tags are; text is a slot.
 are aligned one after another: equal groups are matched in order, what only one side has becomes
 optional, what stands there again becomes repeated, and nested groups are aligned in turn. The
 wrapper so made says, for each group, how much text and link text its slots took over all pages of
-the host, and a sample of its different texts and of the pages that have it. From the outermost group
+the host, and about how many different texts and pages it was seen with. From the outermost group
 down to the content, which holds nearly all text, groups that say the same on page after page and
 groups of links are boilerplate; every page gives the text of all others, so that headlines beside
 the content and pages of rarer templates lose nothing. A group whose name alone calls it noise is
 kept where it holds nearly all text of the host and varies.
 
-Tasks fold their own pages into one wrapper a host, as a map-side combine; partial wrappers are
-folded again by host and salt, then by host, so that no group grows with the pages of a host.
-Extraction parses each page by itself with its host's region, which is sent to the pages.
+Pages whose groups are the same have one template, and their wrappers are added up: tasks do so with
+their own pages, as a map-side combine, then a fixed number of tasks' sums at a time. Only then are the
+different templates of a host aligned, in the order of their digests and a bounded number at a time,
+dealt out by these digests. So a wrapper depends on the pages alone, not on how they were dealt to
+tasks, and no group grows with the pages of a host. Extraction parses each page by itself with its
+host's region, which is sent to the pages.
 
 Defined cases: null or empty html, or html without text, gives an empty text; very long and deeply
 nested pages are parsed without recursion; a page without its host's region, or that it
@@ -22,6 +25,7 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -57,8 +61,11 @@ SPACES = re.compile(r"\s+")
 MOST = 0.7
 #: Characters of all hosts' regions up to which they are broadcast; parts that a host's pages go to beyond that.
 SMALL, SALTS = 16 << 20, 64
-#: Different texts and pages that a group of a wrapper remembers.
-SAMPLE = 8
+#: Different texts and pages that a group of a wrapper remembers, those of the smallest hashes: fewer are counted exactly, and the
+#: count of more is told by how close together the smallest ones lie, with a standard error of an eighth.
+SKETCH = 64
+#: Sums of tasks, and templates of a host, that are folded at once; templates that a task holds at most.
+FAN_IN, HELD = 32, 4096
 #: Names that say what a group is, not only where; a group of that name is never the content.
 SURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|comments?|replies|disqus|respond)(?:$|[\s_-])", re.I)
 
@@ -238,7 +245,12 @@ def merged(a: list, b: list, kids: list) -> list:
 
 def sample(a: list[int], b: list[int]) -> list[int]:
     """The smallest of both, whatever order pages come in."""
-    return a if a == b else sorted({*a, *b})[:SAMPLE]
+    return a if a == b else sorted({*a, *b})[:SKETCH]
+
+
+def distinct(hashes: list[int]) -> float:
+    """How many different hashes there were, of which these are the smallest."""
+    return len(hashes) if len(hashes) < SKETCH else (SKETCH - 1) * 2**32 / (hashes[-1] + 1)
 
 
 def multiplicity(a: str, b: str) -> str:
@@ -260,8 +272,8 @@ def links(w: list) -> int:
 
 
 def varied(w: list) -> bool:
-    """Whether a group's text changes with the page. One page alone shows nothing, and repeated pages count once."""
-    return 2 * len(w[5]) > len(w[6])
+    """Whether a group's text changes with the page, with every other page at least. One page alone shows nothing, and repeated pages count once."""
+    return 2 * distinct(w[5]) > distinct(w[6])
 
 
 def region(w: list) -> dict:
@@ -359,35 +371,69 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", most_hosts: int = 2000, salts: int = 16) -> DataFrame:
-    """Rows (host, wrapper): one JSON wrapper over all pages of a host."""
+def template(w: list) -> str:
+    """A digest of a wrapper's groups, without what they hold."""
+    out, todo = hashlib.md5(), [w]
+    while todo:
+        g = todo.pop()
+        out.update(f"{g[0]}\0{g[1]}\0{len(g[3])}\0".encode("utf-8", "replace"))
+        todo += g[3]
+    return out.hexdigest()
+
+
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Rows (host, wrapper): one JSON wrapper over all pages of a host, whatever tasks they are dealt to."""
+    schema = "host string, part long, template string, wrapper string"
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held = TaskContext.get().partitionId() % salts, {}
+        part, held = TaskContext.get().partitionId(), {}
         for b in batches:
             for h, page in zip(b.host, b.html, strict=True):
                 w = wrapper_of(parse(page or ""))
-                held[h] = align(held[h], w) if h in held else w
-            if len(held) >= most_hosts:
-                yield _rows(held, part)
-                held = {}
+                key = h, template(w)
+                held[key] = align(held[key], w) if key in held else w
+                if len(held) >= HELD:
+                    yield _rows(held, part)
+                    held = {}
         if held:
             yield _rows(held, part)
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
+        """One wrapper of them all. Those of one template add up in any order; others come in the order of their digests."""
         w = None
-        for text in sorted(g.wrapper):
+        for text in g.sort_values("template").wrapper:
             x = json.loads(text)
             w = x if w is None else align(w, x)
-        return pd.DataFrame({"host": [g.host.iloc[0]], "salt": [0], "wrapper": [json.dumps(w)]})
-
-    first = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(each, "host string, salt int, wrapper string")
-    again = first.groupBy("host", "salt").applyInPandas(fold, first.schema)
-    return again.groupBy("host").applyInPandas(fold, first.schema).select("host", "wrapper")
+        return pd.DataFrame({"host": [g.host.iloc[0]], "part": [g.part.min()], "template": [g.template.min()], "wrapper": [json.dumps(w)]})
+
+    now = stored(pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(each, schema), "templates")
+    # Sums of one template, a fixed number of tasks at a time.
+    last = now.agg(F.max("part")).first()[0] or 0
+    while True:
+        last //= FAN_IN
+        now = now.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("host", "template", "part").applyInPandas(fold, schema)
+        if not last:
+            break
+        now = stored(now, "templates")
+    # Templates of a host meet by the first bits of their digests, so that each group holds about as many as are folded at once.
+    now = stored(now.withColumn("part", F.conv(F.substring("template", 1, 8), 16, 10).cast("long")), "templates")
+    most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    bits = 0
+    while FAN_IN << bits < most:
+        bits += 1
+    step = FAN_IN.bit_length() - 1
+    now = now.withColumn("part", F.shiftrightunsigned("part", 32 - bits))
+    while True:
+        now = now.groupBy("host", "part").applyInPandas(fold, schema)
+        if not bits:
+            return now.select("host", "wrapper")
+        down = min(step, bits)
+        bits -= down
+        now = stored(now, "templates").withColumn("part", F.shiftrightunsigned("part", down))
 
 
 def _rows(held: dict, part: int) -> pd.DataFrame:
-    return pd.DataFrame({"host": list(held), "salt": np.full(len(held), part, np.int32), "wrapper": [json.dumps(w) for w in held.values()]})
+    return pd.DataFrame({"host": [h for h, _ in held], "part": np.full(len(held), part, np.int64), "template": [t for _, t in held], "wrapper": [json.dumps(w) for w in held.values()]})
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -373,6 +374,60 @@ def test_page_text_drops_only_boilerplate(spark):
     assert {r.page_id: r.text for r in page_text.extract_text(df).collect()} == want
 
 
+def promoted(n=200):
+    """Pages of one host with one of six texts before the article, and a rarer template; what each should give."""
+    rows, want = [], {}
+    for i in range(n):
+        body = "".join(f"<p>Sentence {i} {j} of an article that tells something new</p>" for j in range(3 + i % 4))
+        rare = f"<h2>Part {i}</h2>" if i % 10 == 0 else ""
+        rows.append((i, "http://one.example/x", f"<html><body><div class='x'>Try our offer number {i % 6} today</div><article>{rare}{body}</article></body></html>"))
+        want[i] = "\n".join(([f"Part {i}"] if rare else []) + [f"Sentence {i} {j} of an article that tells something new" for j in range(3 + i % 4)])
+    return rows, want
+
+
+@pytest.mark.parametrize("fan_in", [2, 32])
+def test_page_text_counts_truly_and_whatever_the_partitions(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(page_text, "FAN_IN", fan_in)
+    monkeypatch.setattr(page_text, "HELD", 3)
+    rows, want = promoted()
+    many = [(1000 + i, "http://odd.example/", "<body>" + "".join(f"<{t}>{t} {i}</{t}>" for t in RNG.choices("p h2 h3 ul pre dl".split(), k=6)) + "<div class='ad-x'>ad</div></body>") for i in range(60)]
+    df = spark.createDataFrame([(i, u, h, "clash", 1) for i, u, h in [*rows, *many, rows[0], (None, None, rows[1][2])]], "page_id long, url string, html string, host string, part int")
+    seen = []
+    for parts in (1, 7, 50):
+        wrappers = page_text.infer_wrappers(df.repartition(parts))
+        seen.append((sorted(map(tuple, wrappers.collect())), sorted((r.page_id is None, r.page_id, r.text) for r in page_text.extract_text(df.repartition(parts)).collect())))
+    assert seen[0] == seen[1] == seen[2]
+    got = dict((i, t) for _, i, t in seen[0][1])
+    assert {i: got[i] for i in want} == want
+    # Every page's groups fit its host's expression.
+    held = {h: json.loads(w) for h, w in seen[0][0]}
+    for _, u, h in [*rows, *many]:
+        assert fits(held[u.split("/")[2]], page_text.wrapper_of(page_text.parse(h)))
+
+
+def fits(w, page):
+    """Whether the page's groups can be read off the wrapper in order, by trying all ways."""
+
+    def kids(ws, ps):
+        if not ws:
+            return not ps
+        key, times = ws[0][0], ws[0][1]
+        if times in "?*" and kids(ws[1:], ps):
+            return True
+        if not ps or ps[0][0] != key or not fits(ws[0], ps[0]) or (ps[0][1] in "+*" and times not in "+*"):
+            return False
+        return kids(ws[1:], ps[1:]) or (times in "+*" and kids([[key, "*", *ws[0][2:]], *ws[1:]], ps[1:]))
+
+    return kids(w[3], page[3])
+
+
+def test_distinct_counts():
+    rng = np.random.default_rng(1)
+    for n in (3, 63, 64, 500, 20_000):
+        found = page_text.distinct(sorted(rng.integers(0, 2**32, n).tolist())[: page_text.SKETCH])
+        assert found == n if n < page_text.SKETCH else abs(found / n - 1) < 0.5
+
+
 def test_wrapper_alignment():
     a = page_text.wrapper_of(page_text.parse("<ul><li>a<li>b</ul><p>x</p>"))
     b = page_text.wrapper_of(page_text.parse("<ul><li>a</ul><div>y</div><p>x</p>"))
