@@ -5,7 +5,9 @@ labelled table that is written out below as forms and built with a fixed seed, b
 the exact log-likelihood, and decoded by Viterbi in numpy batches. Tokens without a digit or an at
 sign, written or spelled in brackets, are no data by definition, so the best path passes through
 "nothing" there and a text falls apart into short chains that are decoded together. Spans it adds
-touch no base span; base spans always stay.
+touch no base span; base spans always stay. Neighbours are whole words of any length; a shape, in which
+runs are shortened, is told by its first 24 signs. Only where nothing parts a run without spaces, the
+part of an address before its at sign is looked for over the 64 characters that mail standards allow.
 
 Defined cases: null or empty texts hold nothing; a pattern's failing match is dropped and not tried
 again; very long runs of one character take linear time; repeated rows give repeated results; an
@@ -17,6 +19,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -85,8 +88,12 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1\1", s)[:24]
 
 
-@lru_cache(100_000)
 def features(before: str, token: str, after: str) -> tuple[int, ...]:
+    """Hashed facts about a token and its neighbours; those of ordinary length are remembered."""
+    return _remembered(before, token, after) if len(before) + len(token) + len(after) < 400 else _features(before, token, after)
+
+
+def _features(before: str, token: str, after: str) -> tuple[int, ...]:
     core = token.strip(EDGE)
     digits = re.sub(r"[^0-9]", "", core)
     other = len(core) - len(digits)
@@ -98,6 +105,8 @@ def features(before: str, token: str, after: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(n.encode()) % DIM for n in names)
 
 
+_remembered = lru_cache(100_000)(_features)
+
 #: The labelled table: forms for each label. 9 stands for a digit, w for a word.
 FORMS = {
     "phone": ["(999) 999-9999", "999-999-9999", "999.999.9999", "+9 (999) 999-9999", "+99 999 9999999", "0999 9999999", "(999)999-9999", "1-999-999-9999"],
@@ -182,25 +191,31 @@ class Field:
                 self.step += pace * (gt / 64 - decay * self.step)
         return self
 
-    def decode(self, chains: list[list[str]]) -> list[np.ndarray]:
-        """The best labels of every chain, by Viterbi over all chains in step."""
-        if not chains:
-            return []
-        score, size, _ = self.scores(chains)
-        best, back = score[:, 0], np.zeros(score.shape, np.int64)
-        every = [best]
-        for t in range(1, score.shape[1]):
-            path = best[:, :, None] + self.step
-            back[:, t] = path.argmax(axis=1)
-            best = path.max(axis=1) + score[:, t]
-            every.append(best)
-        ends, out = np.stack(every, axis=1), []
-        for i, n in enumerate(size):
-            y = np.zeros(n, np.int64)
-            y[-1] = ends[i, n - 1].argmax()
-            for t in range(n - 1, 0, -1):
-                y[t - 1] = back[i, t, y[t]]
-            out.append(y)
+    def decode(self, chains: list[list[str]], cells: int = 1 << 16) -> list[np.ndarray]:
+        """The best labels of every chain, by Viterbi over many chains in step: those of like lengths, some cells at once."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(chains)
+        order, at = sorted(range(len(chains)), key=lambda i: len(chains[i])), 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and len(chains[order[end]]) * (end + 1 - at) <= cells:
+                end += 1
+            part, at = order[at:end], end
+            score, size, _ = self.scores([chains[i] for i in part])
+            best, back = score[:, 0], np.zeros(score.shape, np.int8)
+            last = best.argmax(axis=1)
+            for t in range(1, score.shape[1]):
+                path = best[:, :, None] + self.step
+                back[:, t] = path.argmax(axis=1)
+                best = path.max(axis=1) + score[:, t]
+                last = np.where(size - 1 == t, best.argmax(axis=1), last)
+            labels = np.zeros(score.shape[:2], np.int64)
+            now, rows = last, np.arange(len(part))
+            for t in range(score.shape[1] - 1, -1, -1):
+                labels[:, t] = now
+                # A chain's last label stands for all places after its end.
+                now = np.where((0 < t) & (t < size), back[rows, t, now], now)
+            for i, n, y in zip(part, size.tolist(), labels, strict=True):
+                out[i] = y[:n]
         return out
 
 
@@ -234,10 +249,12 @@ CUTS = [
     re.compile(r"""["'`,;<>=&?|\\^~$#!*]|[^\x00-\x7f]|(?<![0-9]):|:(?![0-9])|[{\[](?!(?:at|dot)[}\]])|(?<![{\[]at)(?<![{\[]dot)[}\]]""", re.I),
     re.compile(r"[/:_]"),
 ]
+#: Fixed value: characters that mail standards allow before an at sign.
+LONGEST_LOCAL = 64
 ESCAPE = re.compile(r"%([2-7][0-9A-Fa-f])")
 AT = re.compile(r"@|[(\[{]at[)\]}]", re.I)
-HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|[(\[{]dot[)\]}])[A-Za-z0-9-]{1,63}){0,4}", re.I)
-NUMBER = re.compile(r"(?<![0-9])(?<![0-9][().:/+-])[+(]?[0-9][0-9().:/+-]{5,38}[0-9](?![().:/+-]?[0-9])")
+HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|[(\[{]dot[)\]}])[A-Za-z0-9-]+)*", re.I)
+NUMBER = re.compile(r"(?<![0-9])(?<![0-9][().:/+-])[+(]?[0-9][0-9().:/+-]{5,}[0-9](?![().:/+-]?[0-9])")
 
 #: A token, its start in the text or -1 for a neighbour, and the text's places of its run if that was decoded.
 Entry = tuple[str, int, list[int] | None]
@@ -263,7 +280,7 @@ def cut(run: str, level: int) -> str:
     out = ["\n"] * len(run)
     for m in AT.finditer(run):
         s, h = m.start(), HOST.match(run, m.end())
-        while s > max(0, m.start() - 64) and run[s - 1] in LOCAL_CHARS:
+        while s > max(0, m.start() - LONGEST_LOCAL) and run[s - 1] in LOCAL_CHARS:
             s -= 1
         if h and s < m.start():
             out[s : h.end()] = run[s : h.end()]
@@ -272,6 +289,24 @@ def cut(run: str, level: int) -> str:
     return "".join(out)
 
 
+def word_before(text: str, at: int) -> list[str]:
+    """The whole word before a place, if there is one, in a list."""
+    reach = 64
+    while True:
+        first = max(0, at - reach)
+        word = text[first:at].split()[-1:]
+        # Whole where the text begins, or white space stands before it.
+        if not first or (word and text[first:at].rstrip()[: -len(word[0])]):
+            return word
+        reach *= 4
+
+
+def word_after(text: str, at: int) -> list[str]:
+    """The whole word after a place, if there is one, in a list."""
+    m = TOKEN.search(text, at)
+    return [m[0]] if m else []
+
+
 def chains(text: str, level: int = 0) -> list[list[Entry]]:
     """Marked tokens with their unmarked neighbours, cut where two unmarked tokens meet.
 
@@ -297,14 +332,13 @@ def chains(text: str, level: int = 0) -> list[list[Entry]]:
                         inner[id(at)] = [places[p] for p in at]
                 out.append([(t, s, None if s < 0 else places if at is None else inner[id(at)]) for t, s, at in chain])
             continue
-        left = text[max(0, start - 40) : start].split()[-1:]
-        right = text[end : end + 40].split()[:1]
+        left, right = word_before(text, start), word_after(text, end)
         if level:  # beyond a cut, a word may say what follows, a number does not go on
             left = [x for x in left if not MARK.search(x) or text[start - 1] != "\n"]
             right = [x for x in right if not MARK.search(x) or text[end] != "\n"]
         gap = text[last:start] if last is not None else None
         token = (text[start:end], start, None)
-        if gap is not None and len(gap) < 40 and gap.isspace() and not (level and "\n" in gap):
+        if gap is not None and gap.isspace() and not (level and "\n" in gap):
             out[-1][-1:] = [token, (right[0] if right else "", -1, None)]
         else:
             out.append([(left[0] if left else "", -1, None), token, (right[0] if right else "", -1, None)])
@@ -313,10 +347,29 @@ def chains(text: str, level: int = 0) -> list[list[Entry]]:
 
 
 def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those that the field adds."""
-    base, held = patterns(text), chains(text)
+    """Base spans of one text, and those that the field adds."""
+    return next(find_all([text], field))
+
+
+def find_all(texts: list[str], field: Field, most: int = 1 << 22) -> Iterator[tuple[list[Span], list[Span]]]:
+    """The same of each text, decoded together up to so many characters."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= most):
+            held += len(texts[end])
+            end += 1
+        part, at = texts[at:end], end
+        found = [chains(t) for t in part]
+        labels = iter(field.decode([[t for t, _, _ in c] for chain in found for c in chain]))
+        for text, own in zip(part, found, strict=True):
+            yield labelled(patterns(text), own, [next(labels) for _ in own])
+
+
+def labelled(base: list[Span], held: list[list[Entry]], decoded: list[np.ndarray]) -> tuple[list[Span], list[Span]]:
+    """The base spans, and the labelled ones of the chains that touch none of them."""
     added: list[Span] = []
-    for chain, labels in zip(held, field.decode([[t for t, _, _ in c] for c in held]), strict=True):
+    for chain, labels in zip(held, decoded, strict=True):
         last = None
         for (token, start, places), label in zip(chain, labels, strict=True):
             if not label or start < 0:
@@ -338,7 +391,7 @@ def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)."""
     field = docs.sparkSession.sparkContext.broadcast(trained())
-    return digests(docs, lambda text: find(text, field.value), KINDS, KINDS, id_col, text_col)
+    return digests(docs, lambda texts: find_all(texts, field.value), KINDS, KINDS, id_col, text_col)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

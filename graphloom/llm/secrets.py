@@ -209,7 +209,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added)."""
-    return digests(docs, find, BASE, KINDS, id_col, text_col)
+    return digests(docs, lambda texts: map(find, texts), BASE, KINDS, id_col, text_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,18 +18,17 @@ def written(spans: list[Span], kinds: list[str]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], place.get(x[0], len(place)), x[2])))
 
 
-def digests(docs: DataFrame, find: Callable[[str], tuple[list[Span], list[Span]]], base: list[str], kinds: list[str], id_col: str, text_col: str) -> DataFrame:
+def digests(docs: DataFrame, find: Callable[[list[str]], Iterable[tuple[list[Span], list[Span]]]], base: list[str], kinds: list[str], id_col: str, text_col: str) -> DataFrame:
     """One row a document: counts of base kinds, their digest, all spans and the number added.
 
-    find gives base and added spans of a whole text; null counts as empty.
+    find gives base and added spans of each of some whole texts; null counts as empty.
     """
     counts = ", ".join(f"n_{k} long" for k in base)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for text in b[text_col]:
-                old, new = find(text or "")
+            for old, new in find([text or "" for text in b[text_col]]):
                 n = [sum(k == x[0] for x in old) for k in base]
                 rows.append((*n, hashlib.sha256(written(old, kinds).encode()).hexdigest(), written(old + new, kinds), len(new)))
             cols = list(zip(*rows, strict=True)) or [[]] * (len(base) + 3)

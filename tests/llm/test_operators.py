@@ -153,6 +153,42 @@ def test_personal_data_in_long_runs(run, held):
         assert [(s, e) for _, s, e in added] == [(at, at + len(held))], added
 
 
+def test_personal_data_sees_whole_neighbours_and_long_hosts():
+    far = "call" + " " * 500 + "(361) 555-8283"
+    chain = personal_data.chains(far)
+    assert chain[0][0][0] == "call" and [t for t, _, _ in chain[0][1:3]] == ["(361)", "555-8283"]
+    wide = "x" * 90 + " (361)555-8283 " + "y" * 90
+    assert [t for t, _, _ in personal_data.chains(wide)[0]] == ["x" * 90, "(361)555-8283", "y" * 90]
+    host = ".".join(["mail"] * 9 + ["a" * 70])
+    run = "z" * 130 + ",jane[at]" + host
+    assert "jane[at]" + host in [t for c in personal_data.chains(run) for t, _, _ in c]
+    assert personal_data.chains("q" * 200 + "1" * 90 + "q" * 10)[0][1][0] == "1" * 90
+
+
+def best_path(field, chain):
+    """The best labels of a chain by trying all."""
+    score, _, _ = field.scores([chain])
+    return max(itertools.product(range(score.shape[2]), repeat=len(chain)), key=lambda y: sum(score[0, i, v] for i, v in enumerate(y)) + sum(field.step[a, b] for a, b in zip(y, y[1:], strict=False)))
+
+
+def test_field_decodes_many_texts_as_each_alone():
+    field = personal_data.trained()
+    chains = [c[:4] for c, _ in personal_data.labelled_table(40, 5)]
+    assert [tuple(y) for y in field.decode(chains, cells=17)] == [best_path(field, c) for c in chains]
+    texts = [prose(RNG.randint(0, 9)) + RNG.choice(["", " call (361) 555-8283 or +1 (555) 123-4567", " mail jane[at]mail.example", " 4111-1111-1111-1111"]) + " " + prose(3) for _ in range(60)]
+    assert list(personal_data.find_all(texts, field, most=300)) == [personal_data.find(t, field) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["personal", "secrets"])
+def test_spans_of_empty_tables_and_clashing_columns(spark, name):
+    find = personal_data.find_personal_data if name == "personal" else secrets.find_secrets
+    rows = [(1, "mail a.b@c.de, token=abcdef1234567890", "x", 7), (None, None, None, None), (1, "mail a.b@c.de, token=abcdef1234567890", "x", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_email int")
+    got = sorted(map(tuple, find(df).select("doc_id", "spans").collect()), key=str)
+    assert len(got) == 3 and got[0] == got[1] and got[0][1] and got[2] == (None, "")
+    assert find(df.limit(0)).count() == 0
+
+
 def test_ip_parts_are_judged_whole():
     assert personal_data.patterns("1.2.3.00999 0001.2.3.000255 1.2.3.256 1.2.3.0000") == [("ip", 12, 27), ("ip", 38, 48)]
 
