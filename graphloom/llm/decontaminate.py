@@ -99,10 +99,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         same = lambda o: (base + o >= 0) & (base + o + x["size"] <= F.size(w)) & (F.slice(x["around"], o + 1, x["size"]) == F.slice(w, F.greatest(base + o, F.lit(0)) + 1, x["size"]))
         return F.transform(F.filter(upto(0, F.size(x["around"]) - x["size"]), same), lambda o: base + o)
 
+    item_type = dict(bench.dtypes)[item_col]
+
     def found(w: Column) -> Column:
         each = F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["items"].alias("items"), starts(w, x).alias("starts")))
         real = F.filter(each, lambda x: F.size(x["starts"]) > 0)
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.coalesce(real, F.array().cast("array<struct<size:int,items:array<bigint>,starts:array<int>>>")).alias("real"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.coalesce(real, F.array().cast(f"array<struct<size:int,items:array<{item_type}>,starts:array<int>>>")).alias("real"))
 
     def result(w: Column) -> Column:
         return let(found(w), lambda f: F.struct(

@@ -36,6 +36,10 @@ PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,8}?PRIVATE KEY-----")
 HEADERS = re.compile(r"(?:\s|\\[rn])*+(?:[A-Za-z][A-Za-z0-9-]*+: [^\r\n\\]*+(?:\s|\\[rn])++)*+")
 BODY = re.compile(r"(?:[A-Za-z0-9+/=]|\s|\\[rn])++")
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{38,}+={0,2}+")
+#: The same over several lines, without armour; hex with large letters, with a prefix or without.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\r?\n|\\r\\n|\\n)[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}+")
+BREAK = re.compile(r"(?:\r?\n|\\r\\n|\\n)[\x20\t]*+")
+LARGE_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?+(?=[0-9a-f]*+[A-F])([0-9A-Fa-f]{32,}+)(?![0-9A-Za-z])")
 #: A sequence whose length has one, two or three bytes of its own, or none; the magic of key files.
 STARTS = (b"\x30", b"openssh-key-v1\0")
 
@@ -137,22 +141,48 @@ def _fields(data: bytes, at: int, count: int | None = None) -> tuple[list[bytes]
     return out, at
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether the data is a whole private key file: cipher, key derivation, count, public keys, and the private part."""
+def ssh_end(data: bytes) -> int:
+    """Where a private key file at the start of the data ends, 0 if there is none: cipher, key derivation, count, public keys, and the private part."""
     magic = STARTS[1]
     if not data.startswith(magic) or not (head := _fields(data, len(magic), 3)):
-        return False
+        return 0
     (cipher, derivation, _), at = head
     if not re.fullmatch(rb"[a-z0-9@.-]+", cipher) or derivation not in (b"none", b"bcrypt") or at + 4 > len(data):
-        return False
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
-    if not 1 <= keys <= 16 or not (rest := _fields(data, at + 4)) or len(rest[0]) != keys + 1:
-        return False
+    if not 1 <= keys <= 16 or not (rest := _fields(data, at + 4, keys + 1)):
+        return 0
     for public in rest[0][:-1]:
         inner = _fields(public, 0)
         if not inner or len(inner[0]) < 2 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", inner[0][0]):
-            return False
-    return bool(rest[0][-1])
+            return 0
+    return rest[1] if rest[0][-1] else 0
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Whether the data is a whole private key file."""
+    return bool(data) and ssh_end(data) == len(data)
+
+
+def wrapped_key(text: str, m: re.Match) -> Span | None:
+    """The key that a run of base64 lines begins with, if there is one. Its own lengths say where it ends, which must be a line's end."""
+    first = decoded(m[0][:16], urlsafe=True) or b""
+    if not first.startswith((STARTS[0], STARTS[1][: len(first)])):
+        return None
+    lines, places, at = BREAK.split(m[0].rstrip("=")), [], m.start()
+    for line, gap in zip(lines, [*BREAK.findall(m[0]), ""], strict=True):
+        places += range(at, at + len(line))
+        at += len(line) + len(gap)
+    data = decoded("".join(lines)[: len(places) - (len(places) % 4 == 1)], urlsafe=True) or b""
+    top = _element(data, 0, len(data))
+    kind, end = ("der", top[2]) if top and top[0] == 0x30 else ("ssh", ssh_end(data))
+    last = -(-end * 8 // 6)
+    if not end or last > len(places) or not (is_key_encoding(data[:end]) if kind == "der" else True):
+        return None
+    stop = places[last - 1] + 1
+    while text[stop : stop + 1] == "=":
+        stop += 1
+    return None if re.match(r"[A-Za-z0-9+/_-]", text[stop : stop + 1]) else (kind, m.start(), stop)
 
 
 def is_signed_token(token: str) -> bool:
@@ -192,6 +222,12 @@ def confirmed(text: str, base: list[Span]) -> list[Span]:
                 out.append(("ssh", m.start(), m.end()))
             elif data and is_key_encoding(data):
                 out.append(("der", m.start(), m.end()))
+    out += [x for m in WRAPPED.finditer(text) if (x := wrapped_key(text, m))]
+    for m in LARGE_HEX.finditer(text):
+        if len(m[1]) % 2 == 0:
+            data = bytes.fromhex(m[1])
+            if data.startswith(STARTS) and (is_key_encoding(data) or is_ssh_key(data)):
+                out.append(("der", m.start(1), m.end(1)))
     for kind, s, e in base:
         # Hex that parses as a key is said again by its kind.
         if kind == "hex" and (e - s) % 2 == 0:

@@ -106,6 +106,9 @@ def test_decontamination(spark, docs):
     got = table(decontaminate.decontaminate(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == sorted(want, key=repr)
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
+    named = bench.selectExpr("'item ' || item_id as item_id", "text")
+    by_name = {(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, named).collect()}
+    assert by_name == {(i, hit, n) for i, _, hit, n, _, _ in got}
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
@@ -531,6 +534,18 @@ def test_secrets_parse_whole_keys():
     lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
     for text in (f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----", f"-----BEGIN RSA PRIVATE KEY-----\\n{body}\\n-----END RSA PRIVATE KEY-----"):
         assert kinds(text) == ["pem"]
+    # Without armour over lines, and in hex of any case; what follows the key is no part of it.
+    for key, kind in ((private, "der"), (locked, "der"), (scalar, "der"), (ssh, "ssh")):
+        for width, gap in ((64, "\n"), (76, "\r\n"), (20, "\n  "), (64, "\\n")):
+            one = enc(key)
+            wrapped = gap.join(one[i : i + width] for i in range(0, len(one), width))
+            text = f"see {wrapped}{gap}more text"
+            assert [x for x in secrets.find(text)[1]] == [(kind, 4, 4 + len(wrapped))], (kind, width, gap)
+            assert not kinds(text.replace(wrapped[30:34], "", 1))
+        for large in (key.hex().upper(), key.hex()[:60].upper() + key.hex()[60:], "0x" + key.hex().upper()):
+            at = 2 * large.startswith("0x")
+            assert ("der", 4 + at, 4 + len(large)) in secrets.find(f"hex {large}.")[1]
+            assert not kinds(f"hex {large[:-2]}.")
     headed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0011\n\n{enc(bytes(range(160)))}\n-----END RSA PRIVATE KEY-----"
     assert "pem" in kinds(headed)
     assert not kinds("-----BEGIN PRIVATE KEY-----\nnot a key at all\n-----END PRIVATE KEY-----")
