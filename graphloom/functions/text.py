@@ -118,16 +118,17 @@ def tags(text: Column) -> Column:
 
 
 def kind_scores(title: Column, content: Column) -> dict[str, Column]:
-    """Two for each word of a kind in the title, one for each in the content."""
-    t, c = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
+    """Two for each word of a kind in the title, one for each in the content; both in lower case already."""
     add = lambda cols: reduce(lambda a, b: a + b, cols)
-    return {kind: add([F.contains(t, F.lit(w)).cast("int") * 2 + F.contains(c, F.lit(w)).cast("int") for w in dict.fromkeys(words.lower().split(","))]) for kind, words in KINDS.items()}
+    return {kind: add([F.contains(title, F.lit(w)).cast("int") * 2 + F.contains(content, F.lit(w)).cast("int") for w in dict.fromkeys(words.lower().split(","))]) for kind, words in KINDS.items()}
 
 
 def classify_kind(title: Column, content: Column) -> Column:
-    """Struct (kind, confidence): the kind of most words, concept where there are none."""
-    scored = F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, s) in enumerate(kind_scores(title, content).items())])
-    return F.transform(F.array(F.array_max(scored)), lambda b: F.struct(F.when(b["score"] > 0, b["kind"]).otherwise("concept").alias("kind"), F.least(F.lit(1.0), b["score"] / 6.0).alias("confidence")))[0]
+    """Struct (kind, confidence): the kind of most words, concept where there are none. Both texts are lowered once for all words."""
+    low = F.struct(F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(content, F.lit(""))).alias("c"))
+    scored = lambda x: F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, s) in enumerate(kind_scores(x["t"], x["c"]).items())])
+    best = F.transform(F.array(low), lambda x: F.array_max(scored(x)))
+    return F.transform(best, lambda b: F.struct(F.when(b["score"] > 0, b["kind"]).otherwise("concept").alias("kind"), F.least(F.lit(1.0), b["score"] / 6.0).alias("confidence")))[0]
 
 
 def sentences(text: Column) -> Column:

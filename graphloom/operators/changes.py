@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.ingest import canonical
+from graphloom.operators.keyed import Keyed
+from graphloom.operators.lineage import written
 
 #: Fixed values, in order of preference: columns that move whenever a row changes. When a row was made does not count.
 CHANGE_COLUMNS = ("updated_at", "modified_at", "last_modified", "update_time", "modified_time", "mtime", "last_update", "updatedat", "updated", "modified")
@@ -74,7 +76,7 @@ def key_index(df: DataFrame, key: str, foreign: list[str] | None = None) -> Data
 
 @dataclass
 class State:
-    """What is known of a table between runs; the index of keys is a Parquet folder of its own version."""
+    """What is known of a table between runs; version is that of its index of keys."""
 
     table: str
     version: int = 0
@@ -84,62 +86,73 @@ class State:
 
 
 class Store:
-    """States and key indexes below one folder; every run writes new versions, so a run that fails leaves the old ones."""
+    """States and key indexes below one folder, an index for each table: rows by key, to which a run adds what changed.
+
+    The state stands in the commit of the index's version, so that both count together or not at all.
+    """
 
     INDEX = "pk string, row_hash string, keys map<string,string>"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _states(self) -> str:
-        return f"{self.path}/states"
+    def _table(self, name: str) -> Keyed:
+        return Keyed(self.spark, f"{self.path}/{name}", ["pk"], self.INDEX, self.buckets)
 
     def load(self, table: str) -> State:
         """The newest state of a table, empty where there is none."""
-        schema = "table string, version int, watermark string, schema string, rows long"
-        try:
-            rows = self.spark.read.schema(schema).parquet(self._states()).where(F.col("table") == table).orderBy(F.col("version").desc()).limit(1).collect()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = []
-        return State(**rows[0].asDict()) if rows else State(table)
-
-    def index(self, state: State) -> DataFrame:
+        held = self._table(table)
+        said = held.meta()
+        return State(table, held.version(), **said) if said else State(table)
+
+    def index(self, state: State, keys: DataFrame | None = None) -> DataFrame:
+        """The rows as of a state; with a few keys (pk), only the buckets that these are in."""
+        table = self._table(state.table)
         if not state.version:
             return self.spark.createDataFrame([], self.INDEX)
-        return self.spark.read.schema(self.INDEX).parquet(f"{self.path}/{state.table}/v{state.version}")
+        return table.read(None if keys is None else table.touched(keys), state.version)
 
-    def save(self, state: State, index: DataFrame) -> State:
-        new = State(state.table, state.version + 1, state.watermark, state.schema, state.rows)
-        index.write.mode("overwrite").parquet(f"{self.path}/{new.table}/v{new.version}")
-        self.spark.createDataFrame([tuple(vars(new).values())], "table string, version int, watermark string, schema string, rows long").coalesce(1).write.mode("append").parquet(self._states())
-        return new
+    def save(self, state: State, rows: DataFrame, gone: DataFrame | None = None, base: bool = False, most: int = 8) -> State:
+        """Adds rows, and marks for keys (pk) that are gone, as the next version; buckets with many such deltas are compacted."""
+        table = self._table(state.table)
+        said = {"watermark": state.watermark, "schema": state.schema, "rows": state.rows}
+        table.write(rows, gone, said, base)
+        table.compact(most)
+        return State(state.table, table.version(), **said)
 
 
 def sync(source: DataFrame, table: str, key: str, store: Store, foreign: list[str] | None = None, change_col: str | None = None) -> dict:
     """One run: what was added, updated, deleted and re-pointed since the last one, as DataFrames of keys, and the new state.
 
-    By watermark where a column tells changes, else by row hash. A changed schema starts afresh. The first run
-    deletes nothing; a second run without changes finds nothing. The delta is judged before the state is written.
+    By watermark where a column tells changes, else by row hash. By watermark only rows at or past it are read whole and
+    hashed, the condition going down to the source, and only their buckets of the index are read for them; of all other
+    rows the key alone is read, to find deletions. The index gets what changed, not a copy of itself. A changed
+    schema starts afresh: all rows count as added, and keys of the old index that the source lacks as deleted. The first
+    run deletes nothing; a second run without changes finds nothing. All is judged, and written, before the state is.
     """
     state = store.load(table)
     drift = bool(state.schema) and state.schema != fingerprint(source)
-    old = store.index(State(table) if drift else state)
     change_col = change_col or change_column(source)
-    now = key_index(source, key, foreign)
-    both = now.join(old.select("pk", F.col("row_hash").alias("was"), F.col("keys").alias("had")), "pk", "left")
+    marked = bool(change_col) and not drift and state.watermark is not None
+    fresh = key_index(changed_since(source, change_col, state.watermark) if marked else source, key, foreign)
+    fresh = written(fresh, "fresh") if marked else fresh
+    old = store.index(State(table) if drift else state, fresh if marked else None)
+    both = fresh.join(old.select("pk", F.col("row_hash").alias("was"), F.col("keys").alias("had")), "pk", "left")
     known = F.col("was").isNotNull()
-    if change_col and not drift and state.watermark is not None:
-        fresh = key_index(changed_since(source, change_col, state.watermark), key, foreign).select("pk")
-        both = both.join(fresh, "pk", "left_semi")
-    delta = both.where(~known | (F.col("was") != F.col("row_hash"))).select("pk", F.when(known, "update").otherwise("add").alias("action"))
-    gone = old.select("pk").join(now.select("pk"), "pk", "left_anti")
-    pairs = both.where(known).select("pk", F.explode(F.map_entries("keys")).alias("e"), "had").select("pk", F.col("e.key").alias("column"), F.try_element_at("had", F.col("e.key")).alias("old_target"), F.col("e.value").alias("new_target"))
+    changed = written(both.where(~known | (F.col("was") != F.col("row_hash"))).withColumn("action", F.when(known, "update").otherwise("add")), "changed")
+    pairs = both.where(known) if marked else changed.where(known)
+    pairs = pairs.select("pk", F.explode(F.map_entries("keys")).alias("e"), "had").select("pk", F.col("e.key").alias("column"), F.try_element_at("had", F.col("e.key")).alias("old_target"), F.col("e.value").alias("new_target"))
     moved = pairs.where(~F.col("old_target").eqNullSafe(F.col("new_target")))
-    rows, mark = source.agg(F.count("*"), (F.max(change_col) if change_col else F.lit(None)).cast("string")).first()
-    new = store.save(State(table, state.version, mark, fingerprint(source), rows), now)
-    return {"delta": delta, "deleted": gone, "moved": moved, "schema_changed": drift, "state": new}
+    here = source.where(F.col(key).isNotNull()).select(canonical(F.col(key), source.schema[key].dataType).alias("pk"))
+    gone = written(store.index(state).select("pk").join(here, "pk", "left_anti"), "gone")
+    rows = source.count()
+    if not change_col:
+        mark = None
+    else:  # later marks are among the rows past the one before
+        past = changed_since(source, change_col, state.watermark) if marked else source
+        mark = past.agg(F.max(change_col).cast("string")).first()[0] or (state.watermark if marked else None)
+    new = store.save(State(table, state.version, mark, fingerprint(source), rows), changed.select("pk", "row_hash", "keys"), gone, base=not state.version)
+    return {"delta": changed.select("pk", "action"), "deleted": gone, "moved": moved, "schema_changed": drift, "state": new}
 
 
 def sync_all(tables: list, store: Store) -> dict[str, dict]:

@@ -204,8 +204,25 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[Da
     return nodes.join(gone, "id", "left_anti"), edges.join(gone, edges["target_id"] == gone["id"], "left_anti")
 
 
+def final_targets(same: DataFrame) -> DataFrame:
+    """Rows (old, new) of pairs (old, new) with chains followed to their ends: a into b and b into c make a and b into c.
+
+    Of several targets of one node the smallest counts; pairs that run in a circle go to the smallest id of the circle.
+    """
+    once = same.where("old <> new").groupBy("old").agg(F.min("new").alias("new"))
+    if once.join(once.select(F.col("old").alias("new")), "new", "left_semi").isEmpty():
+        return once
+    once = written(once, "pairs")
+    group = linked(once.select(F.col("old").alias("a"), F.col("new").alias("b")))
+    goes = once.select(F.col("old").alias("id"), F.lit(True).alias("goes"))
+    # Every node has one target, so all nodes of a group but one go, or all of them where it holds a circle.
+    end = group.join(goes, "id", "left").groupBy("label").agg(F.coalesce(F.min(F.when(F.col("goes").isNull(), F.col("id"))), F.min("id")).alias("new"))
+    return group.join(end, "label").where("id <> new").select(F.col("id").alias("old"), "new")
+
+
 def merge_nodes(edges: DataFrame, same: DataFrame) -> DataFrame:
-    """Edges with ends replaced by (old, new), without self loops, the largest weight of each triple."""
+    """Edges with ends replaced by (old, new), chains followed, without self loops, the largest weight of each triple."""
+    same = final_targets(same)
     s = same.select(F.col("old").alias("source_id"), F.col("new").alias("ns"))
     t = same.select(F.col("old").alias("target_id"), F.col("new").alias("nt"))
     moved = edges.join(s, "source_id", "left").join(t, "target_id", "left").select(F.coalesce("ns", "source_id").alias("source_id"), F.coalesce("nt", "target_id").alias("target_id"), "kind", "weight")
@@ -215,16 +232,23 @@ def merge_nodes(edges: DataFrame, same: DataFrame) -> DataFrame:
 def merge_contents(nodes: DataFrame, same: DataFrame) -> DataFrame:
     """Nodes after (old, new) pairs merged: contents that the target lacks are added, tags united, counts summed, the greatest vitality kept.
 
-    The old nodes go; each of their contents stands behind the target's own, in order of their ids.
+    The old nodes go; each of their contents stands behind the target's own, in order of their ids. Chains are followed to
+    their ends. Only nodes that a pair names are grouped; all others pass as they are. A target that is no node takes nothing in.
     """
-    into = nodes.join(same.select(F.col("old").alias("id"), "new"), "id", "left").withColumn("to", F.coalesce("new", "id"))
+    same = final_targets(same)
+    names = ["id", "kind", "title", "content", "tags", "access_count", "success_count", "failure_count", "vitality"]
+    here = same.join(nodes.select(F.col("id").alias("new")), "new", "left_semi")
+    ends = here.select(F.col("old").alias("id"), "new").union(here.select(F.col("new").alias("id"), F.lit(None).cast(dict(here.dtypes)["new"])).distinct())
+    into = nodes.join(ends, "id").withColumn("to", F.coalesce("new", "id"))
     part = F.struct(F.col("new").isNotNull().alias("late"), "id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("access_count", "success_count", "failure_count")]
     own = lambda c: F.max(F.when(F.col("new").isNull(), F.col(c))).alias(c)
     grouped = into.groupBy("to").agg(F.sort_array(F.collect_list(part)).alias("parts"), own("kind"), own("title"), *sums, F.max("vitality").alias("vitality"))
     joined = F.aggregate(F.transform("parts", lambda p: p["content"]), F.lit(""), lambda all_, c: F.when((c == "") | F.contains(all_, c), all_).otherwise(F.trim(F.concat_ws("\n\n", F.nullif(all_, F.lit("")), c))))
     tags = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["tags"])))
-    return grouped.where("title is not null or kind is not null").select(F.col("to").alias("id"), "kind", "title", joined.alias("content"), tags.alias("tags"), "access_count", "success_count", "failure_count", "vitality")
+    merged = grouped.select(F.col("to").alias("id"), "kind", "title", joined.alias("content"), tags.alias("tags"), "access_count", "success_count", "failure_count", "vitality")
+    rest = nodes.join(ends.select("id"), "id", "left_anti").select(*names)
+    return rest.unionByName(merged.select(*[F.col(n).cast(nodes.schema[n].dataType).alias(n) for n in names]))
 
 
 def node_stats(nodes: DataFrame) -> DataFrame:

@@ -35,12 +35,18 @@ def prune(edges: DataFrame, least: float = 0.1) -> DataFrame:
 
 
 def reinforce(edges: DataFrame, pairs: DataFrame, success: bool = True) -> DataFrame:
-    """Edge weights after a use of the pairs (source_id, target_id, maturity); new edges on success only."""
+    """Edge weights after uses of the pairs (source_id, target_id, maturity); new edges on success only.
+
+    A pair that is given several times was used as often: its steps are added, and the weight is bounded once. A new edge
+    starts at 0.1 with the largest step of its uses, and the others are added to that.
+    """
     step = (0.1 if success else -0.15) / (1 + 0.02 * F.col("maturity"))
-    both = edges.join(pairs, ["source_id", "target_id"], "full_outer" if success else "left")
+    used = pairs.withColumn("_step", step).groupBy("source_id", "target_id").agg(F.sum("_step").alias("_sum"), F.max("_step").alias("_most"))
+    both = edges.join(used, ["source_id", "target_id"], "full_outer" if success else "left")
+    bounded = lambda w: F.greatest(F.lit(-2.0), F.least(F.lit(5.0), w))
     # Edges that no pair touches stay as they are, even beyond the bounds.
-    moved = F.when(F.col("maturity").isNull(), F.col("weight")).otherwise(F.greatest(F.lit(-2.0), F.least(F.lit(5.0), F.col("weight") + step)))
-    return both.select("source_id", "target_id", F.coalesce("kind", F.lit("related")).alias("kind"), F.coalesce(moved, F.lit(0.1)).alias("weight"))
+    moved = F.when(F.col("_sum").isNull(), F.col("weight")).otherwise(bounded(F.coalesce(F.col("weight") + F.col("_sum"), 0.1 + F.col("_sum") - F.col("_most"))))
+    return both.select("source_id", "target_id", F.coalesce("kind", F.lit("related")).alias("kind"), moved.alias("weight"))
 
 
 def maintain(nodes: DataFrame, edges: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:

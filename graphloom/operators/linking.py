@@ -55,11 +55,13 @@ def reference_links(nodes: DataFrame, key: str, token: str, scope: str | None =
 def title_mentions(nodes: DataFrame, most_words: int = 6, least: int = 4) -> DataFrame:
     """Rows (source_id, target_id): nodes whose content holds another node's title as a run of whole words.
 
-    Titles of up to most_words words are looked up among the contents' runs of words, by join, not by trying each title on each text.
+    Titles are looked up among the contents' runs of words, by join, not by trying each title on each text. A title of more
+    than most_words words is looked up by its first ones, and what they find is read again for the whole title.
     """
     cut = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    titled = nodes.where(F.length(F.trim("title")) >= least).select(F.col("id").alias("target_id"), cut(F.col("title")).alias("t"))
-    titled = titled.where(F.size("t").between(1, most_words)).select("target_id", F.size("t").alias("n"), F.array_join("t", " ").alias("run"))
+    titled = nodes.where(F.length(F.trim("title")) >= least).select(F.col("id").alias("target_id"), cut(F.col("title")).alias("t")).where(F.size("t") > 0)
+    first = F.slice("t", 1, most_words)
+    titled = titled.select("target_id", F.size(first).alias("n"), F.array_join(first, " ").alias("run"), F.when(F.size("t") > most_words, F.array_join("t", " ")).alias("whole"))
     sizes = [r.n for r in titled.select("n").distinct().collect()]  # at most most_words numbers
     w = nodes.select(F.col("id").alias("source_id"), cut(F.col("content")).alias("w"))
 
@@ -73,7 +75,20 @@ def title_mentions(nodes: DataFrame, most_words: int = 6, least: int = 4) -> Dat
         out = part if out is None else out.union(part)
     if out is None:
         return nodes.sparkSession.createDataFrame([], f"source_id {dict(nodes.dtypes)['id']}, target_id {dict(nodes.dtypes)['id']}")
-    return out.join(titled.select("target_id", "run"), "run").where("source_id <> target_id").select("source_id", "target_id").distinct()
+    found = out.join(titled.select("target_id", "run", "whole"), "run").where("source_id <> target_id").select("source_id", "target_id", "whole")
+    if most_words not in sizes:
+        return found.select("source_id", "target_id").distinct()
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    long = found.where("whole is not null").join(w.select("source_id", padded(F.array_join("w", " ")).alias("said")), "source_id")
+    long = long.where(F.contains("said", padded(F.col("whole")))).select("source_id", "target_id")
+    return found.where("whole is null").select("source_id", "target_id").union(long).distinct()
+
+
+def _combined(values: Column, n: int) -> Column:
+    """All choices of n of the sorted values, each as one string."""
+    if n == 1:
+        return F.transform(values, lambda x: x)
+    return F.flatten(F.transform(values, lambda x, i: F.transform(_combined(F.slice(values, i + 2, F.size(values)), n - 1), lambda y: F.concat_ws("\x1f", x, y))))
 
 
 def relations(nodes: DataFrame, most: int = 5, shared: int = 2, near: float = 0.75, vectors: DataFrame | None = None) -> DataFrame:
@@ -86,15 +101,19 @@ def relations(nodes: DataFrame, most: int = 5, shared: int = 2, near: float = 0.
     said = title_mentions(nodes).join(kinds.select(F.col("id").alias("source_id"), F.col("kind").alias("a")), "source_id").join(kinds.select(F.col("id").alias("target_id"), F.col("kind").alias("b")), "target_id")
     kind = F.when(F.col("a") == "lesson", "learned_from").when((F.col("a") == "rule") & (F.col("b") == "concept"), "depends_on").otherwise("related")
     found = said.select("source_id", "target_id", kind.alias("kind"), F.lit(0.8).alias("weight"), F.lit(0).alias("rule"))
-    # Pairs meet under the rarer of two shared tags' sets: a pair of tags is the key, so one common tag makes no group.
-    tag = nodes.select("id", F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("t"))
-    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, 1000), lambda y: F.concat_ws("\x1f", x, y)))) if shared == 2 else F.col("t")
-    keyed = tag.select("id", F.explode(pairs).alias("k"))
-    same = keyed.alias("x").join(keyed.alias("y"), F.col("x.k") == F.col("y.k")).where("x.id <> y.id").groupBy(F.col("x.id").alias("source_id"), F.col("y.id").alias("target_id")).agg(F.count("*").alias("n"))
-    same = same if shared == 2 else same.where(F.col("n") >= shared)
+    # A choice of so many tags is the key, so one common tag makes no group. All targets of this rule weigh the same and go by
+    # id, so of each key the smallest ids are enough, one more than a node keeps, as one of them may be the node itself.
+    tag = nodes.select("id", F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("t")).where(F.size("t") >= shared)
+    keyed = tag.select("id", F.explode(_combined(F.col("t"), shared)).alias("k"))
+    smallest = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where(F.col("_n") <= most + 1).select("k", F.col("id").alias("target_id"))
+    same = keyed.join(smallest, "k").where("id <> target_id").select(F.col("id").alias("source_id"), "target_id").distinct()
     found = found.union(same.select("source_id", "target_id", F.lit("related"), F.lit(0.5), F.lit(1)))
     if vectors is not None:
-        found = found.union(vectors.where((F.col("similarity") >= near) & (F.col("source_id") != F.col("target_id"))).select("source_id", "target_id", F.lit("related"), F.col("similarity") * 0.7, F.lit(2)))
+        close = vectors.where((F.col("similarity") >= near) & (F.col("source_id") != F.col("target_id")))
+        close = close.join(tag.select(F.col("id").alias("source_id"), F.col("t").alias("a")), "source_id", "left").join(tag.select(F.col("id").alias("target_id"), F.col("t").alias("b")), "target_id", "left")
+        # Pairs that share tags, too, are of that rule, also those that the smallest ids left out.
+        both = F.coalesce(F.size(F.array_intersect("a", "b")) >= shared, F.lit(False))
+        found = found.union(close.select("source_id", "target_id", F.lit("related"), F.when(both, 0.5).otherwise(F.col("similarity") * 0.7), F.when(both, 1).otherwise(2)))
     once = Window.partitionBy("source_id", "target_id").orderBy("rule")
     top = Window.partitionBy("source_id").orderBy(F.col("weight").desc(), "rule", "target_id")
     found = found.withColumn("_r", F.row_number().over(once)).where("_r = 1")

@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from graphloom.operators.changes import merge
+from graphloom.operators.keyed import Keyed
 from graphloom.operators.structured import newest
 
 
-def follow(changes: DataFrame, target: str, key: str, checkpoint: str, order: str, deleted: str | None = None, current: str | None = None) -> StreamingQuery:
-    """Merge each micro-batch of whole rows into versions of a Parquet table below target.
+def follow(changes: DataFrame, target: Keyed, checkpoint: str, order: str, deleted: str | None = None, most: int = 8) -> StreamingQuery:
+    """Merge each micro-batch of whole rows into a table by key.
 
-    Version n+1 is the version before it after batch n; version 0 is the table at current, if there is one. Of the
-    rows of a key the latest by order counts, then the largest by all columns, so that a batch that is run
-    again writes the same version. Rows for which the column deleted is true take the key away.
+    A batch writes what it changes, in the buckets of its keys; what is there already is not read for that. Buckets
+    with more than so many batches since their base are compacted, the work of which is spread over these batches. Of the
+    rows of a key the latest by order counts, then the largest by all columns, and a batch that is run again is passed
+    over. Rows for which the column deleted is true take the key away.
     """
-    spark = changes.sparkSession
 
     def apply(batch: DataFrame, n: int) -> None:
-        latest = newest(batch, [key], [F.col(order).desc(), F.to_json(F.struct(*sorted(batch.columns))).desc()])
-        gone = latest.where(F.col(deleted)).select(key) if deleted else None
-        rows = latest.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else latest
-        before = f"{target}/v{n}" if n else current
-        state = merge(spark.read.parquet(before), rows, key, gone) if before else rows
-        state.write.mode("overwrite").parquet(f"{target}/v{n + 1}")
+        if target.meta().get("batch", -1) >= n:
+            return
+        latest = newest(batch, target.key, [F.col(order).desc(), F.to_json(F.struct(*sorted(batch.columns))).desc()])
+        gone = latest.where(F.col(deleted)).select(*target.key) if deleted else None
+        rows = latest.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else latest
+        target.write(rows, gone, {"batch": n})
+        target.compact(most)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import changes, documents, evidence, expand, export, graph, ingest, lifecycle, linking, metadata, search, sessions, structured, tools
+from graphloom.operators.keyed import Keyed
 from graphloom.operators.ontology import Ontology, Property, Rule, Type
 from graphloom.sources import readers
 from graphloom.streaming.changes import follow
@@ -132,24 +133,57 @@ def test_sync_by_watermark_and_drift(spark, tmp_path):
     assert rows(run["moved"]) == [("2", "cat", "1", "3")]
     wider = second.withColumn("extra", F.lit(1))
     run = changes.sync(wider, "t", "id", store, ["cat"])
-    assert run["schema_changed"] and run["delta"].count() == 3
+    assert run["schema_changed"] and run["delta"].count() == 3 and run["deleted"].count() == 0
+    less = wider.where("id <> 2").withColumn("more", F.lit("x"))
+    run = changes.sync(less, "d", "id", store, ["cat"])
+    run = changes.sync(wider, "d", "id", store, ["cat"])
+    assert run["schema_changed"] and run["deleted"].count() == 0
+    run = changes.sync(less, "d", "id", store, ["cat"])
+    assert run["schema_changed"] and rows(run["deleted"]) == [("2",)] and rows(store.index(run["state"]), "pk") == [("1",), ("4",)]
     found = changes.sync_all([ingest.Table("t", wider, "id"), ingest.Table("u", wider, None)], store)
     assert found["u"] == {"error": "no key"} and found["t"]["delta"].count() == 0
     assert changes.change_column(spark.createDataFrame([], "created_at long, Last_Update long")) == "Last_Update"
     assert changes.change_column(spark.createDataFrame([], "created_at long, ts long")) is None
 
 
+def test_sync_by_watermark_reads_little(spark, tmp_path):
+    """Past the watermark alone rows are hashed, the condition reaches the files, and the index grows by what changed."""
+    store = changes.Store(spark, str(tmp_path / "store"), buckets=8)
+    at = lambda name, df: (df.write.mode("overwrite").parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1]
+    first = at("one", spark.range(400).selectExpr("id", "concat('n', id) as name", "id % 7 as cat", "id as updated_at"))
+    changes.sync(first, "t", "id", store, ["cat"])
+    past = changes.changed_since(first, "updated_at", "399")
+    plan = past._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(updated_at,399)" in plan
+    second = at("two", first.where("id <> 5").selectExpr("id", "if(id = 17, 'new', name) as name", "if(id = 17, 0, cat) as cat", "if(id = 17, 500, updated_at) as updated_at"))
+    run = changes.sync(second, "t", "id", store, ["cat"])
+    assert rows(run["delta"]) == [("17", "update")] and rows(run["deleted"]) == [("5",)] and rows(run["moved"]) == [("17", "cat", "3", "0")]
+    commits = store._table("t").commits()
+    assert [c.base for c in commits] == [True, False] and len(commits[1].buckets) <= 2
+    assert run["state"].watermark == "500" and run["state"].rows == 399
+    whole = changes.Store(spark, str(tmp_path / "whole"))
+    changes.sync(second, "t", "id", whole, ["cat"])
+    assert rows(store.index(store.load("t")).select("pk", "row_hash")) == rows(whole.index(whole.load("t")).select("pk", "row_hash"))
+    for i in range(4):  # many small runs are compacted, and nothing changes by that
+        third = at(f"r{i}", second.selectExpr("id", f"if(id = 3, 'r{i}', name) as name", "cat", f"if(id = 3, 600 + {i}, updated_at) as updated_at"))
+        run = changes.sync(third, "t", "id", store, ["cat"])
+        assert rows(run["delta"]) == [("3", "update")]
+    assert store._table("t").compact(2) and changes.sync(third, "t", "id", store, ["cat"])["delta"].count() == 0
+
+
 def test_streaming_merge(spark, tmp_path):
-    inbox, target, base = (str(tmp_path / x) for x in ("in", "out", "base"))
+    inbox = str(tmp_path / "in")
     schema = "id long, v string, at long, gone boolean"
-    spark.createDataFrame([(1, "old"), (7, "kept")], "id long, v string").withColumn("at", F.lit(0).cast("long")).write.parquet(base)
+    target = Keyed(spark, str(tmp_path / "out"), ["id"], "id long, v string, at long", buckets=4)
+    target.write(spark.createDataFrame([(1, "old"), (7, "kept")], "id long, v string").withColumn("at", F.lit(0).cast("long")), base=True)
     spark.createDataFrame([(1, "x", 2, False), (1, "y", 1, False), (2, "z", 1, False)], schema).write.parquet(f"{inbox}/a")
     read = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(inbox)
-    follow(read(), target, "id", str(tmp_path / "ck"), "at", "gone", base).awaitTermination()
-    assert rows(spark.read.parquet(f"{target}/v1"), "id", "v") == [(1, "x"), (2, "z"), (7, "kept")]
+    follow(read(), target, str(tmp_path / "ck"), "at", "gone").awaitTermination()
+    assert rows(target.read(), "id", "v") == [(1, "x"), (2, "z"), (7, "kept")]
     spark.createDataFrame([(2, "zz", 5, True), (3, "n", 5, False)], schema).write.mode("append").parquet(f"{inbox}/b")
-    follow(read(), target, "id", str(tmp_path / "ck"), "at", "gone", base).awaitTermination()
-    assert rows(spark.read.parquet(f"{target}/v2"), "id", "v") == [(1, "x"), (3, "n"), (7, "kept")]
+    follow(read(), target, str(tmp_path / "ck"), "at", "gone", most=1).awaitTermination()
+    assert rows(target.read(), "id", "v") == [(1, "x"), (3, "n"), (7, "kept")]
+    assert target.meta() == {"batch": 1} and len(target.commits()[1].buckets) < 4
 
 
 def test_readers(spark, tmp_path):
