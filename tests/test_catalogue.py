@@ -30,7 +30,7 @@ def in_order(rows):
 
 
 #: Queries that SQL does not express; each has an exact test of its own in test_fixtures or test_evidence.
-EXACT_ELSEWHERE = {"fuzzy_topk", "evidence_search", "legacy_search", "dual_level_search", "deep_search", "duplicate_titles"}
+EXACT_ELSEWHERE = {"fuzzy_topk", "evidence_search", "legacy_search", "dual_level_search", "deep_search", "duplicate_titles", "louvain"}
 
 
 def test_every_query_has_sql_or_a_test():
