@@ -15,20 +15,20 @@ from graphloom.operators import expand, search, tools
 from graphloom.operators.lineage import written
 
 
-def fuzzy(docs: DataFrame, query: str, k: int = 10, least: float = 0.4, id_col: str = "id", title_col: str = "title", text_col: str = "content") -> DataFrame:
-    """Rows (id, score) by the likeness of character runs: of title and query, or of single words.
+def fuzzy(docs: DataFrame, query: str, k: int = 10, least: float = 0.4, id_col: str = "id", title_col: str = "title", text_col: str = "content", tags_col: str | None = None) -> DataFrame:
+    """Rows (id, score) by the likeness of character runs: of title and query, or of single words, tags among them.
 
-    One pass over the rows; every distinct word of a batch is compared once.
+    One pass over the rows; every distinct word of a batch is compared once. The first ten words of a query are compared.
     """
-    asked = query.lower()
-    terms = list(dict.fromkeys(asked.split()))
+    asked = query.lower()[:200]
+    terms = list(dict.fromkeys(query.lower().split()))[:10]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[float]] = {}
         for b in batches:
             scores = []
-            for title, head in zip(b.title, b["head"], strict=True):
-                words = title.split() + head.split()
+            for title, head, tags in zip(b.title, b["head"], b.tags, strict=True):
+                words = [*title.split(), *head.split(), *tags]
                 for w in words:
                     if w not in known:
                         known[w] = [difflib.SequenceMatcher(None, t, w).ratio() for t in terms]
@@ -41,7 +41,9 @@ def fuzzy(docs: DataFrame, query: str, k: int = 10, least: float = 0.4, id_col:
 
     # Only the first hundred words of the content count for this measure.
     head = F.concat_ws(" ", F.slice(word_list(F.lower(F.coalesce(text_col, F.lit("")))), 1, 100))
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(title_col, F.lit(""))).alias("title"), head.alias("head"))
+    none = F.array().cast("array<string>")
+    tags = F.transform(F.coalesce(F.col(tags_col), none), F.lower) if tags_col else none
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(title_col, F.lit(""))).alias("title"), head.alias("head"), tags.alias("tags"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(each, f"id {kind}, score double").where(F.col("score") >= least).orderBy(F.col("score").desc(), "id").limit(k)
 
@@ -120,7 +122,7 @@ def evidence(docs: DataFrame, query: str, k: int = 10, seeds: int = 30, siblings
     found = first.select("id", F.col("seed_score").alias("lexical"))
     parts = T.decompose(query)
     if len(parts) > 1:
-        fused = tools.sub_query_scores([search.seeds(search.bm25(docs, p, seeds)).select("id", "rank") for p in parts])
+        fused = tools.sub_query_scores(tools.searched(docs.select("id", "title", "content"), parts, seeds))
         found = found.union(fused.select("id", F.col("score").alias("lexical"))).groupBy("id").agg(F.max("lexical").alias("lexical"))
     slim = docs.select("id", "category", F.length("content").alias("n"))
     labels = docs.select(F.col("category").alias("id"), F.col("category").alias("title")).where("title is not null").distinct()

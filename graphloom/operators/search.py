@@ -12,21 +12,26 @@ from graphloom.functions.expressions import cosine, occurrences, rank_score, tot
 from graphloom.operators.lineage import written
 
 
-def bm25(docs: DataFrame, query: str, k: int = 10, id_col: str = "id", title_col: str = "title", text_col: str = "content") -> DataFrame:
+def bm25(docs: DataFrame, query: str, k: int = 10, id_col: str = "id", title_col: str = "title", text_col: str = "content", tags_col: str | None = None, keywords: Column | None = None) -> DataFrame:
     """Rows (id, score): BM25 on substrings blended with a substring score by the size of the corpus.
 
-    One pass over the texts makes a narrow row for each document that holds a term, and the counts of the
-    rest; it is written, so statistics (one row) and scores come from it without reading a text again.
+    One pass over the texts makes a narrow row for each document; it is written, so statistics (one row) and scores come
+    from it without reading a text again. Tags and search keywords count as text, and by themselves.
     """
     terms = query.lower().split()
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    d = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(title_col, F.lit(""))).alias("t"), F.lower(F.coalesce(text_col, F.lit(""))).alias("c"))
-    x = F.concat_ws(" ", "t", "c")
+    low = F.lower(F.array_join(F.coalesce(F.col(tags_col), F.array().cast("array<string>")), " ")) if tags_col else F.lit("")
+    d = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(title_col, F.lit(""))).alias("t"), F.lower(F.coalesce(text_col, F.lit(""))).alias("c"), low.alias("g"), F.lower(F.coalesce(keywords, F.lit("")) if keywords is not None else F.lit("")).alias("k"))
+    x = F.concat_ws(" ", "t", "c", *[F.when(F.col(f) != "", F.col(f)) for f, there in (("g", tags_col), ("k", keywords is not None)) if there])
     words = F.regexp_count(x, F.lit(r"\S+"))
     narrow = {"dl": words, "title_all": F.contains("t", F.lit(query.lower()))}
     for i, t in enumerate(terms):
         narrow |= {f"f{i}": occurrences(F.col("c"), t), f"t{i}": F.contains("t", F.lit(t)), f"x{i}": F.contains(x, F.lit(t))}
+        if tags_col:
+            narrow[f"g{i}"] = F.contains("g", F.lit(t))
+        if keywords is not None:
+            narrow[f"k{i}"] = F.contains("k", F.lit(t))
     for i, (a, b) in enumerate(zip(terms, terms[1:], strict=False)):
         narrow[f"p{i}"] = F.contains(x, F.lit(f"{a} {b}"))
     d = written(d.select("id", *[c.alias(n) for n, c in narrow.items()]), "bm25")
@@ -38,6 +43,8 @@ def bm25(docs: DataFrame, query: str, k: int = 10, id_col: str = "id", title_col
         tf, in_title = F.col(f"f{i}"), F.col(f"t{i}")
         best += [F.when(tf > 0, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))).otherwise(0.0), F.when(in_title, 3 * idf).otherwise(0.0)]
         sub += [F.when(in_title, 2.0).otherwise(0.0), F.when(tf > 0, 1.0).otherwise(0.0)]
+        sub += [F.when(F.col(f"g{i}"), 1.0).otherwise(0.0)] if tags_col else []
+        sub += [F.when(F.col(f"k{i}"), 1.5).otherwise(0.0)] if keywords is not None else []
         hit.append(((tf > 0) | in_title).cast("double"))
     sub.append(F.when(F.col("title_all"), 3.0 * len(terms)).otherwise(0.0))
     for i in range(len(terms) - 1):

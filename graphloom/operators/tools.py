@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions.expressions import snippet
-from graphloom.operators import expand, graph, search
+from graphloom.operators import expand, graph, postings, search
+from graphloom.operators.lineage import written
 
 #: Words of a query that prefer a kind, and by how much.
 KIND_HINTS = {"lesson": "실패 에러 오류 장애 교훈 배운 주의 failure error incident lesson postmortem"}
@@ -184,19 +185,29 @@ def dual_level(nodes: DataFrame, query: str, now: float, level: str = "auto", li
     return search.fuse(low.select("id", "rank").union(high.select("id", "rank"))).orderBy(F.col("score").desc(), "id").limit(limit)
 
 
+def pseudo_query(title: str, content: str, most: int = 8) -> str:
+    """What one may ask about a document: the first words of its first sentence, or its title where it says little."""
+    content = content.strip()
+    if len(content) < 30:
+        return title.strip()
+    first = re.split(r"(?<=[.!?。])\s+", content, maxsplit=1)[0].strip()
+    return " ".join((first if len(first) >= 20 else content[:80]).split()[:most])
+
+
 def calibrate(docs: DataFrame, sample: int = 20, k: int = 10) -> tuple[float, float]:
-    """Mean reciprocal rank of some nodes when searched by their own words, and the share that a reranker should get.
+    """Mean reciprocal rank of some documents when asked for by their own first words, and the share that a reranker should get.
 
-    The sample is chosen by hash, so it is the same at every run; each of its few queries is one scan.
+    The sample is chosen by hash, so it is the same at every run; all its queries are answered by one scan of the texts.
     """
-    some = docs.where("content is not null and length(content) >= 40").orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "content").collect()
-    total = 0.0
-    for row in some:
-        words = sorted(set(re.findall(r"[A-Za-z가-힣]{4,}", row.content)), key=lambda w: (-len(w), w))[:5]
-        ids = [r.id for r in search.bm25(docs, " ".join(words), k).collect()]
-        total += 1 / (1 + ids.index(row.id)) if row.id in ids else 0.0
-    mean = total / max(1, len(some))
-    return mean, 0.0 if mean > 0.85 else 0.2 if mean <= 0.55 else 0.1
+    text = F.coalesce("content", F.lit(""))
+    some = docs.where((F.trim(F.coalesce("title", F.lit(""))) != "") & (F.trim(text) != "")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    asked = [(r.id, q) for r in some.select("id", "title", F.substring(text, 1, 4000).alias("content")).collect() if (q := pseudo_query(r.title, r.content))]
+    if not asked:
+        return 0.7, 0.1
+    queries = docs.sparkSession.createDataFrame(asked, f"query_id {dict(docs.dtypes)['id']}, query string")
+    found = postings.bm25_many(queries, k, postings.fields(docs)).where("id = query_id").agg(F.sum(1.0 / F.col("rank"))).first()[0]
+    mean = (found or 0.0) / len(asked)
+    return mean, 0.0 if mean >= 0.85 else 0.2 if mean <= 0.55 else 0.1
 
 
 def search_page(nodes: DataFrame, query: str, limit: int = 10, category: str | None = None, kind: str | None = None, seen: DataFrame | None = None) -> DataFrame:
@@ -238,10 +249,16 @@ def deep_search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 5,
     return found.union(near).union(whole)
 
 
+def searched(docs: DataFrame, queries: list[str], limit: int) -> list[DataFrame]:
+    """A ranking (id, rank from 0) for each query, all from one scan of documents (id, title, content)."""
+    asked = docs.sparkSession.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    found = written(postings.bm25_many(asked, limit, postings.fields(docs)).select("query_id", "id", (F.col("rank") - 1).alias("rank")), "found")
+    return [found.where(F.col("query_id") == i).select("id", "rank") for i in range(len(queries))]
+
+
 def compare_search(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Rows (id, list, rank) of the topics that a comparison names, each searched by itself."""
-    ranked = [search.seeds(search.bm25(nodes.select("id", "title", "content"), q, limit)).select("id", "rank") for q in T.compared(query)]
-    return merged_lists(ranked, limit)
+    return merged_lists(searched(nodes.select("id", "title", "content"), T.compared(query), limit), limit)
 
 
 def table_hint_seeds(docs: DataFrame, query: str, hits: DataFrame, hints: dict[str, list[str]], least: int = 3, most: int = 5) -> DataFrame | None:
