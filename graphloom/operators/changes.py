@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,7 +122,7 @@ class Store:
         return State(state.table, table.version(), **said)
 
 
-def sync(source: DataFrame, table: str, key: str, store: Store, foreign: list[str] | None = None, change_col: str | None = None) -> dict:
+def sync(source: DataFrame, table: str, key: str, store: Store, foreign: list[str] | None = None, change_col: str | None = None, read: Callable | None = None) -> dict:
     """One run: what was added, updated, deleted and re-pointed since the last one, as DataFrames of keys, and the new state.
 
     By watermark where a column tells changes, else by row hash. By watermark only rows at or past it are read whole and
@@ -129,12 +130,20 @@ def sync(source: DataFrame, table: str, key: str, store: Store, foreign: list[st
     rows the key alone is read, to find deletions. The index gets what changed, not a copy of itself. A changed
     schema starts afresh: all rows count as added, and keys of the old index that the source lacks as deleted. The first
     run deletes nothing; a second run without changes finds nothing. All is judged, and written, before the state is.
+    read: as in Table, for sources that Spark hands no condition or choice of columns to.
     """
     state = store.load(table)
     drift = bool(state.schema) and state.schema != fingerprint(source)
     change_col = change_col or change_column(source)
     marked = bool(change_col) and not drift and state.watermark is not None
-    fresh = key_index(changed_since(source, change_col, state.watermark) if marked else source, key, foreign)
+    if not marked:
+        past = source
+    elif read and source.schema[change_col].dataType.typeName() in ("integer", "long", "double", "string"):
+        value = state.watermark if source.schema[change_col].dataType.typeName() == "string" else float(state.watermark) if "." in state.watermark else int(state.watermark)
+        past = read(None, [(change_col, ">=", value)])
+    else:
+        past = changed_since(source, change_col, state.watermark)
+    fresh = key_index(past, key, foreign)
     fresh = written(fresh, "fresh") if marked else fresh
     old = store.index(State(table) if drift else state, fresh if marked else None)
     both = fresh.join(old.select("pk", F.col("row_hash").alias("was"), F.col("keys").alias("had")), "pk", "left")
@@ -143,13 +152,13 @@ def sync(source: DataFrame, table: str, key: str, store: Store, foreign: list[st
     pairs = both.where(known) if marked else changed.where(known)
     pairs = pairs.select("pk", F.explode(F.map_entries("keys")).alias("e"), "had").select("pk", F.col("e.key").alias("column"), F.try_element_at("had", F.col("e.key")).alias("old_target"), F.col("e.value").alias("new_target"))
     moved = pairs.where(~F.col("old_target").eqNullSafe(F.col("new_target")))
-    here = source.where(F.col(key).isNotNull()).select(canonical(F.col(key), source.schema[key].dataType).alias("pk"))
+    narrow = read([key], []) if read else source
+    here = narrow.where(F.col(key).isNotNull()).select(canonical(F.col(key), source.schema[key].dataType).alias("pk"))
     gone = written(store.index(state).select("pk").join(here, "pk", "left_anti"), "gone")
-    rows = source.count()
+    rows = narrow.count()
     if not change_col:
         mark = None
     else:  # later marks are among the rows past the one before
-        past = changed_since(source, change_col, state.watermark) if marked else source
         mark = past.agg(F.max(change_col).cast("string")).first()[0] or (state.watermark if marked else None)
     new = store.save(State(table, state.version, mark, fingerprint(source), rows), changed.select("pk", "row_hash", "keys"), gone, base=not state.version)
     return {"delta": changed.select("pk", "action"), "deleted": gone, "moved": moved, "schema_changed": drift, "state": new}
@@ -165,7 +174,7 @@ def sync_all(tables: list, store: Store) -> dict[str, dict]:
             out[t.name] = {"error": "no key"}
             continue
         try:
-            out[t.name] = sync(t.rows, t.name, t.key, store, list(t.foreign))
+            out[t.name] = sync(t.rows, t.name, t.key, store, list(t.foreign), read=t.read)
         except Exception as e:  # noqa: BLE001  reported, so that other tables go on
             out[t.name] = {"error": str(e)[:300]}
     return out

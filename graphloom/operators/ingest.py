@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,12 +27,16 @@ NODE_COLUMNS = ["id", "kind", "title", "content", "tags", "properties"]
 
 @dataclass
 class Table:
-    """A table's rows with its key and its foreign keys, column to (table, key column)."""
+    """A table's rows with its key and its foreign keys, column to (table, key column).
+
+    read, where a source offers it, reads some columns (None: all) of the rows that meet conditions (column, sign, value).
+    """
 
     name: str
     rows: DataFrame
     key: str | None
     foreign: dict[str, tuple[str, str]] = field(default_factory=dict)
+    read: Callable[[list[str] | None, list[tuple]], DataFrame] | None = None
 
     @property
     def bridge(self) -> bool:

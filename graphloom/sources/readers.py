@@ -94,6 +94,10 @@ def tables_of(columns: list[tuple], keys: list[tuple], rows) -> list[Table]:
 
 def database_tables(spark: SparkSession, url: str, schema: str | None = None, **options: str) -> list[Table]:
     """All tables of a database with their keys; the schema's rows are few and read on the driver."""
+    if url.startswith(("sqlite:", "jdbc:sqlite:")):  # needs no driver
+        from graphloom.sources import sqlite
+
+        return sqlite.tables(spark, url)
     kind = dialect(url)
     where = schema or DEFAULT_SCHEMA.get(kind, "")
     read = lambda q: [tuple(r) for r in spark.read.format("jdbc").options(url=url, query=q.replace("{schema}", where), **options).load().collect()]
@@ -125,16 +129,19 @@ def from_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def from_data(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a file, or of a folder's files of one kind: tables from CSV, documents from JSON lines and texts."""
+    """Nodes and edges of a file, of a pattern's or a folder's files of any kinds: tables from CSV, documents from JSON lines, texts and pages."""
+    from graphloom.sources import folder
+
     kind = path.rstrip("/*").rsplit(".", 1)[-1].lower()
     stem = re.split(r"[/\\]", path.rstrip("/*"))[-1].rsplit(".", 1)[0]
     if kind == "csv":
         rows = csv(spark, path)
         return ingest_tables([Table(stem, rows, rows.columns[0])])
-    if kind in ("jsonl", "ndjson", "json"):
+    if kind in folder.LINES:
         docs = documents(spark, path).select("doc_id", "title", F.col("content").alias("text"))
     elif kind in ("txt", "md", "text"):
         docs = texts(spark, path).select(F.col("path").alias("doc_id"), F.substring_index("path", "/", -1).alias("title"), "text")
     else:
-        raise ValueError(f"no reader for {path!r}")
+        whole = folder.read(spark, path)
+        return whole.nodes, whole.edges
     return add_documents(docs)
