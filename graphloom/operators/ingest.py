@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType, IntegralType
 
+from graphloom import plugins
 from graphloom.functions import text as T
 from graphloom.functions.expressions import short_id
 from graphloom.operators import documents, graph
@@ -137,12 +138,16 @@ def ingest_tables(tables: list[Table], keep_dangling: bool = False) -> tuple[Dat
     return all_nodes, all_edges
 
 
-def add_records(records: DataFrame) -> DataFrame:
-    """Records (title, content) as nodes: composed, classified, tagged, with ids from their content."""
-    r = records.select(T.nfc(F.coalesce("title", F.lit(""))).alias("title"), T.nfc(F.coalesce("content", F.lit(""))).alias("content"))
-    kind = T.classify_kind(F.col("title"), F.col("content"))["kind"]
+def add_records(records: DataFrame, classifier: str = "rules", taggers: tuple[str, ...] = ("rules",)) -> DataFrame:
+    """Records (title, content) as nodes: composed, classified, tagged, with ids from their content.
+
+    classifier and taggers are names of plugins. A column kind, where records have it, says the kind of a row.
+    """
+    r = records.select(T.nfc(F.coalesce("title", F.lit(""))).alias("title"), T.nfc(F.coalesce("content", F.lit(""))).alias("content"), *(["kind"] if "kind" in records.columns else []))
+    kind = plugins.named("classifier", classifier)(F.col("title"), F.col("content"))["kind"]
+    kind = F.coalesce(F.nullif("kind", F.lit("")), kind) if "kind" in records.columns else kind
     text = F.concat_ws("\n", "title", "content")
-    return r.select(short_id("node_", F.col("title"), F.col("content")).alias("id"), kind.alias("kind"), "title", "content", T.tags(text).alias("tags"), F.create_map().cast("map<string,string>").alias("properties"))
+    return r.select(short_id("node_", F.col("title"), F.col("content")).alias("id"), kind.alias("kind"), "title", "content", plugins.tags(text, list(taggers)).alias("tags"), F.create_map().cast("map<string,string>").alias("properties"))
 
 
 def add_documents(docs: DataFrame, size: int = 1000) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom import plugins
 from graphloom.functions import text as T
 from graphloom.functions.expressions import cosine
 
@@ -91,11 +92,12 @@ def _combined(values: Column, n: int) -> Column:
     return F.flatten(F.transform(values, lambda x, i: F.transform(_combined(F.slice(values, i + 2, F.size(values)), n - 1), lambda y: F.concat_ws("\x1f", x, y))))
 
 
-def relations(nodes: DataFrame, most: int = 5, shared: int = 2, near: float = 0.75, vectors: DataFrame | None = None) -> DataFrame:
+def relations(nodes: DataFrame, most: int = 5, shared: int = 2, near: float = 0.75, vectors: DataFrame | None = None, detectors: tuple[str, ...] = ()) -> DataFrame:
     """Edges by rule, the heaviest `most` of a node: its content mentions a title (0.8; lessons learn from it, rules depend on
     concepts), tags are shared (0.5), vectors are near (0.7 of their cosine). The first rule that gives a target wins.
 
     nodes: (id, kind, title, content, tags). vectors: candidate pairs (source_id, target_id, similarity) of a vector search.
+    detectors: names of plugins whose edges stand beside those by rule, of any number, with kinds and weights of their own.
     """
     kinds = nodes.select("id", "kind")
     said = title_mentions(nodes).join(kinds.select(F.col("id").alias("source_id"), F.col("kind").alias("a")), "source_id").join(kinds.select(F.col("id").alias("target_id"), F.col("kind").alias("b")), "target_id")
@@ -117,7 +119,9 @@ def relations(nodes: DataFrame, most: int = 5, shared: int = 2, near: float = 0.
     once = Window.partitionBy("source_id", "target_id").orderBy("rule")
     top = Window.partitionBy("source_id").orderBy(F.col("weight").desc(), "rule", "target_id")
     found = found.withColumn("_r", F.row_number().over(once)).where("_r = 1")
-    return found.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= most).select(*EDGE)
+    found = found.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= most).select(*EDGE)
+    own = plugins.detected(nodes, list(detectors))
+    return found if own is None else found.union(own.select(*EDGE)).groupBy(*EDGE[:3]).agg(F.max("weight").alias("weight"))
 
 
 def connective_links(chunks: DataFrame, titles: dict[str, str], window: int = 40, per_kind: int = 5) -> DataFrame:
@@ -241,10 +245,9 @@ def resolutions(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.where("id <> new").select(F.col("id").alias("old"), "new")
 
 
-def phrase_hubs(docs: DataFrame, locale: str = "en", most: int = 15) -> DataFrame:
-    """Distinct (doc_id, phrase) by the language's rules, the longest first."""
-    found = T.phrases(locale, F.lit(""), F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", F.explode(found).alias("phrase"))
+def phrase_hubs(docs: DataFrame, locale: str = "en", most: int = 15, extractors: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (doc_id, phrase) by the language's rules, or by the extractors named, the longest first."""
+    rows = plugins.phrases(docs, list(extractors) or [locale])
     order = Window.partitionBy("doc_id").orderBy(F.length("phrase").desc(), "phrase")
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import changes, communities, graph
+from graphloom.operators import changes, communities, graph, profiles
 from graphloom.operators.lineage import folder
 from graphloom.plans.catalogue import EDGES, key_graph
 from graphloom.plans.graph_catalogue import _label_sql
 from graphloom.plans.registry import query, rounded
+from graphloom.streaming.sessions import spent
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -91,3 +92,25 @@ def cdc_watermark(t):
     now = o.where("o_orderkey % 17 <> 3").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, "moved").otherwise(F.col("o_orderpriority")))
     found = changes.sync(now, "orders", "o_orderkey", store, ["o_custkey"])
     return found["delta"].union(found["deleted"].withColumn("action", F.lit("delete")))
+
+
+def _facts_sql(table: str, columns: list[str]) -> str:
+    one = lambda c: f"""select '{c}' as "column", count(*) as rows, count(*) - count({c}) as nulls, min(length({c}::varchar)) as shortest, max(length({c}::varchar)) as longest,
+  count(case when regexp_matches({c}::varchar, '^[+-]?\\d+(\\.\\d+)?$') then 1 end) as numbers, count(case when regexp_matches({c}::varchar, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') then 1 end) as dates from {table}"""
+    return " union all ".join(map(one, columns))
+
+
+@query(_facts_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]).replace("\\\\", "\\"))
+def column_facts(t):
+    """The exact facts; the estimated number of different values is left out."""
+    return profiles.column_facts(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).select("column", "rows", "nulls", F.col("shortest").cast("long").alias("shortest"), F.col("longest").cast("long").alias("longest"), "numbers", "dates")
+
+
+@query("""with n as (select user_id as session, event_id as call, event_type as id, row_number() over (partition by user_id order by event_id) as n from events),
+f as (select session, call, row_number() over (partition by session, id order by n) as r from n where n <= 5)
+select n.session, n.call, least(n, 5)::int as used, (5 - least(n, 5))::int as left_over, n <= 5 as ok, coalesce(case when f.r = 1 then n.id end, '') as fresh from n left join f using (session, call)""")
+def session_budget(t):
+    """Five calls for each user; what each gives that the user has not seen before."""
+    e = t("events")
+    calls = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("call"), F.col("event_id").alias("at"), F.array("event_type").alias("ids"))
+    return spent(calls, 5).select("session", "call", "used", F.col("left").alias("left_over"), "ok", F.array_join("fresh", ",").alias("fresh"))
