@@ -11,9 +11,9 @@ Every task packs what it reads, in rounds of bounded size: nothing is shuffled,
 too large. Packing follows the order of rows in a partition, so a task that is run again gives the
 same rows. Sequence ids hold the partition in their upper bits.
 
-Step groups are dealt after packing, over the sequences alone: all partitions' sequences of one
-tier are counted through, so that each group of a tier holds the same number of sequences, with
-one short group at most for each tier. Groups of all tiers hold the same number of tokens.
+Step groups are dealt after packing: all partitions' sequences of one tier are counted through, so
+that each group of a tier holds the same number of sequences, with one short group at most for each
+tier. Groups of all tiers hold the same number of tokens.
 
 Defined cases: a null or empty text is a document of the end id alone; very long texts are cut;
 repeated rows are packed each; an empty table gives no rows; further columns are ignored.
@@ -32,9 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.keys import stored
 from graphloom.llm.token_counts import TOKENIZER, tokenizer_path
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, nth long, ids binary"
 
 
 class WordIds:
@@ -118,6 +119,8 @@ class Packer:
         self.longest, self.least, self.keep_ids = longest, least, keep_ids
         self.tiers = [1 << k for k in range(least.bit_length() - 1, longest.bit_length())]
         self.next = partition << 33
+        #: Sequences so far of each length.
+        self.made: dict[int, int] = {}
         #: Waiting pieces by tier: (doc, start, ids, doc_tokens), shortest first.
         self.wait: dict[int, list] = {t: [] for t in self.tiers}
         self.tokens = 0
@@ -162,9 +165,12 @@ class Packer:
             length = len(ids) // 4
             rows.append((doc, start, length, zlib.crc32(ids), n, offset, ids))
             offset += length
-        padded = size if offset == size else self.longest
+        # A power of two, which a full sequence and a short rest may be, needs no padding.
+        padded = self.longest if offset & (offset - 1) else offset
+        nth = self.made.get(padded, 0)
+        self.made[padded] = nth + 1
         for doc, start, length, crc, n, at, ids in rows:
-            out.append((doc, start, length, crc, n, self.next, at, padded, bytes(ids) if self.keep_ids else None))
+            out.append((doc, start, length, crc, n, self.next, at, padded, nth, bytes(ids) if self.keep_ids else None))
         self.next += 1
         self.tokens -= offset
 
@@ -202,21 +208,32 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(id_col, text_col).mapInPandas(each, SCHEMA)
 
 
-def step_groups(pieces: DataFrame, step_tokens: int = 1 << 20) -> DataFrame:
-    """Rows (sequence_id, step_group): groups of step_tokens tokens, padding included, of sequences of one length.
+def with_step_groups(pieces: DataFrame, step_tokens: int = 1 << 20, small: int = 1_000_000) -> DataFrame:
+    """Pieces with step_group in place of nth: groups of step_tokens tokens, padding included, of sequences of one length.
 
-    Only the first piece of each sequence is looked at. Sequences are numbered within partition and length,
-    a few counts for each partition shift them, and no group or window holds more than one partition's rows.
+    Packing has numbered the sequences of each length within its partition; a few counts for each partition, which
+    are summed up over partitions, shift these numbers, so pieces are neither sorted nor shuffled. The counts are
+    broadcast up to so many rows.
     """
-    first = pieces.where("offset = 0").select("sequence_id", "sequence_length", F.shiftright("sequence_id", 33).alias("part"))
-    here = Window.partitionBy("part", "sequence_length").orderBy("sequence_id")
-    counts = first.groupBy("sequence_length", "part").agg(F.count("*").alias("n"))
+    part = F.shiftright("sequence_id", 33).alias("part")
+    counts = pieces.where("offset = 0").select("sequence_length", part).groupBy("sequence_length", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sequence_length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = counts.select("sequence_length", "part", before.alias("before"))
-    numbered = first.withColumn("nth", F.row_number().over(here) - 1).join(shift, ["sequence_length", "part"])
+    shift = stored(counts.select("sequence_length", "part", before.alias("before")), "counts")
+    shift = F.broadcast(shift) if shift.count() <= small else shift
     per = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("sequence_length")))
-    place = F.floor((F.col("before") + F.col("nth")) / per)
-    return numbered.select("sequence_id", (place * 64 + F.round(F.log2(F.col("sequence_length").cast("double"))).cast("long")).alias("step_group"))
+    group = F.floor((F.col("before") + F.col("nth")) / per) * 64 + F.round(F.log2(F.col("sequence_length").cast("double"))).cast("long")
+    rest = [c for c in pieces.columns if c != "nth"]
+    return pieces.withColumn("part", part).join(shift, ["sequence_length", "part"]).select(*rest, group.alias("step_group"))
+
+
+def step_groups(pieces: DataFrame, step_tokens: int = 1 << 20) -> DataFrame:
+    """Rows (sequence_id, step_group), one for each sequence."""
+    return with_step_groups(pieces.where("offset = 0"), step_tokens).select("sequence_id", "step_group")
+
+
+def pack_groups(docs: DataFrame, step_tokens: int = 1 << 20, **options) -> DataFrame:
+    """The pieces of documents with their step groups; texts are tokenized once, and pieces written to the shared folder."""
+    return with_step_groups(stored(pack_documents(docs, **options), "pieces"), step_tokens)
 
 
 def _frame(rows: list) -> pd.DataFrame:
@@ -226,4 +243,4 @@ def _frame(rows: list) -> pd.DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_ids=False).drop("ids")
+    return pack_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_ids=False).drop("ids")

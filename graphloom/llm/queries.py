@@ -2,15 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-import corpus_pipeline
-from graphloom.llm import decontaminate, hard_negatives, jaccard_join, nearest, oracles, packing, page_text, personal_data, quality, secrets, substring_dedup, token_counts, toxicity, whitening
-
-
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
+from graphloom.llm import decontaminate, hard_negatives, jaccard_join, nearest, oracles, packing, page_text, personal_data, pipeline, quality, secrets, substring_dedup, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_token_counts": token_counts.op1,
@@ -26,7 +18,7 @@ QUERIES = {
     "op11_hard_negatives": hard_negatives.op11,
     "op12_whitening": whitening.op12,
     "op13_quality_rules": quality.op13,
-    "pipeline": pipeline,
+    "pipeline": pipeline.run,
 }
 
 #: The rest is tested against brute force in tests/llm.

@@ -566,6 +566,13 @@ def test_step_groups(spark):
         assert len(set(sizes)) == 1 and sum(sizes) <= 1024
     short = collections.Counter(sizes[0] for sizes in held.values() if sum(sizes) < 1024)
     assert max(short.values(), default=0) <= 1
+    whole = packing.pack_groups(df, 1024, longest=256, round_tokens=4096).collect()
+    assert {(r.sequence_id, r.step_group) for r in whole} == set(groups.items()) and len(whole) == pieces.count()
+    assert packing.pack_groups(empty(spark)).count() == 0
+    ends = {}
+    for r in whole:
+        ends[r.sequence_id] = ends.get(r.sequence_id, 0) + r.length
+    assert all(length[i] == (n if n & (n - 1) == 0 else 256) for i, n in ends.items())
 
 
 def test_page_alignment_finds_longest_common_order():
