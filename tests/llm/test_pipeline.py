@@ -2,9 +2,8 @@
 
 import random
 
-import corpus_pipeline
-
 from graphloom.llm import jaccard_join, secrets
+from graphloom.llm import pipeline as corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
 
