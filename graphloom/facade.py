@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.expressions import short_id
-from graphloom.operators import changes, documents, evidence, expand, export, graph, ingest, lifecycle, linking, metadata, search, sessions, structured, tools
+from graphloom.operators import changes, communities, documents, expand, export, graph, ingest, lifecycle, linking, metadata, retrieval, search, sessions, structured, tools
 from graphloom.operators.lineage import written
 from graphloom.operators.ontology import Ontology
 from graphloom.schema import NODE
@@ -155,9 +155,12 @@ class Graph:
         hubs = found.select(short_id("phrase_", F.col("phrase")).alias("id"), F.lit("entity").alias("kind"), F.col("phrase").alias("title"), F.array(F.lit("_phrase")).alias("tags")).distinct()
         return self.put(as_nodes(hubs.join(edges.select(F.col("target_id").alias("id")), "id", "left_semi"), now), edges)
 
-    def communities(self, now: float, rounds: int = 20) -> Graph:
-        """With a node for each community."""
-        made, edges = graph.community_nodes(graph.communities(self.edges, rounds), self.nodes)
+    def communities(self, now: float, rounds: int = 20, by: str = "labels") -> Graph:
+        """With a node for each community, by label propagation or by modularity."""
+        if by not in ("labels", "modularity"):
+            raise ValueError(f"communities are found by labels or by modularity, not by {by!r}")
+        labels = graph.communities(self.edges, rounds) if by == "labels" else communities.louvain(self.edges)
+        made, edges = graph.community_nodes(labels, self.nodes)
         return self.put(as_nodes(made, now), edges)
 
     # Reading them
@@ -188,10 +191,9 @@ class Graph:
     def join_related(self, values: DataFrame, key: str, table: str, limit: int = 20, cursor=None) -> DataFrame:
         return structured.join_related(self.table(table), key, values, [F.col("id")], limit, cursor)
 
-    def search(self, query: str, limit: int = 10) -> DataFrame:
-        """Rows (query_id, id, rank) of evidence."""
-        docs = self.nodes.select("id", "title", "content", F.try_element_at("properties", F.lit("category")).alias("category"))
-        return evidence.evidence(docs, query, limit, edges=self.edges)
+    def search(self, query: str, limit: int = 10, as_of: int = 9999, **options) -> DataFrame:
+        """Rows (id, rank, total, reason, anchor) of evidence, by all stages; options as of retrieval.find."""
+        return retrieval.find(self.nodes, self.edges, query, as_of, limit, **options)
 
     def legacy_search(self, query: str, now: float, limit: int = 10, **options) -> DataFrame:
         return tools.legacy(self.nodes, query, now, limit, edges=self.edges, **options)
@@ -230,8 +232,8 @@ class Graph:
     def around(self, node: str, limit: int = 20) -> DataFrame:
         return tools.around(self.nodes, self.edges, node, limit)
 
-    def follow(self, node: str, kind: str, direction: str = "both") -> DataFrame:
-        return graph.follow(self.edges, node, kind, direction)
+    def follow(self, node: str, kind: str, direction: str = "both", limit: int = 20) -> DataFrame:
+        return graph.follow(self.edges, node, kind, direction).orderBy("way", "id").limit(limit)
 
     def shortest_path(self, start: str, goal: str, most: int = 5) -> DataFrame:
         return graph.shortest_path(self.edges, start, goal, most)
@@ -246,8 +248,9 @@ class Graph:
         return linking.duplicates(self.nodes, least, limit)
 
     def resolve(self, least: float = 0.85) -> DataFrame:
-        """Pairs (old, new) of entities that are one."""
-        return linking.resolutions(linking.duplicates(self.nodes.where("kind = 'entity'"), least, None).select("a", "b"), self.nodes)
+        """Pairs (old, new) of entities that are one, the likest merged first."""
+        found = communities.resolve(linking.duplicates(self.nodes.where("kind = 'entity'"), least, None), self.nodes)
+        return graph.final_targets(found.select(F.col("removed").alias("old"), F.col("kept").alias("new")))
 
     def stats(self) -> DataFrame:
         return graph.graph_stats(self.nodes, self.edges)
