@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import wordhash
-from graphloom.llm.keys import KEY, delete, keyed, scratch, stored
+from graphloom.llm.keys import KEY, Scratch, delete, keyed, scratch, stored
 
 WINDOW = 35
 GRAM = 5
+#: Keys of documents, 12 bytes each, that are sent to all tasks at most.
+BROADCAST = 2_000_000
 
 
 def winnow(word: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +120,8 @@ class FingerprintIndex:
     def meet(self, prints: DataFrame) -> DataFrame:
         """Prints of a new batch that stand twice in it or in a live run, and the runs' prints that they meet.
 
-        A merge join by fingerprint on both sides; the counts that decide are combined before they move.
+        A merge join by fingerprint on both sides; the counts that decide are combined before they move. Without live
+        runs the batch meets itself alone, and an empty batch meets nothing.
         """
         fresh = prints.groupBy("h").agg(F.count("*").alias("n"))
         known = self.prints().groupBy("h").agg(F.count("*").alias("m"))
@@ -131,19 +134,21 @@ class FingerprintIndex:
         return self.prints().join(twice, "h", "left_semi")
 
 
-def repeated_windows(src: DataFrame, hits: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_windows(src: DataFrame, hits: DataFrame, window: int = WINDOW, held: Scratch | None = None) -> DataFrame:
     """Rows (rk, rk2, ranges): ranges (low, windows) of consecutive windows that occur twice.
 
     hits are all prints of the fingerprints in question, stored, src the texts of all their documents. Where a
     fingerprint repeats, whole stretches are compared first: occurrences with equal stretches repeat each
     other's windows. Only fingerprints with a stretch that stands alone are looked at by single windows,
     in all their occurrences. Counts are combined before they are shuffled and written apart, so that
-    the joins by fingerprint are plain ones that Spark splits where one key is hot.
+    the joins by fingerprint are plain ones that Spark splits where one key is hot. held keeps these tables for
+    the caller to delete.
     """
-    stretch = stored(hits.groupBy("h", "c").agg(F.count("*").alias("n")), "stretches")
+    held = held or Scratch(hits.sparkSession)
+    stretch = held.stored(hits.groupBy("h", "c").agg(F.count("*").alias("n")), "stretches")
     alone = stretch.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h")
     sure = hits.join(stretch.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*KEY, "low", "windows")
-    open_ = stored(hits.join(alone, "h", "left_semi").select(*KEY, "low", "windows"), "open")
+    open_ = held.stored(hits.join(alone, "h", "left_semi").select(*KEY, "low", "windows"), "open")
     open_ = open_.groupBy(*KEY).agg(F.collect_set(F.struct("low", "windows")).alias("at"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,13 +197,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def dedup_batch(docs: DataFrame, index: FingerprintIndex, history: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The same rows for a new batch, judged against itself and all documents of the index; the batch then joins the index.
 
-    history has the documents of the index, of which only those that meet the batch are read again to
-    verify windows. Rows that the history gave out before are not changed.
+    history has the documents of the index, of which only those that meet the batch go on to have their
+    windows verified; their keys are broadcast up to a bound. Rows that the history gave out before are not changed. An
+    empty batch gives no rows and adds an empty run; with an empty history and index a batch is judged against itself.
     """
     src, old = keyed(docs, id_col, text_col), keyed(history, id_col, text_col)
-    prints = stored(fingerprints(src, window, gram), "batch")
-    marks = stored(repeated_windows(src.union(old), stored(index.meet(prints), "hits"), window), "marks")
+    held = Scratch(docs.sparkSession)
+    prints = held.stored(fingerprints(src, window, gram), "batch")
+    hits = held.stored(index.meet(prints), "hits")
+    met = held.stored(hits.select(*KEY).distinct(), "met")
+    met = F.broadcast(met) if met.count() <= BROADCAST else met
+    marks = stored(repeated_windows(src.union(old.join(met, KEY, "left_semi").select(src.columns)), hits, window, held), "marks")
     index.append(prints)
+    held.drop("batch", "hits", "met", "stretches", "open")
     return _without(src, marks, window)
 
 
