@@ -69,15 +69,23 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 5) -> DataFrame:
-    """One row (path, hops): the least path in order of its ids, or no row."""
-    steps = both_ways(edges).distinct()
+    """One row (path, hops): the least path in order of its ids, or no row.
+
+    Each hop joins the front, which is written, with the edges, and the search ends where it meets the goal or nothing new.
+    """
+    steps = both_ways(edges)
     front = edges.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>")
-    seen = front
-    for _ in range(most):
+    seen, none = front, front.limit(0)
+    for _ in range(most if start != goal else 0):
         front = front.join(steps, front["id"] == steps["a"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
-        front = front.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti")
-        seen = seen.union(front)
-    return seen.where((F.col("id") == goal) & (F.size("path") > 1)).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
+        front = written(front.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), "front")
+        met = front.where(F.col("id") == goal)
+        if not met.isEmpty():
+            return met.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return none.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
 
 
 def follow(edges: DataFrame, node: str, kind: str, direction: str = "both") -> DataFrame:
@@ -91,19 +99,27 @@ def flow(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, kind), F.lit(DEFAULT_FLOW))
 
 
+def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges with an end among the ids (id), with n, how many of their ends are."""
+    s = ids.select(F.col("id").alias("source_id"), F.lit(1).alias("s"))
+    t = ids.select(F.col("id").alias("target_id"), F.lit(1).alias("t"))
+    both = edges.join(s, "source_id", "left").join(t, "target_id", "left")
+    return both.withColumn("n", F.coalesce("s", F.lit(0)) + F.coalesce("t", F.lit(0))).where("n > 0").drop("s", "t")
+
+
 def personalized_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 50, tol: float = 1e-6, every: int = 5) -> DataFrame:
     """Rows (id, score) of the rank over the seeds' two-hop surroundings, after so many rounds or when one moves less than tol.
 
     An edge counts for each of its ends that was processed, that is a seed or next to one.
     Nodes without edges lose their mass. seeds: (id, weight), normalised here. Where no seed has an
-    edge, the seeds' own weights are returned. Steps are written once, ranks every few rounds, where they are compared.
+    edge, the seeds' own weights are returned. Of the edges only those around the seeds are written, their steps once, and ranks
+    every few rounds, where they are compared.
     """
-    start = seeds.groupBy("id").agg(F.sum("weight").alias("weight"))
-    edges = written(edges.select("source_id", "target_id", "kind", "weight"), "edges")
-    done = start.select("id").union(neighbours(edges, start, 1).select("id")).distinct()
-    s = done.select(F.col("id").alias("source_id"), F.lit(1).alias("s"))
-    t = done.select(F.col("id").alias("target_id"), F.lit(1).alias("t"))
-    e = edges.join(s, "source_id", "left").join(t, "target_id", "left").withColumn("n", F.coalesce("s", F.lit(0)) + F.coalesce("t", F.lit(0))).where("n > 0")
+    start = written(seeds.groupBy("id").agg(F.sum("weight").alias("weight")), "seeds")
+    edges = edges.select("source_id", "target_id", "kind", "weight")
+    near = touching(edges, start)
+    done = start.select("id").union(near.select("source_id")).union(near.select("target_id")).distinct()
+    e = touching(edges, written(done, "done"))
     e = e.select("source_id", "target_id", (F.col("weight") * flow(F.col("kind")) * F.col("n")).alias("w"))
     e = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "w").union(e.select(F.col("target_id"), F.col("source_id"), "w"))
     e = e.groupBy("a", "b").agg(F.sum("w").alias("w"))
