@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import postings, search
+from graphloom.operators import postings, search, tools
 from graphloom.plans.catalogue import BM25, _texts
 from graphloom.plans.registry import query, rounded
 from graphloom.plans.text_catalogue import GRAMS
@@ -71,3 +71,22 @@ def trigram_indexed(t):
     rows = postings.fields(t("part").withColumn("nothing", F.lit("")), "p_partkey", "p_name", "nothing")
     index = postings.Index.build(rows, shared(rows.sparkSession, "postings"))
     return index.similar("larger widgets").select(F.col("id").alias("p_partkey"), rounded("score"))
+
+
+PARTS = MANY.replace("select id as query_id, regexp_extract_all(t, '\\S+')[1:4] as w from d where id % 50 = 0", "select 0 as query_id, ['license', 'thereon'] as w union all select 1, ['the', 'law'] union all select 2, ['under']")
+
+
+@query(f"""{PARTS}, fused as (select id, sum(1.0::double / (60 + rank - 1)) as s from top where rank <= 15 group by id)
+select id, round(0.10 + 0.85 * s / (select max(s) from fused), 6) as score from fused""")
+def sub_query_search(t):
+    """Three queries answered by one scan, their rankings fused."""
+    docs = _texts(t)
+    return tools.sub_query_scores(tools.searched(docs, ["license thereon", "the law", "under"], 15)).select("id", rounded("score"))
+
+
+@query(f"""{PARTS}, l as (select id, query_id as list, (rank - 1) as rank from top where rank <= 5), m as (select * from l qualify row_number() over (partition by id order by list, rank) = 1)
+select id, list::int as list, rank::int as rank from m order by list, rank, id limit 10""")
+def compared_lists(t):
+    """The same rankings one behind the other, each document where it comes first."""
+    found = tools.merged_lists(tools.searched(_texts(t), ["license thereon", "the law", "under"], 5))
+    return found.select("id", "list", F.col("rank").cast("int").alias("rank"))

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import changes, communities, graph, profiles
+from graphloom.operators import changes, communities, export, graph, profiles
 from graphloom.operators.lineage import folder
 from graphloom.plans.catalogue import EDGES, key_graph
-from graphloom.plans.graph_catalogue import _label_sql
+from graphloom.plans.graph_catalogue import _counted, _label_sql, _rank_sql
 from graphloom.plans.registry import query, rounded
 from graphloom.streaming.sessions import spent
 
@@ -114,3 +114,39 @@ def session_budget(t):
     e = t("events")
     calls = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("call"), F.col("event_id").alias("at"), F.array("event_type").alias("ids"))
     return spent(calls, 5).select("session", "call", "used", F.col("left").alias("left_over"), "ok", F.array_join("fresh", ",").alias("fresh"))
+
+
+def _still_sql(rounds: int) -> str:
+    """The rank at damping one half, so many rounds, which no longer moves in nine places."""
+    sql = _rank_sql(f"{EDGES.replace('e as (', 'e0 as (', 1).replace('from e union select target_id, source_id from e)', 'from e0 union select target_id, source_id from e0)')}, e as (select source_id, target_id, weight * 0.4::double as w from e0)", "select 'nation:3' as id, 1.0::double as weight union all select 'nation:7', 0.5", rounds)
+    return sql.replace("0.15::double", "0.5::double").replace("0.85::double", "0.5::double").replace("round(r, 9)", "round(r, 7)")
+
+
+@query(_still_sql(40))
+def ppr_still(t):
+    """The rank until it stands still."""
+    seeds = t("nation").where("n_nationkey in (3, 7)").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.when(F.col("n_nationkey") == 3, 1.0).otherwise(0.5).alias("weight"))
+    ranked = graph.personalized_rank(key_graph(t), seeds, damping=0.5, rounds=80, tol=1e-10)
+    return ranked.select("id", F.round("score", 7).alias("score")).orderBy(F.col("score").desc(), "id").limit(20)
+
+
+@query(_label_sql(8).replace(EDGES, MARKS[: MARKS.index("\n  union all select 'customer:' || c_custkey, 'customer:' || (c_custkey + 1)")] + ")"))
+def communities_still(t):
+    """Labels until a round changes none."""
+    return graph.communities(_marks(t("customer")), 20)
+
+
+@query("""with p as (select c_custkey as a, c_custkey + 1 as b from customer where c_custkey % 7 <> 6 and c_custkey + 1 in (select c_custkey from customer)), n as (select a as id from p union select b from p)
+select id, min(id) over (partition by id // 7) as label from n""")
+def linked_chains(t):
+    """Chains of seven customers, each linked to the next one."""
+    c = t("customer").select(F.col("c_custkey").alias("a"))
+    pairs = c.where("a % 7 <> 6").select("a", (F.col("a") + 1).alias("b")).join(c.select(F.col("a").alias("b")), "b", "left_semi")
+    return graph.linked(pairs.select("a", "b")).select("id", "label")
+
+
+@query("""select 'customer:' || c_custkey as id, c_name as title, lower(c_mktsegment) as kind, c_custkey % 4 as level from customer""")
+def export_json_nodes(t):
+    """The lines of a JSON export, read back."""
+    lines = export.json_rows(_counted(t), key_graph(t)).where("part = 'node'")
+    return lines.select(F.from_json("line", "id string, title string, kind string, level long").alias("n")).select("n.*")
