@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.expressions import short_id
-from graphloom.operators import changes, communities, documents, expand, export, graph, ingest, lifecycle, linking, metadata, retrieval, search, sessions, structured, tools
+from graphloom.operators import changes, communities, documents, expand, explorer, export, graph, ingest, lifecycle, linking, metadata, retrieval, search, sessions, structured, tools
 from graphloom.operators.lineage import written
 from graphloom.operators.ontology import Ontology
 from graphloom.schema import NODE
@@ -267,6 +267,22 @@ class Graph:
     def invalid_edges(self, edges: DataFrame | None = None) -> DataFrame:
         return (self.ontology or Ontology()).validate_edges(edges if edges is not None else self.edges, self.nodes)
 
+    def backfill(self, locale: str = "en", vectors: DataFrame | None = None) -> Graph:
+        """With phrase hubs, and vectors where given, for nodes that lack them."""
+        nodes, edges = lifecycle.backfill(self.nodes, self.edges, locale, vectors=vectors)
+        return replace(self, nodes=nodes, edges=edges)
+
+    def explore(self, root: str | None = None, **options) -> explorer.Overview:
+        """A part of the graph to look at; options as of explorer.overview."""
+        return explorer.overview(self.nodes, self.edges, root, **options)
+
+    def statistics(self, source: str | None = None) -> DataFrame:
+        return explorer.statistics(self.nodes, self.edges, source)
+
+    def document(self, ids: DataFrame, query: str = "") -> DataFrame:
+        """Documents' chunks, those that share most with a query in full."""
+        return tools.document(self.nodes, self.edges, ids, query)
+
     def backfill_needs(self) -> DataFrame:
         return lifecycle.needs_backfill(self.nodes, self.edges)
 

@@ -63,6 +63,10 @@ FACTS = [
 ]
 #: Korean particles at the end of a word.
 PARTICLE = "(에서|부터|까지|으로|의|을|를|에|은|는|이|가|와)$"
+#: Korean particles that normalisation takes off, the first that fits.
+PARTICLES = "에서 부터 까지 으로 에게 에는 에도 에서는 에서도 으로서 으로써 이라 이며 이고 이나 이든 처럼 만큼 의 을 를 에 은 는 이 가 와 로 서 며 고 나".split()
+#: Two Hangul characters at least stay before a particle at the end of a word.
+WITH_PARTICLE = rf"([가-힣]{{2,}}?)(?:{'|'.join(PARTICLES)})(?=[^가-힣]|$)"
 PROPER = [r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", r"\b[A-Z][a-z]{2,}\b"]
 ABBREVIATION, QUOTED, COMPANY = r"\(([A-Z]{2,8})\)", r"[「『“‘]([ -~가-힣ㄱ-ㅣ·\-]+)[」』”’]", r"\((?:주|사|재|학|재단|사단)\)(\w+)"
 
@@ -111,6 +115,15 @@ def phrases(locale: str, title: Column, content: Column) -> Column:
     return korean if locale == "ko" else F.array_distinct(F.concat(korean, english)) if locale == "multi" else english
 
 
+def without_particles(text: Column) -> Column:
+    """Korean words without their particles, for search; all else stays."""
+    return F.regexp_replace(text, WITH_PARTICLE, "$1")
+
+
+def query_without_particles(query: str) -> str:
+    return re.sub(WITH_PARTICLE, r"\1", query)
+
+
 def tags(text: Column) -> Column:
     """The tags whose words stand in the text as words, whatever their case."""
     hit = [F.when(text.rlike(rf"(?iuU)\b(?:{'|'.join(map(re.escape, words))})\b"), F.lit(tag)) for tag, words in TAGS.items()]

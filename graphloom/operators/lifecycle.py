@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.expressions import short_id
+from graphloom.operators.linking import phrase_hubs
+
 HOUR, DAY = 3600.0, 86400.0
 
 
@@ -70,3 +73,25 @@ def needs_backfill(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     linked = edges.where("kind = 'contains'").select(F.col("source_id").alias("id"), F.lit(True).alias("_has")).distinct()
     both = nodes.where(F.coalesce(F.length("content"), F.lit(0)) > 0).join(linked, "id", "left")
     return both.select("id", (F.coalesce(F.size("embedding"), F.lit(0)) <= 0).alias("vector"), F.col("_has").isNull().alias("phrases")).where("vector or phrases")
+
+
+def backfill(nodes: DataFrame, edges: DataFrame, locale: str = "en", extractors: tuple[str, ...] = (), vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with what was missing filled in: phrase hubs that nodes without CONTAINS edges get, and vectors where given.
+
+    vectors: (id, embedding) for nodes that lack one. Hubs are entities tagged _phrase, shared by all nodes with the phrase.
+    A second run adds nothing, but for nodes in which no phrase is found.
+    """
+    need = needs_backfill(nodes, edges)
+    text = nodes.join(need.where("phrases").select("id"), "id", "left_semi").select(F.col("id").alias("doc_id"), F.concat_ws("\n", "title", "content").alias("text"))
+    found = phrase_hubs(text, locale, extractors=extractors).select("doc_id", F.lower("phrase").alias("phrase")).distinct()
+    hub = short_id("phrase_", F.col("phrase"))
+    new = found.select(hub.alias("source_id"), "phrase").distinct().join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+    fill = {"id": F.col("source_id"), "kind": F.lit("entity"), "title": F.col("phrase"), "content": F.lit(""), "tags": F.array(F.lit("_phrase"))}
+    hubs = new.select(*[fill.get(f.name, F.lit(0 if f.dataType.typeName() in ("integer", "long", "double") else None)).cast(f.dataType).alias(f.name) for f in nodes.schema])
+    linked = found.select(F.col("doc_id").alias("source_id"), hub.alias("target_id"), F.lit("contains").alias("kind"), F.lit(0.5).alias("weight"))
+    whole = nodes
+    if vectors is not None:
+        given = vectors.select("id", F.col("embedding").alias("_given"))
+        lacks = F.coalesce(F.size("embedding"), F.lit(0)) <= 0
+        whole = nodes.join(given, "id", "left").withColumn("embedding", F.when(lacks, F.coalesce("_given", "embedding")).otherwise(F.col("embedding"))).select(nodes.columns)
+    return whole.unionByName(hubs), edges.select("source_id", "target_id", "kind", "weight").unionByName(linked)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.expressions import cosine, occurrences, rank_score, total
+from graphloom.functions.text import query_without_particles, without_particles
 from graphloom.operators.lineage import written
 
 
@@ -59,6 +60,12 @@ def bm25(docs: DataFrame, query: str, k: int = 10, id_col: str = "id", title_col
     return scored.where("score > 0").orderBy(F.col("score").desc(), "id").limit(k)
 
 
+def bm25_korean(docs: DataFrame, query: str, k: int = 10, title_col: str = "title", text_col: str = "content", **options) -> DataFrame:
+    """The same with the particles of Korean words taken off in texts and query alike."""
+    plain = docs.withColumns({c: without_particles(F.coalesce(c, F.lit(""))) for c in (title_col, text_col)})
+    return bm25(plain, query_without_particles(query), k, title_col=title_col, text_col=text_col, **options)
+
+
 def exact(docs: DataFrame, needle: str, columns: list[str]) -> DataFrame:
     """Rows in which a column contains the needle as it is."""
     test = F.lit(False)

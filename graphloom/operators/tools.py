@@ -237,6 +237,29 @@ def read_document(nodes: DataFrame, edges: DataFrame, doc: str, page: int = 0, s
     return parts.where((F.col("position") >= page * size) & (F.col("position") < (page + 1) * size)).select("position", "id", "content").orderBy("position", "id")
 
 
+def document(nodes: DataFrame, edges: DataFrame, ids: DataFrame, query: str = "", most: int = 50, whole: int = 5, brief: int = 80) -> DataFrame:
+    """Rows (doc, position, id, content, relevant) of documents' chunks in order, the first `most` of each.
+
+    With a query only the chunks that hold most of its words, `whole` of each document, come in full; others by their
+    beginning. ids: documents (id); a chunk stands for the document that contains it, and for itself where none does.
+    """
+    contains = edges.where("kind = 'contains'").select(F.col("source_id").alias("doc"), F.col("target_id").alias("id"))
+    asked = ids.select("id").distinct()
+    parent = asked.join(contains, "id", "left").select(F.coalesce("doc", "id").alias("doc"), "id")
+    docs = parent.select("doc").distinct()
+    held = docs.join(contains, "doc", "left").select("doc", F.coalesce("id", "doc").alias("id"))
+    chunk = nodes.join(held, "id").select("doc", "id", "kind", F.coalesce("content", F.lit("")).alias("content"), F.coalesce(F.try_element_at("properties", F.lit("chunk_index")).try_cast("int"), F.lit(0)).alias("position"))
+    order = Window.partitionBy("doc").orderBy("position", "id")
+    some = chunk.where("kind = 'chunk'").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    terms = list(dict.fromkeys(query.lower().split()))
+    if not terms:
+        return some.select("doc", "position", "id", "content", F.lit(True).alias("relevant"))
+    overlap = sum((F.contains(F.lower("content"), F.lit(t)).cast("int") for t in terms), F.lit(0))
+    best = F.row_number().over(Window.partitionBy("doc").orderBy(overlap.desc(), "position", "id")) <= whole
+    told = some.withColumn("relevant", best)
+    return told.select("doc", "position", "id", F.when(F.col("relevant"), F.col("content")).otherwise(F.concat(F.substring("content", 1, brief), F.lit("…"))).alias("content"), "relevant")
+
+
 def deep_search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 5, read: int = 2) -> DataFrame:
     """Rows (part, id, text): hits, what is next to the first one, and the beginnings of the first documents read."""
     hits = search.bm25(nodes.select("id", "title", "content"), query, limit).collect()  # limit rows

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import changes, communities, export, graph, profiles
+from graphloom.operators import changes, communities, documents, explorer, export, graph, profiles, tools
+from graphloom.operators.ingest import ingest_tables
 from graphloom.operators.lineage import folder
 from graphloom.plans.catalogue import EDGES, key_graph
-from graphloom.plans.graph_catalogue import _counted, _label_sql, _rank_sql
+from graphloom.plans.graph_catalogue import ALL_EDGES, MENTIONS, NODES, _counted, _index, _label_sql, _rank_sql, schema, whole_graph
 from graphloom.plans.registry import query, rounded
+from graphloom.plans.text_catalogue import CHUNKS
 from graphloom.streaming.sessions import spent
 
 
@@ -150,3 +152,44 @@ def export_json_nodes(t):
     """The lines of a JSON export, read back."""
     lines = export.json_rows(_counted(t), key_graph(t)).where("part = 'node'")
     return lines.select(F.from_json("line", "id string, title string, kind string, level long").alias("n")).select("n.*")
+
+
+@query(f"""with {EDGES}, {ALL_EDGES}, {NODES} select (select count(*) from n) as nodes, (select count(*) from a) as edges, (select count(*) from n) as entities, 0::bigint as chunks, 0::bigint as communities, 7::bigint as tables, 0.0::double as entities_per_chunk,
+  round((select count(*) from a) / (select count(*) from n)::double, 6) as edges_per_entity""")
+def graph_statistics(t):
+    return explorer.statistics(*[df.withColumn("source", F.lit("")) if "id" in df.columns else df for df in whole_graph(t)]).withColumn("edges_per_entity", F.round("edges_per_entity", 6))
+
+
+@query("""select 'nation:' || n_nationkey as "of", 'column' as part, c.name, c.value, 1::bigint as n from nation, lateral (select unnest(['n_nationkey', 'n_name', 'n_regionkey']) as name, unnest([n_nationkey::varchar, n_name, n_regionkey::varchar]) as value) c
+union all select 'nation:' || n_nationkey, 'row', 'region', 'region:' || n_regionkey, 1 from nation union all select 'nation:' || c_nationkey, 'row', 'customer', '', count(*) from customer group by 1 union all select 'nation:' || s_nationkey, 'row', 'supplier', '', count(*) from supplier group by 1""")
+def row_views(t):
+    """Columns of each nation's row, and how many rows of each table it is linked with."""
+    nodes, edges = ingest_tables(schema(t, ["region", "nation", "customer", "supplier"]))
+    seen = explorer.row_detail(nodes, edges, nodes.where("id like 'nation:%'").select("id"))
+    seen = seen.where("name not in ('n_comment')").withColumn("value", F.when((F.col("part") == "row") & (F.col("name") != "region"), "").otherwise(F.col("value")))
+    return seen.groupBy("of", "part", "name", "value").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {MENTIONS}, p as (select chunk_id, entity_id, upper(entity_id[1]) || entity_id[2:] as title from m), d as (select 'doc:' || doc_id as chunk_id, text from documents where doc_id < 50)
+select chunk_id as "of", entity_id as id, (instr(text, title) - 1)::int as start, (instr(text, title) - 1 + length(title))::int as "end" from p join d using (chunk_id)""")
+def mention_spans(t):
+    """Where the first fifty documents name their entities."""
+    d = t("documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.lit("chunk").alias("kind"), F.lit("").alias("title"), F.col("text").alias("content"))
+    found = _index(t)
+    entity = found.select(F.col("entity_id").alias("id"), F.lit("entity"), F.initcap("entity_id"), F.lit("")).distinct()
+    edges = found.select(F.col("chunk_id").alias("source_id"), F.col("entity_id").alias("target_id"), F.lit("mentions").alias("kind"), F.lit(1.0).alias("weight"))
+    return explorer.chunk_detail(d.union(entity), edges, t("documents").where("doc_id < 50").select(F.concat(F.lit("doc:"), "doc_id").alias("id"))).select("of", "id", "start", "end")
+
+
+@query(f"""{CHUNKS}, w as (select doc_id, chunk_index, text, contains(lower(text), 'the')::int + contains(lower(text), 'license')::int + contains(lower(text), 'ation')::int as n from c where doc_id < 40 and chunk_index < 50),
+r as (select *, row_number() over (partition by doc_id order by n desc, chunk_index) <= 2 as relevant from w)
+select doc_id, chunk_index as position, md5(case when relevant then text else substr(text, 1, 80) || '…' end) as content, relevant from r""")
+def documents_by_overlap(t):
+    """Forty documents' chunks: two of each in full, by the words that they hold."""
+    d = t("documents").where("doc_id < 40")
+    parts = documents.chunks(d)
+    chunk = documents.chunk_id(F.col("doc_id"), F.col("chunk_index"))
+    nodes = parts.select(chunk.alias("id"), F.lit("chunk").alias("kind"), F.col("text").alias("content"), F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string")).alias("properties"))
+    edges = parts.select(F.col("doc_id").cast("string").alias("source_id"), chunk.alias("target_id"), F.lit("contains").alias("kind"))
+    found = tools.document(nodes, edges, d.select(F.col("doc_id").cast("string").alias("id")), "the license ation", whole=2)
+    return found.select(F.col("doc").cast("long").alias("doc_id"), "position", F.md5("content").alias("content"), "relevant")
