@@ -18,6 +18,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,7 +72,9 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, bits: i
     size = 1 << bits
     if not positive.any():
         return Model(np.zeros(size, np.float32), -30.0, bits)
-    first = {(bool(y), r.tobytes()): i for i, (r, y) in reversed(list(enumerate(zip(rows, positive, strict=True))))}
+    first: dict = {}
+    for i, (r, y) in enumerate(zip(rows, positive, strict=True)):
+        first.setdefault((bool(y), _digest(r)), i)
     once = sorted(first.values())  # copies of a text would count as evidence again and again
     rows, positive = [rows[i] for i in once], positive[once]
     keep = _telling(rows, positive, size)
@@ -113,6 +116,11 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, bits: i
     return Model(full, float(w[-1]), bits)
 
 
+def _digest(row: np.ndarray) -> bytes:
+    """Tells word sets apart without a copy of them."""
+    return hashlib.blake2b(np.ascontiguousarray(row), digest_size=16).digest()
+
+
 def _telling(rows: list[np.ndarray], positive: np.ndarray, size: int, least: float = 5.0, rows_with: int = 5) -> np.ndarray:
     """Words whose share of the positives differs from their share of the others by more than chance."""
     n1, n0 = positive.sum(), (~positive).sum()
@@ -144,7 +152,7 @@ def fit_with_cut(rows: list[np.ndarray], positive: np.ndarray, label: np.ndarray
     if min((label == 1).sum(), (label == 0).sum()) < least:
         return model
     # Copies of a text go to one fold, so that none is told by its own copy.
-    fold = np.array([zlib.crc32(r.tobytes()) % folds for r in rows])
+    fold = np.array([zlib.crc32(np.ascontiguousarray(r)) % folds for r in rows])
     z = np.zeros(len(rows))
     for f in range(folds):
         rest = np.flatnonzero(fold != f)
@@ -172,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         # At most `most` rows of word sets, made by all tasks at once and fetched in a few parts, then put in the hash's order.
         marked = chosen.join(known.withColumnRenamed(id_col, "i"), "i", "left").select("o", F.coalesce(F.col("y").cast("int"), F.lit(-1)).alias("y"), "text")
         coded = marked.mapInPandas(each, "o long, y int, ids binary").repartition(8, "o")
-        rows = sorted((r.o, bytes(r.ids), r.y) for r in coded.toLocalIterator())
-        return [(np.frombuffer(ids, np.int32), y) for _, ids, y in rows]
+        rows = sorted(((r.o, np.frombuffer(r.ids, np.int32), r.y) for r in coded.toLocalIterator()), key=lambda r: (r[0], _digest(r[1]), r[2]))
+        return [(ids, y) for _, ids, y in rows]
 
     toxic = known.where("y = 1").select(id_col)
     p = sample(docs.join(toxic, id_col, "left_semi"), max_positive)
