@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom import plugins
-from graphloom.functions import text as T
 from graphloom.functions.expressions import cosine
 
 EDGE = ["source_id", "target_id", "kind", "weight"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import documents
 
-#: Kinds of nodes by how far they are to be trusted, where a profile does not say.
+#: What a number and a date look like as text.
 NUMBER, DATE = r"^[+-]?\d+(\.\d+)?$", r"^\d{4}-\d{2}-\d{2}"
 
 

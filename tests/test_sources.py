@@ -4,7 +4,6 @@ import json
 import sqlite3
 
 import pytest
-from pyspark.sql import functions as F
 
 from graphloom.facade import Graph
 from graphloom.operators import changes
