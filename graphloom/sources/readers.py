@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.changes import Store, sync_all
@@ -119,13 +119,31 @@ def from_database(tables: list[Table], mode: str = "full", store: Store | None =
 
 
 def from_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of chunks (doc_id, index, text) made elsewhere: documents that contain them, neighbours in order."""
+    """Nodes and edges of chunks made elsewhere: documents that contain them, neighbours in order, and categories.
+
+    Columns: text (or content), and what is there of doc_id, index (or chunk_index), title, category, source and page. A chunk
+    without text is left out; one without doc_id is a document of its own; a title that is missing is the first line;
+    chunks without a place go by their text. A document takes title and category of its first chunk.
+    """
     from graphloom.operators.documents import chunk_edges, chunk_id, short_id
 
-    parts = chunks.select("doc_id", F.col("index").alias("chunk_index"), "text")
-    docs = parts.select(short_id("doc_", F.col("doc_id")).alias("id"), F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("title"), F.lit("").alias("content")).distinct()
-    nodes = parts.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("id"), F.lit("chunk").alias("kind"), F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("title"), F.col("text").alias("content"))
-    return docs.union(nodes), chunk_edges(parts)
+    def of(*names: str) -> Column:
+        held = [F.col(n) for n in names if n in chunks.columns]
+        return F.nullif(F.trim(held[0].cast("string")), F.lit("")) if held else F.lit(None).cast("string")
+
+    rows = chunks.select(of("doc_id").alias("doc_id"), of("index", "chunk_index").try_cast("int").alias("place"), of("text", "content").alias("text"), *[of(n).alias(n) for n in ("title", "category", "source", "page")]).where("text is not null")
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.concat(F.lit("chunk_"), F.substring(F.md5("text"), 1, 12)))).withColumn("title", F.coalesce("title", F.substring(F.substring_index("text", "\n", 1), 1, 80)))
+    order = Window.partitionBy("doc_id").orderBy(F.col("place").asc_nulls_last(), "text")
+    rows = rows.withColumn("chunk_index", F.coalesce("place", F.row_number().over(order) - 1))
+    first = F.struct("chunk_index", "text", "title", "category", "source")
+    docs = rows.groupBy("doc_id").agg(F.min(first).alias("f")).select("doc_id", "f.*")
+    said = lambda *names: F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))]), lambda k, v: v.isNotNull())
+    made = docs.select(short_id("doc_", F.col("doc_id")).alias("id"), F.lit("document").alias("kind"), "title", F.lit("").alias("content"), said("doc_id", "category", "source").alias("properties"))
+    parts = rows.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("id"), F.lit("chunk").alias("kind"), "title", F.col("text").alias("content"), said("doc_id", "chunk_index", "category", "source", "page").alias("properties"))
+    named = docs.where("category is not null").select(short_id("doc_", F.col("doc_id")).alias("source_id"), short_id("cat_", F.col("category")).alias("target_id"), "category")
+    cats = named.groupBy(F.col("target_id").alias("id")).agg(F.min("category").alias("title")).select("id", F.lit("concept").alias("kind"), "title", F.lit("").alias("content"), F.create_map().cast("map<string,string>").alias("properties"))
+    part_of = named.select("source_id", "target_id", F.lit("part_of").alias("kind"), F.lit(0.7).alias("weight"))
+    return made.union(parts).union(cats), chunk_edges(rows.select("doc_id", "chunk_index", "text")).unionByName(part_of)
 
 
 def from_data(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -122,3 +122,19 @@ def test_mixed_folder(spark, tmp_path):
     with pytest.raises(ValueError):
         folder.read(spark, str(empty))
     json.dumps(report)
+
+
+def test_chunks_made_elsewhere(spark):
+    schema = "doc_id string, chunk_index int, content string, title string, category string, source string, page int"
+    made = [("d", 1, "second", None, None, None, 2), ("d", 0, "First line\nmore", None, "manual", "a.pdf", 1), (None, None, "alone", "Own title", "", None, None), ("d", 2, "  ", None, None, None, None), ("e", None, "b text", None, "manual", None, None), ("e", None, "a text", None, None, None, None)]
+    nodes, edges = readers.from_chunks(spark.createDataFrame(made, schema))
+    assert rows(nodes.where("kind = 'document'"), "title") == [("First line",), ("Own title",), ("a text",)]
+    assert rows(nodes.where("kind = 'chunk'"), "content", "title") == [("First line\nmore", "First line"), ("a text", "a text"), ("alone", "Own title"), ("b text", "b text"), ("second", "second")]
+    assert rows(nodes.where("kind = 'concept'"), "title") == [("manual",)]
+    counts = {r.kind: r["count"] for r in edges.groupBy("kind").count().collect()}
+    assert counts == {"contains": 5, "next_chunk": 2, "part_of": 1}
+    one = nodes.where("content = 'second'").first().properties
+    assert one == {"doc_id": "d", "chunk_index": "1", "page": "2"}
+    g = Graph.from_chunks(spark.createDataFrame(made, schema), 0.0)
+    assert g.nodes.count() == 9
+    assert readers.from_chunks(spark.createDataFrame([], schema))[0].count() == 0
