@@ -345,7 +345,7 @@ def top_from_ids(t):
 
 @query("""with e as (select l_partkey as source_id, l_suppkey as target_id, round(sum(l_discount), 6) as weight from lineitem group by all),
 p as (select distinct l_partkey as source_id, l_suppkey + 1 as target_id, l_partkey % 10 as maturity from lineitem where l_partkey % 3 = 0)
-select source_id, target_id, round(coalesce(case when maturity is null then weight else greatest(-2, least(5, weight + 0.1 / (1 + 0.02 * maturity))) end, 0.1)::double, 6) as weight from e full join p using (source_id, target_id)""")
+select source_id, target_id, round((case when weight is null then 0.1 when maturity is null then weight else greatest(-2, least(5, weight + 0.1 / (1 + 0.02 * maturity))) end)::double, 6) as weight from e full join p using (source_id, target_id)""")
 def hebbian_update(t):
     li = t("lineitem")
     e = li.groupBy(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id")).agg(F.round(F.sum("l_discount"), 6).alias("weight")).withColumn("kind", F.lit("related"))
