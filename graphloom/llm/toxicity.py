@@ -124,8 +124,15 @@ def _digest(row: np.ndarray) -> bytes:
 def _telling(rows: list[np.ndarray], positive: np.ndarray, size: int, least: float = 5.0, rows_with: int = 5) -> np.ndarray:
     """Words whose share of the positives differs from their share of the others by more than chance."""
     n1, n0 = positive.sum(), (~positive).sum()
-    one = np.bincount(np.concatenate([r for r, y in zip(rows, positive, strict=True) if y]), minlength=size)
-    zero = np.bincount(np.concatenate([np.empty(0, np.int32), *(r for r, y in zip(rows, positive, strict=True) if not y)]), minlength=size)
+
+    def counted(which: np.ndarray) -> np.ndarray:
+        """How many of the rows have each word, some rows at a time."""
+        out, at = np.zeros(size, np.int64), np.flatnonzero(which)
+        for i in range(0, len(at), 256):
+            out += np.bincount(np.concatenate([rows[j] for j in at[i : i + 256]]), minlength=size)
+        return out
+
+    one, zero = counted(positive), counted(~positive)
     mean = (one + zero) / (n1 + n0)
     error = np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n1 + 1 / max(n0, 1)))
     return (np.abs(one / n1 - zero / max(n0, 1)) > least * error) & (one + zero >= rows_with)
