@@ -18,6 +18,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -196,7 +198,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     positive = np.arange(len(p) + len(u)) < len(p)
     # A confirmed row counts once for the cut, as a positive.
     label = np.array([1] * len(p) + [0 if y == 0 else -1 for _, y in u], np.int64)
-    return fit_with_cut([r for r, _ in p + u], positive, label, prior, bits)
+    model = fit_with_cut([r for r, _ in p + u], positive, label, prior, bits)
+    del p, u
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Freed memory of the driver's Python goes back to the system, where its C library can do that."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
