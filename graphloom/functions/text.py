@@ -170,7 +170,8 @@ def compress(text: Column, query: str, least: float = 0.3, most: int = 5) -> Col
 
 def preview(title: Column, texts: Column, limit: int = 600) -> Column:
     """The title and the opening chunks, to limit characters."""
-    return F.trim(F.substring(F.concat_ws("\n", F.trim(F.coalesce(title, F.lit(""))), F.array_join(F.filter(F.transform(texts, F.trim), lambda t: t != ""), "\n")), 1, limit))
+    opening = F.nullif(F.array_join(F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != ""), "\n"), F.lit(""))
+    return F.trim(F.substring(F.concat_ws("\n", F.trim(F.coalesce(title, F.lit(""))), opening), 1, limit))
 
 
 def trigrams(text: Column) -> Column:
