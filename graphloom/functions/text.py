@@ -150,7 +150,7 @@ def sentences(text: Column) -> Column:
 
 def facts(text: Column) -> Column:
     """Distinct sentences that state a number with a unit or a date."""
-    return F.array_distinct(F.filter(F.transform(sentences(text), F.trim), lambda s: (s != "") & s.rlike("(?iU)" + "|".join(f"(?:{p})" for p in FACTS))))
+    return F.array_distinct(F.filter(F.transform(sentences(text), lambda s: F.trim(s)), lambda s: (s != "") & s.rlike("(?iU)" + "|".join(f"(?:{p})" for p in FACTS))))
 
 
 def compress(text: Column, query: str, least: float = 0.3, most: int = 5) -> Column:
