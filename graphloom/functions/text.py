@@ -251,8 +251,16 @@ def suggest_intent(query: str) -> str:
 
 
 def detect_locale(text: Column) -> Column:
-    """ko, ja or en where half of the characters that are no blanks are of it, else multi."""
-    whole = F.length(F.regexp_replace(text, r"(?U)\s", ""))
-    share = lambda cls: F.length(F.regexp_replace(text, f"[^{cls}]", "")) / whole
-    kinds = F.array(*[F.struct(share(c).alias("s"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, (n, c) in enumerate([("ko", "가-힣"), ("ja", "ぁ-ゟァ-ヿ"), ("en", "A-Za-z")])])
-    return F.when((whole > 0) & (F.array_max(kinds)["s"] >= 0.5), F.array_max(kinds)["n"]).otherwise("multi")
+    """ko, ja or en where half of the characters that are no blanks are of it, else multi.
+
+    Runs are taken out, not single characters, and each count is taken once: the choice is made from an array of the counts.
+    """
+    count = lambda cls: F.length(text) - F.length(F.regexp_replace(text, f"[{cls}]+", ""))
+    counts = F.array(F.length(text) - F.length(F.regexp_replace(text, r"(?U)\s+", "")), count("가-힣"), count("ぁ-ゟァ-ヿ"), count("A-Za-z"))
+
+    def chosen(n: Column) -> Column:
+        whole, most = F.length(text) - n[0], F.greatest(n[1], n[2], n[3])
+        kind = F.when(n[1] == most, "ko").when(n[2] == most, "ja").otherwise("en")
+        return F.when((whole > 0) & (most * 2 >= whole), kind).otherwise("multi")
+
+    return F.transform(F.array(counts), chosen)[0]
