@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -174,12 +176,14 @@ def co_occurrence(index: DataFrame, a: str, b: str) -> DataFrame:
     return both.where("n = 2").select("chunk_id")
 
 
-def duplicates(nodes: DataFrame, least: float = 0.85, limit: int | None = 50, vectors: str | None = None, vector_weight: float = 0.4) -> DataFrame:
+def duplicates(nodes: DataFrame, least: float = 0.85, limit: int | None = 50, vectors: str | None = None, vector_weight: float = 0.4, most_kept: int = 400) -> DataFrame:
     """Pairs (a, b, score) of nodes (id, kind, title) of one kind with like titles, or titles and vectors mixed.
 
     The likeness 2*M/(n+m) of two titles is at most twice the characters that both have, over their lengths. So a
     pair meets under its kind and a character count that it must agree in: titles are dealt out by the
     content of groups of letters, of which more are made than a pair that reaches the score may differ in.
+    Matching runs stand in order, so a pair also has that many characters in common in order: where titles are so short
+    that these can be listed, by what is left without the few others, that is what a pair meets under instead.
     Without vectors the smallest id stands for its title: other nodes of the title pair with it alone.
     """
     low = F.lower(F.coalesce("title", F.lit("")))
@@ -187,9 +191,28 @@ def duplicates(nodes: DataFrame, least: float = 0.85, limit: int | None = 50, ve
     # A mixed score reaches its bound with a lower likeness of titles if the vectors are equal.
     floor = least if not vectors else (least - vector_weight) / (1 - vector_weight)
 
+    titles = n.select("kind", "t").distinct()
+    sizes = sorted(r.n for r in titles.select(F.length("t").alias("n")).distinct().collect())  # lengths of titles, a number each
+
+    def common(x: int, y: int) -> int:
+        """How many characters in order two titles of these lengths must have in common."""
+        return math.ceil(floor * (x + y) / 2 - 1e-9)
+
+    def listed(x: int, y: int) -> bool:
+        k = common(x, y)
+        return 0 < k <= min(x, y) and max(math.comb(x, x - k), math.comb(y, y - k)) <= most_kept
+
+    # By length: lengths of titles that it may be like, with what they must share where that is listed, and whether others remain.
+    partners = {x: [(y, common(x, y)) for y in sizes if floor > 0 and listed(x, y)] for x in sizes}
+    rest = {x: floor <= 0 or any(common(x, y) <= min(x, y) and not listed(x, y) for y in sizes) for x in sizes}
+
     def groups(title: str) -> list[str]:
-        """Contents of groups of characters: of D+1 groups one at least is the same in both where D characters differ."""
-        size, out, level = len(title), [], 1.0
+        """What is left of a title without some characters; and, for lengths where that is too much, contents of groups of
+        characters: of D+1 groups one at least is the same in both where D characters differ."""
+        size, level = len(title), 1.0
+        out = [f"{min(size, y)}:{max(size, y)}|{v}" for y, k in partners.get(size, ()) for v in {"".join(c) for c in itertools.combinations(title, k)}]
+        if not rest.get(size, True):
+            return out
         # A pair belongs to the power of 1.2 below its shorter title; a title may be the shorter or the longer one.
         while level <= size:
             high = level * 1.2
@@ -211,7 +234,6 @@ def duplicates(nodes: DataFrame, least: float = 0.85, limit: int | None = 50, ve
         for b in batches:
             yield b.assign(title_score=[difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(b.x, b.y, strict=True)])
 
-    titles = n.select("kind", "t").distinct()
     keys = titles.mapInPandas(blocks, "kind string, t string, g string")
     pairs = keys.alias("p").join(keys.alias("q"), (F.col("p.kind") == F.col("q.kind")) & (F.col("p.g") == F.col("q.g")) & (F.col("p.t") < F.col("q.t"))).select(F.col("p.kind").alias("kind"), F.col("p.t").alias("x"), F.col("q.t").alias("y")).distinct()
     bound = 2.0 * F.least(F.length("x"), F.length("y")) / (F.length("x") + F.length("y"))
