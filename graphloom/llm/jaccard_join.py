@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm import wordhash
+from graphloom.llm import wordhash, workers
 from graphloom.llm.keys import KEY, Scratch, components, keyed
 
 U = np.uint64
@@ -139,12 +139,12 @@ def _light(src: DataFrame, size: int) -> DataFrame:
     """One light row for each document: the size and a digest of its set."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (p for b in batches for p in workers.parts(b)):
             sets = [shingles(text, size) for text in b.text]
             n = np.array([len(s) for s in sets], np.int64)
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "rk": b.rk, "rk2": b.rk2, "n": n} | {f"d{i + 1}": np.array([_digest(s, i) for s in sets], np.int64) for i in (0, 1)})
 
-    return src.mapInPandas(each, "doc_id long, rk long, rk2 int, n long, d1 long, d2 long")
+    return src.mapInPandas(workers.thrifty(each), "doc_id long, rk long, rk2 int, n long, d1 long, d2 long")
 
 
 def _digest(s: np.ndarray, seed: int) -> np.int64:
@@ -179,7 +179,7 @@ def _block_rows(src: DataFrame, size: int, levels: Levels) -> DataFrame:
             if held:
                 yield pd.DataFrame({"bk": np.concatenate(keys), "d1": np.concatenate(ids)})
 
-    return src.select("text").mapInPandas(each, "bk long, d1 long")
+    return src.select("text").mapInPandas(workers.thrifty(each), "bk long, d1 long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def _by_task(rows: DataFrame, work: Callable[[dict[str, np.ndarray]], dict[str,
         if held is not None and (out := done(held, [0, len(held)])) is not None:
             yield out
 
-    return rows.repartition(*TASK).sortWithinPartitions(*TASK).mapInPandas(each, schema)
+    return rows.repartition(*TASK).sortWithinPartitions(*TASK).mapInPandas(workers.thrifty(each), schema)
 
 
 def _may_link(bound: np.ndarray, n: np.ndarray | int, m: np.ndarray | int, num: int, den: int) -> np.ndarray:
@@ -397,13 +397,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held.drop("blocks")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (p for b in batches for p in workers.parts(b)):
             sets = [shingles(t, shingle) for t in b.text]
             yield pd.DataFrame({"d1": b.d1, "n": np.array([len(s) for s in sets], np.int64), "vec": [point(s).tobytes() for s in sets], "text": b.text})
 
     chosen = classes.join(once.select("d1").distinct(), "d1", "left_semi").groupBy("d1").agg(F.min("first").alias("first")).select("d1", "first.rk", "first.rk2")
     met = src.join(chosen, KEY).select("d1", "text").dropDuplicates(["d1"])
-    met = held.stored(met.mapInPandas(each, "d1 long, n long, vec binary, text string"), "met")
+    met = held.stored(met.mapInPandas(workers.thrifty(each), "d1 long, n long, vec binary, text string"), "met")
     points, texts = met.select("d1", "n", "vec"), met.select("d1", "text")
 
     def links(tasks: DataFrame, name: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import workers
 from graphloom.llm.keys import stored
 from graphloom.llm.token_counts import TOKENIZER, tokenizer_path
 
@@ -102,14 +103,9 @@ class WordIds:
         return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
-_TOOLS: dict[str, WordIds] = {}
-
-
 def word_ids(name: str) -> WordIds:
     """One for each worker process, kept from task to task."""
-    if name not in _TOOLS:
-        _TOOLS[name] = WordIds(tokenizer_path(name))
-    return _TOOLS[name]
+    return workers.kept(name, lambda: WordIds(tokenizer_path(name)))
 
 
 class Packer:
@@ -205,7 +201,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if rows := packer.pack(True):
             yield _frame(rows)
 
-    return docs.select(id_col, text_col).mapInPandas(each, SCHEMA)
+    return docs.select(id_col, text_col).mapInPandas(workers.thrifty(each, keeps=tokenizer), SCHEMA)
 
 
 def with_step_groups(pieces: DataFrame, step_tokens: int = 1 << 20, small: int = 1_000_000) -> DataFrame:

@@ -16,11 +16,13 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import workers
 from graphloom.llm.spans import Span, apart, digests
 
 BASE = ["assign", "access", "hex"]
@@ -260,11 +262,11 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
             at = max(at, e)
         return "".join([*out, text[at:]]) if spans else text
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return pd.Series([without(t) for t in texts], dtype=object)
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([without(t) for t in texts], dtype=object)
 
-    return docs.withColumn(text_col, cleaned(F.col(text_col)))
+    return docs.withColumn(text_col, workers.column(each, "string")(F.col(text_col)))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -30,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import wordhash
+from graphloom.llm import wordhash, workers
 
 BITS = 18
 
@@ -180,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"o": b["o"], "y": b["y"], "ids": [np.unique(feature_ids(t, bits)).tobytes() for t in b["text"]]})
+            for p in workers.parts(b):
+                yield pd.DataFrame({"o": p["o"], "y": p["y"], "ids": [np.unique(feature_ids(t, bits)).tobytes() for t in p["text"]]})
 
     def sample(df: DataFrame, most: int) -> list[tuple[np.ndarray, int]]:
         chosen = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(1)).alias("o"), F.col(id_col).alias("i"))
@@ -188,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = chosen.where(F.col("o") < cut[0].o) if cut else chosen
         # At most `most` rows of word sets, made by all tasks at once and fetched in a few parts, then put in the hash's order.
         marked = chosen.join(known.withColumnRenamed(id_col, "i"), "i", "left").select("o", F.coalesce(F.col("y").cast("int"), F.lit(-1)).alias("y"), "text")
-        coded = marked.mapInPandas(each, "o long, y int, ids binary").repartition(8, "o")
+        coded = marked.mapInPandas(workers.thrifty(each), "o long, y int, ids binary").repartition(8, "o")
         rows = sorted(((r.o, np.frombuffer(r.ids, np.int32), r.y) for r in coded.toLocalIterator()), key=lambda r: (r[0], _digest(r[1]), r[2]))
         return [(ids, y) for _, ids, y in rows]
 
@@ -200,27 +199,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label = np.array([1] * len(p) + [0 if y == 0 else -1 for _, y in u], np.int64)
     model = fit_with_cut([r for r, _ in p + u], positive, label, prior, bits)
     del p, u
-    _give_back()
+    workers.give_back()
     return model
 
 
-def _give_back() -> None:
-    """Freed memory of the driver's Python goes back to the system, where its C library can do that."""
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """The model's score of a text column, from 0 to 1."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    return scored(text)
+    return workers.column(each, "double")(text)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pandas as pd
+
 from graphloom.llm import jaccard_join, secrets
 from graphloom.llm import pipeline as corpus_pipeline
 
@@ -115,3 +118,36 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0
+
+
+def test_workers_free_what_other_tasks_kept(spark):
+    """A worker that has packed drops the packing's table when a task of another kind starts, and packs again as before."""
+    from graphloom.llm import packing, toxicity, workers
+
+    def told(name):
+        def each(batches):
+            import pandas as pd
+
+            for _ in batches:
+                pass
+            yield pd.DataFrame({"kept": [",".join(workers._KEPT)]})
+
+        return spark.range(1).coalesce(1).mapInPandas(workers.thrifty(each, keeps=name), "kept string").first().kept
+
+    docs = spark.createDataFrame([(i, f"word{i} is here") for i in range(2500)], "doc_id long, text string").coalesce(1)
+    first = packing.pack_documents(docs).collect()
+    # One worker serves these one after the other.
+    assert told(packing.TOKENIZER) in ("", packing.TOKENIZER) and told(None) == ""
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), 0.0)
+    assert {r.s for r in docs.select(toxicity.score_column(spark, model, docs["text"]).alias("s")).collect()} == {0.5}
+    assert packing.pack_documents(docs).collect() == first
+
+
+def test_batches_are_worked_on_in_parts():
+    from graphloom.llm import workers
+
+    b = pd.DataFrame({"x": range(2500)})
+    assert [len(p) for p in workers.parts(b)] == [1000, 1000, 500] and [len(p) for p in workers.parts(b[:0])] == [0]
+    workers.kept("one", lambda: [1])
+    workers.kept("two", lambda: [2])
+    assert list(workers._KEPT) == ["two"] and list(workers.thrifty(lambda bs: (len(x) for x in bs))(iter([b]))) == [2500] and not workers._KEPT
