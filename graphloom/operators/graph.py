@@ -164,9 +164,10 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     label = w.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()
     before = None
     for _ in range(rounds):
-        votes = w.join(label, w["b"] == label["id"]).groupBy("a", "label").agg(F.round(F.sum("weight"), 9).alias("v"))
-        best = votes.groupBy("a").agg(F.max("v").alias("v"))
-        label = written(votes.join(best, ["a", "v"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label")), "label")
+        # Dealt out by the voting node once, which serves both the votes and the choice among them.
+        said = w.join(label, w["b"] == label["id"]).select("a", "label", "weight").repartition("a")
+        votes = said.groupBy("a", "label").agg(F.round(F.sum("weight"), 9).alias("v")).where("v is not null")
+        label = written(votes.groupBy(F.col("a").alias("id")).agg(F.min_by("label", F.struct((-F.col("v")).alias("v"), "label")).alias("label")), "label")
         now = label.agg(F.bit_xor(F.xxhash64("id", "label"))).first()[0]
         if now == before:
             break

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import communities, graph
 from graphloom.operators.keyed import Keyed
+from graphloom.operators.lineage import written
 
 EDGE = "source_id string, target_id string, kind string, weight double"
 
@@ -159,3 +160,15 @@ def test_keyed_table(spark, tmp_path):
     full = t.compact(most=0)
     assert full and read() == before
     assert t.clean() > 0 and read() == before
+
+
+def test_edges_at_voting_nodes_are_written_once(spark, monkeypatch):
+    """Rounds in which no more nodes begin to vote don't go over all edges again."""
+    names = []
+    monkeypatch.setattr(communities, "written", lambda df, name: names.append(name) or written(df, name))
+    edge = "source_id string, target_id string, weight double"
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("y", "z", 1.0), ("x", "z", 1.0)], edge)
+    labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("x", "x"), ("y", "x"), ("z", "x")], "id string, label string")
+    new = spark.createDataFrame([("b", "c"), ("a", "c")], "source_id string, target_id string")
+    assert {tuple(r) for r in communities.relabelled(edges, labels, new, 5).collect()} == {("c", "a", None)}
+    assert names.count("fresh") > 1 and names.count("around") == 1
