@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import graph
+from graphloom.operators.lineage import written
 
 
 @dataclass
@@ -42,10 +43,11 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, categories: Dat
     neighbouring chunks, mentions of seeds that are entities, and rows related to those.
 
     The first path that gives a node wins; each anchor and category gives a few, all together no more than the budget.
-    Only edges at the few seeds and categories are looked at.
+    Only edges at the few seeds and categories are looked at, and only nodes that these lead to.
     """
     b = budget or Budget()
-    start = seeds.join(nodes.select("id", "kind"), "id", "left").select(F.col("id").alias("anchor"), "rank", "kind")
+    kinds = graph.among(nodes.select("id", "kind"), seeds)
+    start = written(seeds.join(F.broadcast(kinds), "id", "left").select(F.col("id").alias("anchor"), "rank", "kind"), "start")
     cats = categories.select(F.col("id").alias("anchor"), F.lit(0).alias("rank"), F.lit("concept").alias("kind"))
 
     def path(order: int, reason: str, anchors: DataFrame, kinds: list[str] | None, way: str, most: int | None) -> DataFrame:
@@ -74,7 +76,8 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, categories: Dat
     for p in every:
         out = out.unionByName(p.withColumn("anchor", F.col("anchor").cast("string")))
     once = Window.partitionBy("id").orderBy("path", "rank", "anchor")
-    out = out.withColumn("_n", F.row_number().over(once)).where("_n = 1").join(nodes.select("id"), "id", "left_semi")
+    out = written(out.withColumn("_n", F.row_number().over(once)).where("_n = 1"), "paths")
+    out = graph.among(out, graph.among(nodes.select("id"), out))
     out = out.orderBy("path", "rank", "anchor", "id").limit(b.total)
     return out.select("id", "reason", F.when(F.col("path") == 0, 0).otherwise(1).alias("hops"), "anchor")
 

@@ -99,10 +99,15 @@ def flow(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, kind), F.lit(DEFAULT_FLOW))
 
 
+def among(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows of a table whose id is among a query's few ids (id). Only these few are sent to the driver."""
+    return rows.join(F.broadcast(few.select("id")), "id", "left_semi")
+
+
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """The edges with an end among the ids (id), with n, how many of their ends are."""
-    s = ids.select(F.col("id").alias("source_id"), F.lit(1).alias("s"))
-    t = ids.select(F.col("id").alias("target_id"), F.lit(1).alias("t"))
+    """The edges with an end among the ids (id), with n, how many of their ends are. Ids may be as many as nodes, so they are merged, not broadcast."""
+    s = ids.select(F.col("id").alias("source_id"), F.lit(1).alias("s")).hint("merge")
+    t = ids.select(F.col("id").alias("target_id"), F.lit(1).alias("t")).hint("merge")
     both = edges.join(s, "source_id", "left").join(t, "target_id", "left")
     return both.withColumn("n", F.coalesce("s", F.lit(0)) + F.coalesce("t", F.lit(0))).where("n > 0").drop("s", "t")
 
@@ -113,7 +118,8 @@ def personalized_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
     An edge counts for each of its ends that was processed, that is a seed or next to one.
     Nodes without edges lose their mass. seeds: (id, weight), normalised here. Where no seed has an
     edge, the seeds' own weights are returned. Of the edges only those around the seeds are written, their steps once, and ranks
-    every few rounds, where they are compared.
+    every few rounds, where they are compared. Steps and ranks grow with the edges: they are merged by id, which a round's sums
+    leave in place for the next, and none of them reaches the driver.
     """
     start = written(seeds.groupBy("id").agg(F.sum("weight").alias("weight")), "seeds")
     edges = edges.select("source_id", "target_id", "kind", "weight")
@@ -124,7 +130,7 @@ def personalized_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
     e = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "w").union(e.select(F.col("target_id"), F.col("source_id"), "w"))
     e = e.groupBy("a", "b").agg(F.sum("w").alias("w"))
     out = e.groupBy("a").agg(F.sum("w").alias("total"))
-    step = written(e.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")), "step")
+    step = written(e.join(out.hint("merge"), "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")), "step")
     if step.isEmpty():
         return start.select("id", F.col("weight").alias("score"))
     whole = start.agg(F.sum("weight").alias("whole"))
@@ -132,8 +138,11 @@ def personalized_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
     rank = p.select("id", F.col("p0").alias("r"))
     for i in range(1, rounds + 1):
         before = rank
-        moved = rank.join(step, rank["id"] == step["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("r") * F.col("p")).alias("m"))
-        rank = p.join(moved, "id", "full_outer").select("id", ((1 - damping) * F.coalesce("p0", F.lit(0.0)) + damping * F.coalesce("m", F.lit(0.0))).alias("r"))
+        moved = rank.join(step.hint("merge"), rank["id"] == step["a"]).select(F.col("b").alias("id"), F.lit(None).cast("double").alias("p0"), (F.col("r") * F.col("p")).alias("m"))
+        rank = p.withColumn("m", F.lit(None).cast("double")).unionByName(moved).groupBy("id").agg(F.max("p0").alias("p0"), F.sum("m").alias("m"))
+        rank = rank.select("id", ((1 - damping) * F.coalesce("p0", F.lit(0.0)) + damping * F.coalesce("m", F.lit(0.0))).alias("r"))
+        if (i + 1) % every == 0 and i + 1 < rounds:
+            rank = written(rank, "rank")  # the next round is compared with it
         if i % every == 0 and i < rounds:
             rank = written(rank, "rank")
             moved_by = rank.join(before.select("id", F.col("r").alias("o")), "id", "full_outer").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("o", F.lit(0.0))))).first()[0]

@@ -99,7 +99,8 @@ def find(nodes: DataFrame, edges: DataFrame, query: str, as_of: int, k: int = 6,
     labels = sorted({r.title.lower() for r in anchors.orderBy("way", "title").limit(50).collect() if r.title})
     around = written(expand.expand(nodes, edges, start, anchors.select("id"), budget), "around")
     ranked = graph.personalized_rank(edges, start.select("id", F.col("score").alias("weight"))).orderBy(F.desc("score"), "id").limit(3 * k)
-    beyond = ranked.join(around.select("id"), "id", "left_anti").join(nodes.select("id"), "id", "left_semi")
+    beyond = written(ranked.join(F.broadcast(around.select("id")), "id", "left_anti"), "beyond")  # 3 * k rows, and a budget of them around
+    beyond = graph.among(beyond, graph.among(nodes.select("id"), beyond))
     held = around.join(start.select("id", "score"), "id", "left").select("id", "reason", "anchor", F.coalesce("score", F.lit(0.0)).alias("lexical"))
     held = held.union(beyond.select("id", F.lit("ppr_discovery"), F.lit(None).cast("string"), F.col("score") * 0.5))
     told = written(signals(nodes, held, labels, as_of, vector), "signals")

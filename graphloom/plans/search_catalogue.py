@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.facade import as_nodes
 from graphloom.operators import documents, evidence, expand, linking, retrieval, tools
+from graphloom.operators.lineage import written
 from graphloom.plans.registry import query, rounded
 from graphloom.plans.text_catalogue import CHUNKS
 
@@ -146,13 +147,14 @@ def evidence_search(t):
 @query()
 def whole_evidence_search(t):
     """All stages: documents and their categories as one graph, a vector for some documents, and the rank around the seeds."""
-    vectors = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    docs = _docs(t).join(vectors, "id", "left").withColumn("id", F.concat(F.lit("doc:"), "id"))
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), "embedding").hint("merge")  # they grow, so they are not broadcast
+    docs = written(as_nodes(_docs(t).join(vectors, "id", "left").withColumn("id", F.concat(F.lit("doc:"), "id")), NOW), "nodes")
     label = F.try_element_at("properties", F.lit("category"))
     named = docs.where(label.isNotNull()).select("id", label.alias("title"))
     cats = named.select("title").distinct().select(documents.short_id("cat_", F.col("title")).alias("id"), F.lit("concept").alias("kind"), "title")
-    nodes = as_nodes(docs, NOW).unionByName(as_nodes(cats, NOW))
+    nodes = docs.unionByName(written(as_nodes(cats, NOW), "nodes"))
     edges = named.select(F.col("id").alias("source_id"), documents.short_id("cat_", F.col("title")).alias("target_id"), F.lit("part_of").alias("kind"), F.lit(0.7).alias("weight"))
+    edges = written(edges, "edges")
     asked = [0.1 * (i % 7 - 3) for i in range(64)]
     return retrieval.find(nodes, edges, "src7 license thereon", 2024, 10, vector=asked).select("id", "rank", rounded("total"), "reason", "anchor")
 
