@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import postings, search, tools
+from graphloom.operators.lineage import written
 from graphloom.plans.catalogue import BM25, _texts
 from graphloom.plans.registry import query, rounded
 from graphloom.plans.text_catalogue import GRAMS
@@ -47,9 +48,10 @@ def bm25_many(t):
 @query(f"{MANY}, m as (select query_id, max(case when id = query_id then 1.0::double / rank else 0 end) as rr from (select query_id, id, rank() over (partition by query_id order by score desc) as rank from r where score > 0) where rank <= 10 group by 1) select query_id, round(rr, 6) as rr from m")
 def retrieval_evaluation(t):
     """Reciprocal rank of the document that a query comes from, equal scores sharing a rank, over all queries at once."""
-    relevant = _asked(t).select("query_id", F.col("query_id").alias("id"))
+    asked = written(_asked(t), "asked")
+    relevant = asked.select("query_id", F.col("query_id").alias("id"))
     # The first ten and the document itself: what is better than it stands before it, so its place, to the tenth, is that among all.
-    found = postings.bm25_many(_asked(t), 10, postings.fields(_texts(t)), also=relevant).select("query_id", "id", rounded("score"))
+    found = postings.bm25_many(asked, 10, postings.fields(_texts(t)), also=relevant).select("query_id", "id", rounded("score"))
     shared_rank = found.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
     return search.metrics(shared_rank, relevant, 10).select("query_id", rounded("rr"))
 
